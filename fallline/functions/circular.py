@@ -8,7 +8,7 @@ statistics of areas can be combined without going back to segments.
 from functools import reduce
 from math import lcm
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallline.schema import COMPASS_RESOLUTIONS, COMPASS_WINDS, MAGNITUDE_EPSILON
@@ -55,24 +55,39 @@ def merged_direction_sums() -> dict[str, Column]:
 DIRECTION_SUMS = ("_x", "_y", "_cum", "_sign_min", "_sign_max")
 
 
-def direction_stats(digits: int = 7) -> dict[str, Column]:
-    """The six bearing statistics from the columns made by :func:`direction_sums`."""
-    x = F.coalesce(F.col("_x"), F.lit(0.0))
-    y = F.coalesce(F.col("_y"), F.lit(0.0))
-    cum = F.coalesce(F.col("_cum"), F.lit(0.0))
-    net = F.sqrt(x * x + y * y)
-    alignment = F.when(cum > MAGNITUDE_EPSILON, net / cum).otherwise(0.0)
-    angle = F.when(net > MAGNITUDE_EPSILON, F.atan2(y, x)).otherwise(0.0)
-    sign = F.when(F.col("_sign_min") == F.col("_sign_max"), F.col("_sign_min"))
-    # adding 0.0 turns a negative zero into zero
-    return {
-        "bearing_mean": F.bround(F.pmod(F.degrees(F.bround(angle, 10)), F.lit(360.0)), digits),
-        "bearing_alignment": F.bround(alignment, digits),
-        "bearing_magnitude_net": F.bround(net, digits),
-        "bearing_magnitude_cum": F.bround(cum, digits),
-        "poleward_affinity": F.bround(sign * alignment * F.cos(angle) + 0.0, digits),
-        "eastward_affinity": F.bround(alignment * F.sin(angle) + 0.0, digits),
-    }
+def with_direction_stats(df: DataFrame, digits: int = 7) -> DataFrame:
+    """The six bearing statistics in place of the columns made by :func:`direction_sums`."""
+    others = [c for c in df.columns if c not in DIRECTION_SUMS]
+    return (
+        df.withColumns(
+            {
+                "_x": F.expr("coalesce(_x, 0D)"),
+                "_y": F.expr("coalesce(_y, 0D)"),
+                "_cum": F.expr("coalesce(_cum, 0D)"),
+                "_sign": F.expr("if(_sign_min = _sign_max, _sign_min, NULL)"),
+            }
+        )
+        .withColumn("_net", F.expr("sqrt(_x * _x + _y * _y)"))
+        .withColumns(
+            {
+                "_alignment": F.expr(f"if(_cum > {MAGNITUDE_EPSILON}D, _net / _cum, 0D)"),
+                "_angle": F.expr(f"if(_net > {MAGNITUDE_EPSILON}D, atan2(_y, _x), 0D)"),
+            }
+        )
+        # adding 0 turns a negative zero into zero
+        .selectExpr(
+            *[f"`{c}`" for c in others],
+            f"bround(pmod(degrees(bround(_angle, 10)), 360D), {digits}) AS bearing_mean",
+            f"bround(_alignment, {digits}) AS bearing_alignment",
+            f"bround(_net, {digits}) AS bearing_magnitude_net",
+            f"bround(_cum, {digits}) AS bearing_magnitude_cum",
+            f"bround(_sign * _alignment * cos(_angle) + 0D, {digits}) AS poleward_affinity",
+            f"bround(_alignment * sin(_angle) + 0D, {digits}) AS eastward_affinity",
+        )
+    )
+
+
+_WINDS = "array(" + ", ".join(f"'{wind}'" for wind in COMPASS_WINDS) + ")"
 
 
 def compass_label(center: Column) -> Column:
@@ -80,8 +95,7 @@ def compass_label(center: Column) -> Column:
     step = 360.0 / len(COMPASS_WINDS)
     position = F.floor(center / step)
     is_wind = (center == position * step) & (center >= 0) & (center < 360)
-    winds = F.array(*[F.lit(w) for w in COMPASS_WINDS])
-    return F.when(is_wind, F.try_element_at(winds, (position + 1).cast("int")))
+    return F.when(is_wind, F.try_element_at(F.expr(_WINDS), (position + 1).cast("int")))
 
 
 def fine_cells(resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS) -> int:
@@ -100,47 +114,45 @@ def fine_cell(bearing: Column, cells: int = fine_cells()) -> Column:
     )
 
 
-def dense_cells(entries: Column, cells: int = fine_cells()) -> Column:
-    """List of ``struct(cell, weight)`` to a list with one weight per cell."""
-    lookup = F.map_from_entries(entries)
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(cells - 1)),
-        lambda cell: F.coalesce(F.try_element_at(lookup, cell), F.lit(0.0)),
-    )
-
+def with_histograms(
+    df: DataFrame,
+    entries: str,
+    resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS,
+    output: str = "bearings",
+) -> DataFrame:
+    """Turn a list of ``struct(cell, weight)`` into north-centred histograms, all in one list.
 
-def compass_histogram(weights: Column, num_bins: int, cells: int = fine_cells()) -> Column:
-    """North-centred histogram with ``num_bins`` bins from a dense list of cell weights."""
-    half = cells // (2 * num_bins)
-    # the half bin before north moves to the front, then every bin is a run of cells
-    turned = F.concat(
-        F.slice(weights, cells - half + 1, half), F.slice(weights, 1, cells - half)
-    )
-    total = F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(num_bins - 1)),
-        lambda i: F.aggregate(
-            F.slice(turned, i * (2 * half) + 1, F.lit(2 * half)),
-            F.lit(0.0),
-            lambda a, w: a + w,
-        ),
+    A bin of resolution n is a run of ``cells / n`` fine cells that starts half a bin before its
+    wind. The weights are laid out twice in a row, so the bin around north needs no special case.
+    """
+    cells = fine_cells(resolutions)
+    winds = len(COMPASS_WINDS)
+    total = "aggregate(slice(_twice, 1, {0}), 0D, (a, w) -> a + w)".format(cells)
+    count = (
+        f"aggregate(slice(_twice, cast({cells} + (2 * i - 1) * {cells} / (2 * n) + 1 AS int), "
+        f"cast({cells} / n AS int)), 0D, (a, w) -> a + w)"
     )
-    return F.transform(
-        counts,
-        lambda count, i: F.struct(
-            F.lit(num_bins).alias("num_bins"),
-            (i + 1).alias("bin_index"),
-            (i * F.lit(360.0 / num_bins)).alias("bin_center"),
-            count.alias("bin_count"),
-            F.when(total > 0, count / total).otherwise(0.0).alias("bin_proportion"),
-            compass_label(i * F.lit(360.0 / num_bins)).alias("bin_label"),
-        ),
+    bins = f"""flatten(transform(array({", ".join(map(str, resolutions))}), n ->
+        transform(sequence(0, n - 1), i -> named_struct(
+            'num_bins', n, 'bin_index', i + 1, 'bin_center', i * 360D / n,
+            'bin_count', {count}))))"""
+    labelled = f"""transform(_bins, b -> named_struct(
+        'num_bins', b.num_bins, 'bin_index', b.bin_index, 'bin_center', b.bin_center,
+        'bin_count', b.bin_count,
+        'bin_proportion', if(_total > 0, b.bin_count / _total, 0D),
+        'bin_label', if((b.bin_index - 1) * {winds} % b.num_bins = 0, element_at({_WINDS},
+            cast((b.bin_index - 1) * {winds} / b.num_bins + 1 AS int)), NULL)))"""
+    others = [f"`{c}`" for c in df.columns if c not in (entries, output)]
+    return (
+        df.withColumn("_lookup", F.map_from_entries(entries))
+        .withColumn(
+            "_once",
+            F.expr(
+                f"transform(sequence(0, {cells - 1}), "
+                "cell -> coalesce(try_element_at(_lookup, cell), 0D))"
+            ),
+        )
+        .withColumn("_twice", F.expr("concat(_once, _once)"))
+        .withColumns({"_bins": F.expr(bins), "_total": F.expr(total)})
+        .selectExpr(*others, f"{labelled} AS `{output}`")
     )
-
-
-def compass_histograms(
-    weights: Column, resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS
-) -> Column:
-    """All resolutions one after another in one list of bin structs."""
-    cells = fine_cells(resolutions)
-    return F.concat(*[compass_histogram(weights, n, cells) for n in resolutions])

@@ -36,10 +36,10 @@ def bin_key(num_bins: Column, label: Column) -> Column:
 
 
 def round_doubles(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round every double column, half to even."""
+    """Round every double column, halves away from zero."""
     return df.select(
         *[
-            F.bround(f.name, digits).alias(f.name)
+            F.round(f.name, digits).alias(f.name)
             if isinstance(f.dataType, T.DoubleType)
             else F.col(f.name)
             for f in df.schema.fields

@@ -151,15 +151,10 @@ def merge_cells(
         *[c.alias(n) for n, c in circular.merged_direction_sums().items()],
         F.collect_list(entry).alias("_entries"),
     )
-    return (
-        merged.withColumn("vertical_drop", F.col("max_elevation") - F.col("min_elevation"))
-        .withColumns(circular.direction_stats())
-        .withColumn(
-            "_weights",
-            circular.dense_cells(F.col("_entries"), circular.fine_cells(resolutions)),
-        )
-        .withColumn("bearings", circular.compass_histograms(F.col("_weights"), resolutions))
-        .drop("_entries", "_weights", *circular.DIRECTION_SUMS)
+    return merged.withColumn(
+        "vertical_drop", F.col("max_elevation") - F.col("min_elevation")
+    ).transform(circular.with_direction_stats).transform(
+        circular.with_histograms, "_entries", resolutions
     )
 
 
@@ -184,9 +179,7 @@ def area_metrics(
 
 def bearing_distribution(areas: DataFrame) -> DataFrame:
     """Long histogram table, one row per area, resolution and bin."""
-    return areas.select("ski_area_id", F.explode("bearings").alias("_b")).select(
-        "ski_area_id", "_b.*"
-    )
+    return areas.select("ski_area_id", F.inline("bearings"))
 
 
 def bearing_histogram(points: DataFrame, group: list[str], num_bins: int) -> DataFrame:
@@ -201,12 +194,8 @@ def bearing_histogram(points: DataFrame, group: list[str], num_bins: int) -> Dat
     return (
         sums.groupBy(*group)
         .agg(F.collect_list(entry).alias("_entries"))
-        .withColumn("_weights", circular.dense_cells(F.col("_entries"), cells))
-        .select(
-            *group,
-            F.explode(circular.compass_histogram(F.col("_weights"), num_bins, cells)).alias("_b"),
-        )
-        .select(*group, "_b.*")
+        .transform(circular.with_histograms, "_entries", (num_bins,))
+        .select(*group, F.inline("bearings"))
     )
 
 
@@ -228,7 +217,7 @@ def bearing_stats(
     return (
         rows.groupBy(*group)
         .agg(*[c.alias(n) for n, c in sums.items()])
-        .select(*group, *[c.alias(n) for n, c in circular.direction_stats().items()])
+        .transform(circular.with_direction_stats)
     )
 
 

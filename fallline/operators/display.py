@@ -37,7 +37,7 @@ def cardinal_pivot(distribution: DataFrame) -> DataFrame:
         .withColumn("_key", bin_key(F.col("num_bins"), F.col("bin_label")))
         .groupBy("ski_area_id")
         .pivot("_key", keys)
-        .agg(F.bround(F.max("bin_proportion"), 5))
+        .agg(F.round(F.max("bin_proportion"), 5))
     )
     shown = [f"{n}_{wind}" for n, wind in CARDINAL_BINS]
     return prefix_columns(
@@ -50,7 +50,7 @@ def cardinal_share(num_bins: int, wind: str) -> Column:
     matching = F.filter(
         "bearings", lambda b: (b["num_bins"] == num_bins) & (b["bin_label"] == wind)
     )
-    return F.bround(F.try_element_at(matching, F.lit(1))["bin_proportion"], 5)
+    return F.round(F.try_element_at(matching, F.lit(1))["bin_proportion"], 5)
 
 
 def frontend_table(areas: DataFrame) -> DataFrame:

@@ -133,8 +133,7 @@ class LatitudeBearingGrid:
             self.binned_segments(runs, coordinates)
             .groupBy("hemisphere", "_band")
             .agg(*self._sums(), *[c.alias(n) for n, c in sums.items()])
-            .withColumns(circular.direction_stats())
-            .drop(*circular.DIRECTION_SUMS)
+            .transform(circular.with_direction_stats)
         )
         bands = self.latitude_bands(runs.sparkSession, by_hemisphere=True)
         return (
@@ -221,5 +220,5 @@ def clip_values(df: DataFrame, keep: tuple[str, ...], low: float, high: float) -
 def _filled() -> dict[str, Column]:
     return {
         "segment_count": F.coalesce("segment_count", F.lit(0)),
-        "combined_vertical": F.bround(F.coalesce("combined_vertical", F.lit(0.0)), 5),
+        "combined_vertical": F.round(F.coalesce("combined_vertical", F.lit(0.0)), 5),
     }

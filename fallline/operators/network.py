@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fallline.functions import circular
 from fallline.operators.areas import area_points, is_downhill, run_area_bridge
+from fallline.schema import BEARING_STATS
 
 
 def path_edges(points: DataFrame, keys: list[str]) -> DataFrame:
@@ -57,16 +58,16 @@ def graph_summary(runs: DataFrame, coordinates: str = "run_coordinates_clean") -
         *[c.alias(n) for n, c in sums.items()],
     )
     north = F.when(F.col("latitude") > 0, 1).when(F.col("latitude").isNotNull(), -1)
-    stats = {
-        n: F.when(F.col("combined_vertical").isNotNull(), c)
-        for n, c in circular.direction_stats().items()
+    only_with_edges = {
+        n: F.when(F.col("combined_vertical").isNotNull(), F.col(n)) for n in BEARING_STATS
     }
     return (
         counts.join(nodes, "ski_area_id", "left")
         .join(edge_sums, "ski_area_id", "left")
         .withColumn("hemisphere", F.when(north > 0, "north").when(north < 0, "south"))
         .withColumns({"_sign_min": north, "_sign_max": north})
-        .withColumns(stats)
+        .transform(circular.with_direction_stats)
+        .withColumns(only_with_edges)
         .select(
             "ski_area_id",
             "run_count",
@@ -74,6 +75,6 @@ def graph_summary(runs: DataFrame, coordinates: str = "run_coordinates_clean") -
             "longitude",
             "hemisphere",
             "combined_vertical",
-            *stats,
+            *BEARING_STATS,
         )
     )

@@ -3,9 +3,8 @@
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fallline.functions import circular
 from fallline.functions.text import status_label
@@ -106,8 +105,7 @@ def rollup(
             *[c.alias(n) for n, c in circular.merged_direction_sums().items()],
         )
         .withColumn("vertical_drop", F.col("max_elevation") - F.col("min_elevation"))
-        .withColumns(circular.direction_stats())
-        .drop(*circular.DIRECTION_SUMS)
+        .transform(circular.with_direction_stats)
     )
     bin_struct = F.struct(
         "num_bins", "bin_index", "bin_center", "bin_count", "bin_proportion", "bin_label"

@@ -5,7 +5,7 @@ expressions, and each query names the ones it needs.
 """
 
 from fallline.plans.registry import COUNTRY, LINE
-from fallline.schema import COMPASS_WINDS, INEQUALITY_METRICS
+from fallline.schema import BEARING_STATS, COMPASS_WINDS, INEQUALITY_METRICS
 
 # ---------------------------------------------------------------------------
 # Common steps
@@ -203,7 +203,8 @@ STEPS = {
     "binned": (
         ("aseg", "bins"),
         """SELECT ski_area_id, n AS num_bins,
-                  (least(floor(bearing / (180e0/n)), 2*n - 1) + 1) % (2*n) // 2 + 1 AS bin_index,
+                  CAST(least(floor(bearing / (180e0/n)), 2*n - 1) + 1 AS BIGINT) % (2*n) // 2 + 1
+                      AS bin_index,
                   sum(distance_vertical_drop) AS w
            FROM aseg, (SELECT DISTINCT num_bins AS n FROM bins)
            WHERE bearing IS NOT NULL GROUP BY ALL""",
@@ -346,14 +347,12 @@ def sql(needs: str, body: str) -> str:
 # Queries
 # ---------------------------------------------------------------------------
 
-_STAT_COLUMNS = """round(bearing_mean, 5) AS bearing_mean,
-    round(bearing_alignment, 6) AS bearing_alignment,
-    round(bearing_magnitude_net, 4) AS bearing_magnitude_net,
-    round(bearing_magnitude_cum, 4) AS bearing_magnitude_cum,
-    round(poleward_affinity, 6) AS poleward_affinity,
-    round(eastward_affinity, 6) AS eastward_affinity"""
+_STAT_COLUMNS = """bearing_mean, bearing_alignment,
+    round(bearing_magnitude_net, 2) AS bearing_magnitude_net,
+    round(bearing_magnitude_cum, 2) AS bearing_magnitude_cum,
+    poleward_affinity, eastward_affinity"""
 
-_PLACE_COLUMNS = """round(latitude, 6) AS latitude, round(longitude, 6) AS longitude,
+_PLACE_COLUMNS = """round(latitude, 3) AS latitude, round(longitude, 3) AS longitude,
     round(min_elevation, 6) AS min_elevation, round(max_elevation, 6) AS max_elevation,
     round(vertical_drop, 6) AS vertical_drop"""
 
@@ -423,6 +422,28 @@ def _kept(needs: str, table: str, conditions: dict[str, str]) -> str:
     )
 
 
+_SHARES = {
+    "p4n": '"bin_proportion_4_N"',
+    "p4e": '"bin_proportion_4_E"',
+    "p4s": '"bin_proportion_4_S"',
+    "p4w": '"bin_proportion_4_W"',
+    "p2n": '"bin_proportion_2_N"',
+}
+
+
+def _round_again(columns: str, first: int, names: dict[str, str] | None = None) -> str:
+    """Round to ``first`` digits and then to 4, the second time on exact decimals."""
+    return ", ".join(
+        f"CAST(round(CAST(round({c}, {first}) AS DECIMAL(18, {first})), 4) AS DOUBLE) "
+        f"AS {(names or {}).get(c, c)}"
+        for c in columns.split()
+    )
+
+
+def _only_with_edges() -> str:
+    return ", ".join(f"CASE WHEN c IS NOT NULL THEN {n} END AS {n}" for n in BEARING_STATS)
+
+
 def _round_all(columns: str, digits: int) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
 
@@ -677,7 +698,7 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT hemisphere, CAST(12 AS INTEGER) AS num_bins,
                       CAST(i AS INTEGER) AS bin_index, (i - 1) * 30e0 AS bin_center,
                       round(coalesce(w, 0), 4) AS bin_count,
-                      round(coalesce(w, 0) / sum(w) OVER (PARTITION BY hemisphere), 6)
+                      round(coalesce(coalesce(w, 0) / sum(w) OVER (PARTITION BY hemisphere), 0), 6)
                           AS bin_proportion,
                       CASE WHEN (i - 1) % 3 = 0 THEN
                            {COMPASS_WINDS}[CAST((i - 1) * 30 / 11.25 AS INTEGER) + 1] END
@@ -872,15 +893,11 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT ski_area_id, ski_area_name, osm_status, {_FLAG} AS country_emoji, country,
                        country_code, region, locality, round(latitude, 4) AS latitude,
                        run_count, lift_count,
-                       round(round(combined_vertical, 4), 3) AS combined_vertical,
-                       {_round_all("min_elevation max_elevation vertical_drop", 4)},
-                       round(round(bearing_mean, 4), 3) AS bearing_mean,
-                       {_round_all("bearing_alignment poleward_affinity eastward_affinity", 4)},
-                       round(round(p4n, 5), 4) AS "bin_proportion_4_N",
-                       round(round(p4e, 5), 4) AS "bin_proportion_4_E",
-                       round(round(p4s, 5), 4) AS "bin_proportion_4_S",
-                       round(round(p4w, 5), 4) AS "bin_proportion_4_W",
-                       round(round(p2n, 5), 4) AS "bin_proportion_2_N", ski_area_id AS rose
+                       {_round_all("combined_vertical min_elevation max_elevation", 4)},
+                       {_round_all("vertical_drop", 4)},
+                       {_round_again("bearing_mean bearing_alignment", 7)},
+                       {_round_again("poleward_affinity eastward_affinity", 7)},
+                       {_round_again("p4n p4e p4s p4w p2n", 5, _SHARES)}, ski_area_id AS rose
                 FROM front""",
         ),
         "flag_emoji": sql("dim", f"SELECT ski_area_id, {_FLAG} AS flag FROM dim"),
@@ -964,8 +981,9 @@ def oracle_sql() -> dict[str, str]:
                       round(min(min_elevation), 4) AS min_elevation_min,
                       round(max(max_elevation), 4) AS max_elevation_max, """
             + ", ".join(
-                f"round(sum(combined_vertical * round(round({p}, 5), 4)) "
-                f'/ sum(combined_vertical), 6) AS "bin_proportion_{k}_mean"'
+                "round(sum(combined_vertical * CAST(round(CAST(round("
+                f"{p}, 5) AS DECIMAL(18, 5)), 4) AS DOUBLE)) / sum(combined_vertical), 6) "
+                f'AS "bin_proportion_{k}_mean"'
                 for p, k in (
                     ("p4n", "4_N"),
                     ("p4e", "4_E"),
@@ -1024,13 +1042,12 @@ def oracle_sql() -> dict[str, str]:
         ),
         "graph_summary": sql(
             "aseg",
-            f"""SELECT ski_area_id, run_count, round(latitude, 6) AS latitude,
-                       round(longitude, 6) AS longitude, hemisphere,
+            f"""SELECT ski_area_id, run_count, round(latitude, 3) AS latitude,
+                       round(longitude, 3) AS longitude, hemisphere,
                        round(combined_vertical, 4) AS combined_vertical,
-                       {_STAT_COLUMNS.replace("round(", "round(CASE WHEN c IS NOT NULL THEN ")
-                                     .replace(", 5)", " END, 5)").replace(", 6)", " END, 6)")
-                                     .replace(", 4)", " END, 4)")}
-                FROM (SELECT *, c AS combined_vertical, {stats_sql("x", "y", "c", "s")} FROM (
+                       {_STAT_COLUMNS}
+                FROM (SELECT * REPLACE ({_only_with_edges()}) FROM (
+                    SELECT *, c AS combined_vertical, {stats_sql("x", "y", "c", "s")} FROM (
                     SELECT *, CASE WHEN latitude > 0 THEN 1 WHEN latitude IS NOT NULL THEN -1 END
                                   AS s,
                            CASE WHEN latitude > 0 THEN 'north' WHEN latitude IS NOT NULL
@@ -1045,7 +1062,7 @@ def oracle_sql() -> dict[str, str]:
                                       sum(distance_vertical_drop * cos(radians(bearing))) AS x,
                                       sum(distance_vertical_drop * sin(radians(bearing))) AS y
                                FROM aseg WHERE distance_horizontal > 0 GROUP BY ALL)
-                         USING (ski_area_id)))""",
+                         USING (ski_area_id))))""",
         ),
         "validate_bins": sql(
             "labelled",

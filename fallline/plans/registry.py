@@ -49,20 +49,26 @@ def shown(df: DataFrame, **digits: int) -> DataFrame:
     )
 
 
-#: Large sums are compared to fewer digits, as the order of addition shows in the last ones.
+#: Digits that neither show the order of addition nor put many values on a rounding edge: sums and
+#: averages get few, values the library has rounded already keep what they have.
 _DIGITS = {
     "combined_vertical": 4,
     "combined_distance": 3,
     "total_combined_vertical": 4,
-    "bearing_magnitude_net": 4,
-    "bearing_magnitude_cum": 4,
-    "bearing_mean": 5,
+    "bearing_mean": 7,
+    "bearing_alignment": 7,
+    "bearing_magnitude_net": 2,
+    "bearing_magnitude_cum": 2,
+    "poleward_affinity": 7,
+    "eastward_affinity": 7,
     "distance_horizontal": 5,
     "distance_3d": 5,
     "value": 3,
     "value_cumsum": 3,
     "bin_count": 4,
 }
+#: Average positions of areas and groups.
+AVERAGED = {"latitude": 3, "longitude": 3}
 
 
 # -- inputs -----------------------------------------------------------------
@@ -440,7 +446,7 @@ def side_of_line(spark, sf):
 @query
 def area_metrics(spark, sf):
     return shown(
-        metrics(spark, sf).drop("bearings", "ski_area_websites", "ski_area_sources")
+        metrics(spark, sf).drop("bearings", "ski_area_websites", "ski_area_sources"), **AVERAGED
     )
 
 
@@ -512,7 +518,7 @@ def predicate_chain(spark, sf):
 
 
 def _rolled(groups: DataFrame) -> DataFrame:
-    return shown(groups.drop("bearings"))
+    return shown(groups.drop("bearings"), **AVERAGED)
 
 
 @query
@@ -633,7 +639,7 @@ def cardinal_pivot(spark, sf):
 
 @query
 def frontend_table(spark, sf):
-    return shown(D.frontend_table(metrics(spark, sf)), bearing_mean=3, combined_vertical=3)
+    return D.frontend_table(metrics(spark, sf))
 
 
 @query
@@ -772,7 +778,7 @@ def path_nodes(spark, sf):
 
 @query
 def graph_summary(spark, sf):
-    return shown(N.graph_summary(runs(spark, sf)))
+    return shown(N.graph_summary(runs(spark, sf)), **AVERAGED)
 
 
 # -- quality ----------------------------------------------------------------

@@ -7,196 +7,136 @@ third of the runs. Some runs lead uphill, some have impossible elevations, some
 some have no area or two, so that the loaders have something to do.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK = 24
-#: First position of each run in a block.
-RUN_STARTS = (0, 1, 3, 8)
 
-DIFFICULTIES = (
-    "novice",
-    "easy",
-    "intermediate",
-    "advanced",
-    "expert",
-    "extreme",
-    "freeride",
-    "other",
-)
-STATUSES = ("operating", "abandoned", "proposed", "disused")
-CONVENTIONS = ("japan", "europe", "north_america")
+#: The columns in use; with a given schema no job has to look into the files first.
+COLUMNS = {
+    "events": "event_id bigint, user_id bigint, value double",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: tuple[str, ...], number: Column) -> Column:
-    return F.element_at(
-        F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int")
-    )
-
-
-def _div(number: Column, by: int) -> Column:
-    return F.floor(number / by).cast("bigint")
+_AREA_REFS = "array<struct<properties:struct<id:string>>>"
 
 
-def _area_ref(number: Column) -> Column:
-    return F.struct(F.struct(F.concat(F.lit("a"), number.cast("string")).alias("id")).alias("properties"))
+def _area_ref(number: str) -> str:
+    return f"named_struct('properties', named_struct('id', concat('a', {number})))"
 
 
-def event_points(events: DataFrame) -> DataFrame:
-    """Events with their run number and their place in the run."""
-    position = F.col("event_id") % BLOCK
-    part = sum((F.when(position >= s, 1).otherwise(0) for s in RUN_STARTS[1:]), F.lit(0))
-    start = F.element_at(F.array(*[F.lit(s) for s in RUN_STARTS]), (part + 1).cast("int"))
-    return events.select(
-        (_div(F.col("event_id"), BLOCK) * len(RUN_STARTS) + part).alias("run_no"),
-        (position - start).cast("int").alias("idx"),
+def run_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as run features, in the shape of the source files."""
+    points = table(spark, sf_dir, "events").selectExpr(
+        "event_id div 24 * 4 + CASE WHEN event_id % 24 >= 8 THEN 3 WHEN event_id % 24 >= 3 THEN 2 "
+        "WHEN event_id % 24 >= 1 THEN 1 ELSE 0 END AS no",
+        "cast(event_id % 24 - CASE WHEN event_id % 24 >= 8 THEN 8 WHEN event_id % 24 >= 3 THEN 3 "
+        "WHEN event_id % 24 >= 1 THEN 1 ELSE 0 END AS int) AS idx",
         "event_id",
         "user_id",
         "value",
     )
-
-
-def run_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as run features, in the shape of the source files."""
-    points = event_points(table(spark, sf_dir, "events"))
     # 16 points at most per list
-    runs = points.groupBy("run_no").agg(
-        F.array_sort(F.collect_list(F.struct("idx", "event_id", "user_id", "value"))).alias("pts")
-    )
-    no, home = F.col("run_no"), F.col("pts")[0]["user_id"]
-    runs = runs.select("run_no", "pts", home.alias("home"))
-    home = F.col("home")
-
-    def triple(p: Column) -> Column:
-        noise = (p["event_id"] % 7) * F.lit(1e-9)
-        longitude = (home * 53) % 340 - 170 + (p["event_id"] * 6151) % 20011 / F.lit(1e6) + noise
-        latitude = (home * 37) % 121 - 60 + (p["event_id"] * 7919) % 20011 / F.lit(1e6) + noise
-        uphill = no % 9 == 4
-        height = F.when(uphill, 900 + p["idx"] * 60).otherwise(1800 - p["idx"] * 60)
-        elevation = height + p["value"] * 2 + (p["event_id"] % 4) * F.lit(0.001)
-        broken = (p["event_id"] % 97 == 11) | (no % 61 == 5)
-        return F.array(longitude, latitude, F.when(broken, F.lit(-9999.0)).otherwise(elevation))
-
-    no_area = F.array().cast("array<struct<properties:struct<id:string>>>")
-    areas = (
-        F.when(home % 10 == 9, no_area)
-        .when(no % 7 == 0, F.array(_area_ref(home + 10), _area_ref(home)))
-        .otherwise(F.array(_area_ref(home)))
-    )
-    osm = F.struct(
-        F.lit("openstreetmap").alias("type"),
-        F.concat(F.lit("way/"), no.cast("string")).alias("id"),
+    runs = (
+        points.groupBy("no")
+        .agg(F.collect_list(F.struct("idx", "event_id", "user_id", "value")).alias("pts"))
+        .withColumn("pts", F.array_sort("pts"))
+        .withColumn("home", F.expr("pts[0].user_id"))
     )
-    skimap = F.struct(F.lit("skimap.org").alias("type"), no.cast("string").alias("id"))
-    return runs.select(
-        F.lit("Feature").alias("type"),
-        F.struct(
-            F.concat(F.lit("r"), no.cast("string")).alias("id"),
-            F.when(no % 11 != 0, F.concat(F.lit("Run "), no.cast("string"))).alias("name"),
-            F.when(no % 5 == 0, F.array(F.lit("nordic")))
-            .when(no % 5 == 1, F.array(F.lit("skitour"), F.lit("downhill")))
-            .otherwise(F.array(F.lit("downhill")))
-            .alias("uses"),
-            _pick(STATUSES, no).alias("status"),
-            _pick(DIFFICULTIES, no).alias("difficulty"),
-            _pick(CONVENTIONS, home).alias("convention"),
-            areas.alias("skiAreas"),
-            F.when(no % 3 == 0, F.array(skimap, osm)).otherwise(F.array(osm)).alias("sources"),
-        ).alias("properties"),
-        F.struct(
-            F.when(no % 29 == 7, F.lit("Polygon")).otherwise(F.lit("LineString")).alias("type"),
-            F.transform("pts", triple).alias("coordinates"),
-        ).alias("geometry"),
+    noise = "(p.event_id % 7) * 1e-9D"
+    longitude = f"(home * 53) % 340 - 170 + (p.event_id * 6151) % 20011 / 1e6D + {noise}"
+    latitude = f"(home * 37) % 121 - 60 + (p.event_id * 7919) % 20011 / 1e6D + {noise}"
+    elevation = """if(p.event_id % 97 = 11 OR no % 61 = 5, -9999D,
+        if(no % 9 = 4, 900 + p.idx * 60, 1800 - p.idx * 60)
+        + p.value * 2 + (p.event_id % 4) * 1e-3D)"""
+    return runs.selectExpr(
+        "'Feature' AS type",
+        f"""named_struct(
+            'id', concat('r', no),
+            'name', if(no % 11 <> 0, concat('Run ', no), NULL),
+            'uses', CASE no % 5 WHEN 0 THEN array('nordic') WHEN 1 THEN array('skitour', 'downhill')
+                    ELSE array('downhill') END,
+            'status', element_at(array('operating', 'abandoned', 'proposed', 'disused'),
+                                 cast(no % 4 + 1 AS int)),
+            'difficulty', element_at(array('novice', 'easy', 'intermediate', 'advanced', 'expert',
+                                           'extreme', 'freeride', 'other'), cast(no % 8 + 1 AS int)),
+            'convention', element_at(array('japan', 'europe', 'north_america'),
+                                     cast(home % 3 + 1 AS int)),
+            'skiAreas', CASE WHEN home % 10 = 9 THEN cast(array() AS {_AREA_REFS})
+                        WHEN no % 7 = 0 THEN array({_area_ref("home + 10")}, {_area_ref("home")})
+                        ELSE array({_area_ref("home")}) END,
+            'sources', array_compact(array(
+                if(no % 3 = 0, named_struct('type', 'skimap.org', 'id', cast(no AS string)), NULL),
+                named_struct('type', 'openstreetmap', 'id', concat('way/', no))))
+        ) AS properties""",
+        f"""named_struct(
+            'type', if(no % 29 = 7, 'Polygon', 'LineString'),
+            'coordinates', transform(pts, p -> array({longitude}, {latitude}, {elevation}))
+        ) AS geometry""",
     )
 
 
 def lift_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as lifts: fifteen to an area, and every fourth one somewhere else."""
-    key = F.col("c_custkey")
-    near = F.when(key % 4 == 0, _div(key, 60)).otherwise(_div(key, 15))
-    none = F.array().cast("array<struct<properties:struct<id:string>>>")
-    return table(spark, sf_dir, "customer").select(
-        F.lit("Feature").alias("type"),
-        F.struct(
-            F.concat(F.lit("l"), key.cast("string")).alias("id"),
-            F.col("c_name").alias("name"),
-            F.lower("c_mktsegment").alias("liftType"),
-            F.when(F.col("c_mktsegment") == "MACHINERY", "abandoned")
-            .otherwise("operating")
-            .alias("status"),
-            F.when(key % 11 == 0, none)
-            .when(key % 6 == 1, F.array(_area_ref(near), _area_ref(near + 1)))
-            .otherwise(F.array(_area_ref(near)))
-            .alias("skiAreas"),
-            F.array(
-                F.struct(
-                    F.lit("openstreetmap").alias("type"),
-                    F.concat(F.lit("way/"), key.cast("string")).alias("id"),
-                )
-            ).alias("sources"),
-        ).alias("properties"),
-        F.struct(
-            F.when(key % 8 == 3, "Polygon").otherwise("LineString").alias("type"),
-            F.lit("[]").alias("coordinates"),
-        ).alias("geometry"),
+    near = "if(c_custkey % 4 = 0, c_custkey div 60, c_custkey div 15)"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "'Feature' AS type",
+        f"""named_struct(
+            'id', concat('l', c_custkey),
+            'name', c_name,
+            'liftType', lower(c_mktsegment),
+            'status', if(c_mktsegment = 'MACHINERY', 'abandoned', 'operating'),
+            'skiAreas', CASE WHEN c_custkey % 11 = 0 THEN cast(array() AS {_AREA_REFS})
+                        WHEN c_custkey % 6 = 1
+                        THEN array({_area_ref(near)}, {_area_ref(near + " + 1")})
+                        ELSE array({_area_ref(near)}) END,
+            'sources', array(named_struct('type', 'openstreetmap', 'id', concat('way/', c_custkey)))
+        ) AS properties""",
+        """named_struct('type', if(c_custkey % 8 = 3, 'Polygon', 'LineString'),
+                        'coordinates', '[]') AS geometry""",
     )
 
 
 def area_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as ski areas in their nation and region."""
-    key, nation = F.col("s_suppkey"), F.col("n_nationkey")
     places = (
         table(spark, sf_dir, "supplier")
-        .join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == nation)
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "nation"), F.expr("s_nationkey = n_nationkey"))
+        .join(table(spark, sf_dir, "region"), F.expr("n_regionkey = r_regionkey"))
     )
-    known = key % 19 != 18
-    letters = tuple("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    code = F.concat(_pick(letters, nation), _pick(letters, nation * 7))
-    number = key.cast("string")
-    return places.select(
-        F.lit("Feature").alias("type"),
-        F.struct(
-            F.concat(F.lit("a"), number).alias("id"),
-            F.when(key % 13 != 0, F.col("s_name")).alias("name"),
-            F.when(key % 37 == 36, "spot").otherwise("skiArea").alias("type"),
-            F.when(key % 5 < 3, "operating").when(key % 5 == 3, "abandoned").alias("status"),
-            (key % 6 == 0).alias("generated"),
-            _pick(CONVENTIONS, key).alias("runConvention"),
-            F.when(key % 17 == 16, F.array(F.lit("nordic")))
-            .otherwise(F.array(F.lit("downhill"), F.lit("nordic")))
-            .alias("activities"),
-            F.array(F.concat(F.lit("https://example.org/"), number)).alias("websites"),
-            F.array(
-                F.struct(
-                    F.lit("openstreetmap").alias("type"),
-                    F.concat(F.lit("relation/"), number).alias("id"),
-                ),
-                F.struct(F.lit("skimap.org").alias("type"), number.alias("id")),
-            ).alias("sources"),
-            F.struct(
-                F.when(known, code).alias("iso3166_1Alpha2"),
-                F.when(known, F.concat(code, F.lit("-"), F.col("r_regionkey").cast("string"))).alias(
-                    "iso3166_2"
-                ),
-                F.struct(
-                    F.struct(
-                        F.when(known, F.col("n_name")).alias("country"),
-                        F.when(known, F.col("r_name")).alias("region"),
-                        F.when(key % 3 == 0, F.concat(F.lit("Town "), (key % 50).cast("string"))).alias(
-                            "locality"
-                        ),
-                    ).alias("en")
-                ).alias("localized"),
-            ).alias("location"),
-        ).alias("properties"),
-        F.struct(
-            F.lit("Point").alias("type"), F.lit("[0,0]").alias("coordinates")
-        ).alias("geometry"),
+    code = "concat(char(65 + n_nationkey % 26), char(65 + (n_nationkey * 7) % 26))"
+    return places.selectExpr(
+        "'Feature' AS type",
+        f"""named_struct(
+            'id', concat('a', s_suppkey),
+            'name', if(s_suppkey % 13 <> 0, s_name, NULL),
+            'type', if(s_suppkey % 37 = 36, 'spot', 'skiArea'),
+            'status', CASE WHEN s_suppkey % 5 < 3 THEN 'operating'
+                      WHEN s_suppkey % 5 = 3 THEN 'abandoned' END,
+            'generated', s_suppkey % 6 = 0,
+            'runConvention', element_at(array('japan', 'europe', 'north_america'),
+                                        cast(s_suppkey % 3 + 1 AS int)),
+            'activities', if(s_suppkey % 17 = 16, array('nordic'), array('downhill', 'nordic')),
+            'websites', array(concat('https://example.org/', s_suppkey)),
+            'sources', array(
+                named_struct('type', 'openstreetmap', 'id', concat('relation/', s_suppkey)),
+                named_struct('type', 'skimap.org', 'id', cast(s_suppkey AS string))),
+            'location', named_struct(
+                'iso3166_1Alpha2', if(s_suppkey % 19 <> 18, {code}, NULL),
+                'iso3166_2', if(s_suppkey % 19 <> 18, concat({code}, '-', r_regionkey), NULL),
+                'localized', named_struct('en', named_struct(
+                    'country', if(s_suppkey % 19 <> 18, n_name, NULL),
+                    'region', if(s_suppkey % 19 <> 18, r_name, NULL),
+                    'locality', if(s_suppkey % 3 = 0, concat('Town ', s_suppkey % 50), NULL))))
+        ) AS properties""",
+        "named_struct('type', 'Point', 'coordinates', '[0,0]') AS geometry",
     )
 
 
@@ -206,11 +146,10 @@ def flat_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     Users are as uneven as the events are, and the numbers have gaps; this is the input for the
     flat form of the segments.
     """
-    number, user = F.col("event_id"), F.col("user_id")
-    return table(spark, sf_dir, "events").select(
-        user.alias("path_id"),
-        number.alias("index"),
-        ((user * 37) % 121 - 60 + (number * 7919) % 20011 / F.lit(1e6)).alias("latitude"),
-        ((user * 53) % 340 - 170 + (number * 6151) % 20011 / F.lit(1e6)).alias("longitude"),
-        (500 + F.col("value") * 3).alias("elevation"),
+    return table(spark, sf_dir, "events").selectExpr(
+        "user_id AS path_id",
+        "event_id AS index",
+        "(user_id * 37) % 121 - 60 + (event_id * 7919) % 20011 / 1e6D AS latitude",
+        "(user_id * 53) % 340 - 170 + (event_id * 6151) % 20011 / 1e6D AS longitude",
+        "500 + value * 3 AS elevation",
     )
