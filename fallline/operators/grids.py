@@ -207,11 +207,11 @@ class LatitudeBearingGrid:
 
 def clip_values(df: DataFrame, keep: tuple[str, ...], low: float, high: float) -> DataFrame:
     """Limit all columns but those in ``keep`` to [low, high]; NULL stays NULL."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.col(c)
+            f"`{c}`"
             if c in keep
-            else F.when(F.col(c).isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high))).alias(c)
+            else f"if(`{c}` IS NULL, NULL, least(greatest(`{c}`, {low}D), {high}D)) AS `{c}`"
             for c in df.columns
         ]
     )

@@ -5,8 +5,6 @@ with a coordinate list and need no shuffle at all. ``segments_from_points`` work
 of points and shuffles once, by path and chunk.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,7 +124,8 @@ def segments_from_points(
     Each path is cut into chunks of ``chunk_points`` consecutive values of the integer ``order``
     column, and the window runs per chunk, so that one path can hold any share of the table without
     becoming one task. The first point of a chunk takes its predecessor from a small table with the
-    last point of every chunk; paths that fit in one chunk do not appear in it.
+    last point of every chunk; paths that fit in one chunk do not appear in it. Window and join use
+    the same partitioning, so the points are shuffled once. Path columns must not be NULL.
     """
     path = [path] if isinstance(path, str) else list(path)
     fields = ["latitude", "longitude", "elevation"]
@@ -153,21 +152,12 @@ def segments_from_points(
         .filter(F.col("_rank") > 1)
         .drop("_rank")
     )
-    keys = [*path, "_chunk"]
-    carried = carried.select(
-        *[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)],
-        *[f"_carry_{f}" for f in fields],
-    )
-    same = reduce(
-        lambda a, b: a & b,
-        [lagged[k].eqNullSafe(carried[f"_key_{i}"]) for i, k in enumerate(keys)],
-    )
     before = {
         f: F.when(F.col("_row") == 1, F.col(f"_carry_{f}")).otherwise(F.col(f"_lag_{f}"))
         for f in fields
     }
     measured = (
-        lagged.join(carried, same, "left")
+        lagged.join(carried, [*path, "_chunk"], "left")
         .select(*points.columns, *[c.alias(f"_prev_{f}") for f, c in before.items()])
         .withColumns(
             segment_basics(

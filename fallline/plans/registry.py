@@ -41,9 +41,9 @@ def query(function: Query) -> Query:
 
 def shown(df: DataFrame, **digits: int) -> DataFrame:
     """Doubles rounded to 6 digits, or to as many as given for a column."""
-    return df.select(
+    return df.selectExpr(
         *[
-            F.bround(n, digits.get(n, _DIGITS.get(n, 6))).alias(n) if t == "double" else F.col(n)
+            f"bround(`{n}`, {digits.get(n, _DIGITS.get(n, 6))}) AS `{n}`" if t == "double" else f"`{n}`"
             for n, t in df.dtypes
         ]
     )

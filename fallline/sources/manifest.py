@@ -19,11 +19,16 @@ def write_manifest(records: DataFrame, path: str) -> None:
     records.write.mode("overwrite").json(path)
 
 
+#: Suffixes of the compressed files that Spark's text reader unpacks.
+_COMPRESSED = r"\.(gz|bz2|deflate|zst|snappy|lz4)$"
+
+
 def file_manifest(spark: SparkSession, path: str | list[str], pattern: str = "*") -> DataFrame:
     """Size, unpacked size and SHA-256 of each file, one row per file.
 
     A file is one value here, as a checksum needs all its bytes in order, so files must stay below
-    2 GB; many files spread over tasks.
+    2 GB; many files spread over tasks. Only compressed files are read again to measure their
+    content.
     """
     paths = [path] if isinstance(path, str) else list(path)
     stored = (
@@ -38,12 +43,17 @@ def file_manifest(spark: SparkSession, path: str | list[str], pattern: str = "*"
         )
     )
     unpacked = (
-        spark.read.option("wholetext", True)
-        .option("pathGlobFilter", pattern)
-        .text(paths)
+        spark.read.option("pathGlobFilter", pattern)
+        .text(paths, wholetext=True)
+        .filter(F.col("_metadata.file_path").rlike(_COMPRESSED))
         .select(
             F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("relative_path"),
-            (F.octet_length("value") / _MIB).alias("content_size_mb"),
+            (F.octet_length("value") / _MIB).alias("_unpacked"),
         )
     )
-    return stored.join(unpacked, "relative_path", "left")
+    size = F.coalesce("_unpacked", "compressed_size_mb")
+    return (
+        stored.join(unpacked, "relative_path", "left")
+        .withColumn("content_size_mb", size)
+        .drop("_unpacked")
+    )
