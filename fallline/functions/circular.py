@@ -5,7 +5,6 @@ expressions over the finished sums. The sums of groups add up to the sums of the
 statistics of areas can be combined without going back to segments.
 """
 
-from functools import reduce
 from math import lcm
 
 from pyspark.sql import Column, DataFrame
@@ -15,41 +14,34 @@ from fallline.schema import COMPASS_RESOLUTIONS, COMPASS_WINDS, MAGNITUDE_EPSILO
 
 
 def direction_sums(
-    bearing: Column,
-    net: Column | None = None,
-    cum: Column | None = None,
-    sign: Column | None = None,
-) -> dict[str, Column]:
-    """Additive parts of the bearing statistics, as aggregates.
+    bearing: str,
+    net: str | None = None,
+    cum: str | None = None,
+    sign: str | None = None,
+) -> list[Column]:
+    """Additive parts of the bearing statistics, as aggregates over columns or SQL text.
 
     ``net`` scales each unit vector, ``cum`` is the magnitude it stands for; both default to 1.
     ``sign`` is the hemisphere; its minimum and maximum tell later whether all rows share one.
     A row in which any of the given columns is NULL does not count.
     """
-    given = [c for c in (bearing, net, cum, sign) if c is not None]
-    complete = reduce(lambda a, b: a & b, [c.isNotNull() for c in given])
-    net = F.lit(1.0) if net is None else net
-    cum = F.lit(1.0) if cum is None else cum
-    sign = F.lit(None).cast("int") if sign is None else sign
-    angle = F.radians(bearing)
-    return {
-        "_x": F.sum(F.when(complete, net * F.cos(angle))),
-        "_y": F.sum(F.when(complete, net * F.sin(angle))),
-        "_cum": F.sum(F.when(complete, cum)),
-        "_sign_min": F.min(F.when(complete, sign)),
-        "_sign_max": F.max(F.when(complete, sign)),
-    }
-
-
-def merged_direction_sums() -> dict[str, Column]:
+    complete = " AND ".join(f"({c}) IS NOT NULL" for c in (bearing, net, cum, sign) if c)
+    angle = f"radians({bearing})"
+    return [
+        F.expr(f"sum({net or '1D'} * cos({angle})) FILTER (WHERE {complete}) AS _x"),
+        F.expr(f"sum({net or '1D'} * sin({angle})) FILTER (WHERE {complete}) AS _y"),
+        F.expr(f"sum({cum or '1D'}) FILTER (WHERE {complete}) AS _cum"),
+        F.expr(f"min({sign or 'cast(NULL AS int)'}) FILTER (WHERE {complete}) AS _sign_min"),
+        F.expr(f"max({sign or 'cast(NULL AS int)'}) FILTER (WHERE {complete}) AS _sign_max"),
+    ]
+
+
+def merged_direction_sums() -> list[Column]:
     """Aggregates that combine the sums of :func:`direction_sums` over groups."""
-    return {
-        "_x": F.sum("_x"),
-        "_y": F.sum("_y"),
-        "_cum": F.sum("_cum"),
-        "_sign_min": F.min("_sign_min"),
-        "_sign_max": F.max("_sign_max"),
-    }
+    return [
+        F.expr(f"{function}({name}) AS {name}")
+        for function, name in zip(("sum", "sum", "sum", "min", "max"), DIRECTION_SUMS, strict=True)
+    ]
 
 
 DIRECTION_SUMS = ("_x", "_y", "_cum", "_sign_min", "_sign_max")
@@ -106,11 +98,11 @@ def fine_cells(resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS) -> int:
     return 2 * lcm(*resolutions)
 
 
-def fine_cell(bearing: Column, cells: int = fine_cells()) -> Column:
+def fine_cell(bearing: str, cells: int = fine_cells()) -> Column:
     """0-based fine cell of a bearing; 360 belongs to the last one, and others to none."""
-    inside = (bearing >= 0) & (bearing <= 360)
-    return F.when(
-        inside, F.least(F.floor(bearing * cells / 360.0), F.lit(cells - 1)).cast("int")
+    return F.expr(
+        f"if({bearing} >= 0 AND {bearing} <= 360, "
+        f"cast(least(floor({bearing} * {cells} / 360D), {cells - 1}) AS int), NULL)"
     )
 
 

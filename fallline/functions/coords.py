@@ -1,4 +1,7 @@
-"""Coordinate lists and source references, all inside the row."""
+"""Coordinate lists and source references, all inside the row.
+
+Lists are given as SQL text, usually a column name.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -6,96 +9,78 @@ from pyspark.sql import functions as F
 from fallline.schema import LINE_COORDINATES, MIN_ELEVATION_M
 
 
-def parse_line(coordinates_json: Column) -> Column:
+def parse_line(coordinates_json: str) -> Column:
     """Raw JSON text of a line to a list of ``[longitude, latitude, elevation]``."""
     return F.from_json(coordinates_json, LINE_COORDINATES)
 
 
-def structure_coords(triples: Column) -> Column:
-    """``[longitude, latitude, elevation]`` triples to indexed coordinate structs."""
-    return F.transform(
-        triples,
-        lambda point, i: F.struct(
-            i.alias("index"),
-            F.get(point, F.lit(1)).alias("latitude"),
-            F.get(point, F.lit(0)).alias("longitude"),
-            F.get(point, F.lit(2)).alias("elevation"),
-        ),
+def _structured(triples: str) -> str:
+    return (
+        f"transform({triples}, (p, i) -> named_struct('index', i, 'latitude', get(p, 1), "
+        "'longitude', get(p, 0), 'elevation', get(p, 2)))"
     )
 
 
-def clean_triples(
-    triples: Column,
-    min_elevation: float = MIN_ELEVATION_M,
-    ensure_downhill: bool = True,
-) -> Column:
-    """Drop points with impossible elevations, undo float noise, and point the line downhill."""
-    kept = F.filter(triples, lambda point: ~(F.get(point, F.lit(2)) < min_elevation))
-    rounded = F.transform(
-        kept,
-        lambda point: F.array(
-            F.bround(F.get(point, F.lit(0)), 7),
-            F.bround(F.get(point, F.lit(1)), 7),
-            F.bround(F.get(point, F.lit(2)), 2),
-        ),
+def _cleaned(triples: str, min_elevation: float, ensure_downhill: bool) -> str:
+    rounded = (
+        f"transform(filter({triples}, p -> NOT get(p, 2) < {min_elevation}D), "
+        "p -> array(bround(get(p, 0), 7), bround(get(p, 1), 7), bround(get(p, 2), 2)))"
     )
     if not ensure_downhill:
         return rounded
-    first = F.get(F.try_element_at(rounded, F.lit(1)), F.lit(2))
-    last = F.get(F.try_element_at(rounded, F.lit(-1)), F.lit(2))
-    return F.when(first < last, F.reverse(rounded)).otherwise(rounded)
+    # the list of one list gives the cleaned line a name, so it is computed once
+    return (
+        f"get(transform(array({rounded}), line -> if(get(try_element_at(line, 1), 2) "
+        "< get(try_element_at(line, -1), 2), reverse(line), line)), 0)"
+    )
+
+
+def structure_coords(triples: str) -> Column:
+    """``[longitude, latitude, elevation]`` triples to indexed coordinate structs."""
+    return F.expr(_structured(triples))
 
 
 def clean_coords(
-    triples: Column,
+    triples: str,
     min_elevation: float = MIN_ELEVATION_M,
     ensure_downhill: bool = True,
 ) -> Column:
-    """Cleaned line as coordinate structs, numbered again from 0."""
-    return structure_coords(clean_triples(triples, min_elevation, ensure_downhill))
+    """Coordinate structs of the cleaned line, numbered again from 0.
 
+    Points with impossible elevations are dropped, float noise is rounded away, and a line that
+    ends higher than it starts is turned round.
+    """
+    return F.expr(_structured(_cleaned(triples, min_elevation, ensure_downhill)))
 
-def path_triples(coordinates: Column) -> Column:
+
+def path_triples(coordinates: str) -> Column:
     """Coordinate structs back to ``[longitude, latitude, elevation]`` triples."""
-    return F.transform(
-        coordinates, lambda c: F.array(c["longitude"], c["latitude"], c["elevation"])
-    )
+    return F.expr(f"transform({coordinates}, c -> array(c.longitude, c.latitude, c.elevation))")
 
 
-def source_url(source_type: Column, source_id: Column) -> Column:
-    """Web address of a source; an unknown type fails the job."""
-    return (
-        F.when(
-            source_type == "openstreetmap",
-            F.concat(F.lit("https://www.openstreetmap.org/"), source_id),
-        )
-        .when(
-            source_type == "skimap.org",
-            F.concat(F.lit("https://skimap.org/skiareas/view/"), source_id),
-        )
-        .otherwise(
-            F.raise_error(
-                F.concat(
-                    F.lit("unknown source type "),
-                    F.coalesce(source_type, F.lit("NULL")),
-                    F.lit(" for id "),
-                    F.coalesce(source_id, F.lit("NULL")),
-                )
-            ).cast("string")
-        )
-    )
+def _url(source: str) -> str:
+    return f"""CASE {source}.type
+        WHEN 'openstreetmap' THEN concat('https://www.openstreetmap.org/', {source}.id)
+        WHEN 'skimap.org' THEN concat('https://skimap.org/skiareas/view/', {source}.id)
+        ELSE cast(raise_error(concat('unknown source type ', coalesce({source}.type, 'NULL'),
+                                     ' for id ', coalesce({source}.id, 'NULL'))) AS string) END"""
+
+
+def source_url(source: str) -> Column:
+    """Web address of a source struct; an unknown type fails the job."""
+    return F.expr(_url(source))
 
 
-def sources_to_urls(sources: Column) -> Column:
+def sources_to_urls(sources: str) -> Column:
     """Web addresses of a list of sources, in the order of the list."""
-    return F.transform(sources, lambda s: source_url(s["type"], s["id"]))
+    return F.expr(f"transform({sources}, s -> {_url('s')})")
 
 
-def source_keys(sources: Column) -> Column:
+def source_keys(sources: str) -> Column:
     """``type:id`` of every source, sorted."""
-    return F.array_sort(F.transform(sources, lambda s: F.concat_ws(":", s["type"], s["id"])))
+    return F.expr(f"array_sort(transform({sources}, s -> concat_ws(':', s.type, s.id)))")
 
 
-def sorted_ids(areas: Column) -> Column:
+def sorted_ids(areas: str) -> Column:
     """Sorted ids of nested area references."""
-    return F.array_sort(F.transform(areas, lambda a: a["properties"]["id"]))
+    return F.expr(f"array_sort({areas}.properties.id)")

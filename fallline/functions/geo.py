@@ -1,6 +1,8 @@
-"""Points, segments and directions on the globe."""
+"""Points, segments and directions on the globe.
 
-from dataclasses import dataclass
+Functions ending in ``_sql`` take and return SQL text. They serve the operators with many measures,
+where one parsed expression is much quicker to build than a tree of Python calls.
+"""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -8,22 +10,18 @@ from pyspark.sql import functions as F
 from fallline.schema import EARTH_RADIUS_M
 
 
-def hemisphere_sign(latitude: Column) -> Column:
+def hemisphere_sign_sql(latitude: str = "latitude") -> str:
     """1 north, -1 south, NULL on the equator.
 
     Aggregates work on this number rather than on the name: a numeric buffer keeps Spark on hash
     aggregation, while min and max of a string would make it sort the input.
     """
-    return F.when(latitude > 0, F.lit(1)).when(latitude < 0, F.lit(-1))
+    return f"(CASE WHEN {latitude} > 0 THEN 1 WHEN {latitude} < 0 THEN -1 END)"
 
 
-def hemisphere_name(sign: Column) -> Column:
-    return F.when(sign > 0, F.lit("north")).when(sign < 0, F.lit("south"))
-
-
-def hemisphere(latitude: Column) -> Column:
+def hemisphere(latitude: str = "latitude") -> Column:
     """``north``, ``south``, or NULL when the latitude is 0 or missing."""
-    return hemisphere_name(hemisphere_sign(latitude))
+    return F.expr(f"CASE WHEN {latitude} > 0 THEN 'north' WHEN {latitude} < 0 THEN 'south' END")
 
 
 def flip_bearing(latitude: Column, bearing: Column) -> Column:
@@ -34,24 +32,25 @@ def flip_bearing(latitude: Column, bearing: Column) -> Column:
     return F.when(latitude > 0, bearing).otherwise(F.pmod(F.lit(180.0) - bearing, F.lit(360.0)))
 
 
-def great_circle(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def great_circle_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Haversine distance in metres."""
-    half_dlat = F.radians(lat2 - lat1) / 2
-    half_dlon = F.radians(lon2 - lon1) / 2
-    h = F.pow(F.sin(half_dlat), F.lit(2.0)) + F.cos(F.radians(lat1)) * F.cos(
-        F.radians(lat2)
-    ) * F.pow(F.sin(half_dlon), F.lit(2.0))
-    # least() skips NULLs, so the guard keeps an unknown distance unknown
-    h = F.when(h.isNotNull(), F.least(h, F.lit(1.0)))
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(h))
+    h = (
+        f"pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) "
+        f"* pow(sin(radians({lon2} - {lon1}) / 2), 2)"
+    )
+    # least() skips NULLs, so the outer test keeps an unknown distance unknown
+    known = " AND ".join(f"{c} IS NOT NULL" for c in (lat1, lon1, lat2, lon2))
+    return f"if({known}, {2 * EARTH_RADIUS_M}D * asin(sqrt(least({h}, 1D))), NULL)"
 
 
-def initial_bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+def initial_bearing_sql(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     """Compass direction in degrees in which the great circle leaves the first point."""
-    phi1, phi2, dlon = F.radians(lat1), F.radians(lat2), F.radians(lon2 - lon1)
-    east = F.sin(dlon) * F.cos(phi2)
-    north = F.cos(phi1) * F.sin(phi2) - F.sin(phi1) * F.cos(phi2) * F.cos(dlon)
-    return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
+    east = f"sin(radians({lon2} - {lon1})) * cos(radians({lat2}))"
+    north = (
+        f"cos(radians({lat1})) * sin(radians({lat2})) "
+        f"- sin(radians({lat1})) * cos(radians({lat2})) * cos(radians({lon2} - {lon1}))"
+    )
+    return f"pmod(degrees(atan2({east}, {north})), 360D)"
 
 
 def planar_bearing(dx: Column, dy: Column) -> Column:
@@ -77,46 +76,33 @@ def above_line(
     return F.lit(gradient) * longitude + F.lit(offset) < latitude
 
 
-def drop(distance_vertical: Column) -> Column:
-    """The downhill part of a height difference; unknown stays unknown."""
-    return F.when(distance_vertical.isNotNull(), F.greatest(distance_vertical, F.lit(0.0)))
-
-
-@dataclass(frozen=True)
-class Point:
-    """The columns of one end of a segment."""
-
-    latitude: Column
-    longitude: Column
-    elevation: Column
-
-    @classmethod
-    def of(cls, struct: Column) -> "Point":
-        return cls(struct["latitude"], struct["longitude"], struct["elevation"])
+def segment_sql(prev: str, cur: str) -> dict[str, str]:
+    """Measures that need only the two end points.
 
-
-def segment_basics(prev: Point, cur: Point) -> dict[str, Column]:
-    """Measures that need only the two end points."""
-    rise = prev.elevation - cur.elevation
-    ends = (prev.latitude, prev.longitude, cur.latitude, cur.longitude)
+    ``prev`` and ``cur`` are prefixes that make column names of latitude, longitude and elevation.
+    """
+    ends = (f"{prev}latitude", f"{prev}longitude", f"{cur}latitude", f"{cur}longitude")
+    rise = f"({prev}elevation - {cur}elevation)"
     return {
         "distance_vertical": rise,
-        "segment_hash": F.when(prev.latitude.isNotNull(), F.xxhash64(*ends)),
-        "distance_vertical_drop": drop(rise),
-        "distance_horizontal": great_circle(*ends),
-        "bearing": initial_bearing(*ends),
+        "segment_hash": f"if({ends[0]} IS NOT NULL, xxhash64({', '.join(ends)}), NULL)",
+        "distance_vertical_drop": drop_sql(rise),
+        "distance_horizontal": great_circle_sql(*ends),
+        "bearing": initial_bearing_sql(*ends),
     }
 
 
-def distance_3d(horizontal: Column, vertical: Column) -> Column:
-    return F.sqrt(horizontal * horizontal + vertical * vertical)
-
-
-def gradient(horizontal: Column, vertical: Column) -> Column:
-    """Height per horizontal metre; NULL for a step that goes nowhere."""
-    return F.when(horizontal > 0, vertical / horizontal)
+def drop_sql(distance_vertical: str) -> str:
+    """The downhill part of a height difference; unknown stays unknown."""
+    return f"if({distance_vertical} IS NOT NULL, greatest({distance_vertical}, 0D), NULL)"
 
 
-def slope(gradient_: Column) -> Column:
-    """Steepness in degrees."""
-    return F.degrees(F.atan(gradient_))
+def steepness_sql(of: str = "") -> dict[str, str]:
+    """Length, gradient and slope in degrees of a step; a step that goes nowhere has no gradient."""
+    horizontal, vertical = f"{of}distance_horizontal", f"{of}distance_vertical"
+    gradient = f"if({horizontal} > 0, {vertical} / {horizontal}, NULL)"
+    return {
+        "distance_3d": f"sqrt({horizontal} * {horizontal} + {vertical} * {vertical})",
+        "gradient": gradient,
+        "slope": f"degrees(atan({gradient}))",
+    }

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fallline.functions import circular
 from fallline.functions.coords import path_triples, sources_to_urls
-from fallline.functions.geo import hemisphere, hemisphere_sign
+from fallline.functions.geo import hemisphere, hemisphere_sign_sql
 from fallline.operators.segments import explode_coordinates, explode_segments
 from fallline.schema import (
     AREA_DEFAULTS,
@@ -22,7 +22,7 @@ def is_downhill(uses: str = "run_uses") -> Column:
 def run_area_bridge(runs: DataFrame, ids: str = "ski_area_ids") -> DataFrame:
     """One row per run and ski area; runs without an area drop out."""
     others = [c for c in runs.columns if c != ids]
-    return runs.select(F.explode(ids).alias("ski_area_id"), *others).filter(
+    return runs.select(F.explode_outer(ids).alias("ski_area_id"), *others).filter(
         F.col("ski_area_id").isNotNull()
     )
 
@@ -56,7 +56,7 @@ def area_dimension(areas: DataFrame, lifts: DataFrame) -> DataFrame:
             F.col("location__iso3166_1Alpha2").alias("country_code"),
             F.col("location__iso3166_2").alias("country_subdiv_code"),
             F.col("websites").alias("ski_area_websites"),
-            sources_to_urls(F.col("sources")).alias("ski_area_sources"),
+            sources_to_urls("sources").alias("ski_area_sources"),
         )
         .join(lift_count(lifts), "ski_area_id", "left")
     )
@@ -82,7 +82,7 @@ def _area_heads(runs: DataFrame, coordinates: str) -> DataFrame:
     Kept apart from the point aggregate: the distinct count and the string order would force sorts
     and a wider shuffle there, while here there is one narrow row per run.
     """
-    first_latitude = F.get(F.col(f"{coordinates}.latitude"), F.lit(0))
+    first_latitude = f"get({coordinates}.latitude, 0)"
     return (
         runs.filter(is_downhill())
         .select("run_id", "ski_area_ids", hemisphere(first_latitude).alias("_first"))
@@ -106,26 +106,28 @@ def fine_cell_sums(
     and cell (64 cells and one for points without direction) in each task, and cells of a large
     group spread over tasks. All buffers are numbers, so hashing is used throughout.
     """
-    cells = circular.fine_cells(resolutions)
-    sign = hemisphere_sign(F.col("latitude"))
-    vertical = F.col("distance_vertical_drop")
-    return points.groupBy(*group, circular.fine_cell(F.col("bearing"), cells).alias("_cell")).agg(
-        F.count(F.lit(1)).alias("coordinate_count"),
-        F.count("segment_hash").alias("segment_count"),
-        F.sum(vertical).alias("combined_vertical"),
-        F.sum("distance_3d").alias("combined_distance"),
-        F.sum("latitude").alias("_latitude_sum"),
-        F.count("latitude").alias("_latitude_count"),
-        F.sum("longitude").alias("_longitude_sum"),
-        F.count("longitude").alias("_longitude_count"),
-        F.min("elevation").alias("min_elevation"),
-        F.max("elevation").alias("max_elevation"),
-        *[
-            c.alias(n)
-            for n, c in circular.direction_sums(
-                F.col("bearing"), vertical, vertical, sign
-            ).items()
-        ],
+    cell = circular.fine_cell("bearing", circular.fine_cells(resolutions)).alias("_cell")
+    vertical = "distance_vertical_drop"
+    return points.groupBy(*group, cell).agg(
+        F.expr("count(1) AS coordinate_count"),
+        F.expr("count(segment_hash) AS segment_count"),
+        F.expr(f"sum({vertical}) AS combined_vertical"),
+        F.expr("sum(distance_3d) AS combined_distance"),
+        F.expr("sum(latitude) AS _latitude_sum"),
+        F.expr("count(latitude) AS _latitude_count"),
+        F.expr("sum(longitude) AS _longitude_sum"),
+        F.expr("count(longitude) AS _longitude_count"),
+        F.expr("min(elevation) AS min_elevation"),
+        F.expr("max(elevation) AS max_elevation"),
+        *circular.direction_sums("bearing", vertical, vertical, hemisphere_sign_sql()),
+    )
+
+
+def _cell_entries(weight: str) -> Column:
+    """The weights of a group's fine cells as one short list."""
+    return F.expr(
+        f"collect_list(struct(_cell, coalesce({weight}, 0D))) FILTER (WHERE _cell IS NOT NULL) "
+        "AS _entries"
     )
 
 
@@ -135,21 +137,17 @@ def merge_cells(
     resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS,
 ) -> DataFrame:
     """Group metrics, bearing statistics and histograms from :func:`fine_cell_sums`."""
-    entry = F.when(
-        F.col("_cell").isNotNull(),
-        F.struct("_cell", F.coalesce("combined_vertical", F.lit(0.0))),
-    )
     merged = cells.groupBy(*group).agg(
-        F.sum("coordinate_count").alias("coordinate_count"),
-        F.sum("segment_count").alias("segment_count"),
-        F.coalesce(F.sum("combined_vertical"), F.lit(0.0)).alias("combined_vertical"),
-        F.coalesce(F.sum("combined_distance"), F.lit(0.0)).alias("combined_distance"),
-        F.try_divide(F.sum("_latitude_sum"), F.sum("_latitude_count")).alias("latitude"),
-        F.try_divide(F.sum("_longitude_sum"), F.sum("_longitude_count")).alias("longitude"),
-        F.min("min_elevation").alias("min_elevation"),
-        F.max("max_elevation").alias("max_elevation"),
-        *[c.alias(n) for n, c in circular.merged_direction_sums().items()],
-        F.collect_list(entry).alias("_entries"),
+        F.expr("sum(coordinate_count) AS coordinate_count"),
+        F.expr("sum(segment_count) AS segment_count"),
+        F.expr("coalesce(sum(combined_vertical), 0D) AS combined_vertical"),
+        F.expr("coalesce(sum(combined_distance), 0D) AS combined_distance"),
+        F.expr("try_divide(sum(_latitude_sum), sum(_latitude_count)) AS latitude"),
+        F.expr("try_divide(sum(_longitude_sum), sum(_longitude_count)) AS longitude"),
+        F.expr("min(min_elevation) AS min_elevation"),
+        F.expr("max(max_elevation) AS max_elevation"),
+        *circular.merged_direction_sums(),
+        _cell_entries("combined_vertical"),
     )
     return merged.withColumn(
         "vertical_drop", F.col("max_elevation") - F.col("min_elevation")
@@ -179,23 +177,29 @@ def area_metrics(
 
 def bearing_distribution(areas: DataFrame) -> DataFrame:
     """Long histogram table, one row per area, resolution and bin."""
-    return areas.select("ski_area_id", F.inline("bearings"))
+    return explode_bins(areas, ["ski_area_id"])
+
+
+def explode_bins(areas: DataFrame, keys: list[str], bins: str = "bearings") -> DataFrame:
+    """One row per bin with its fields; rows without histogram drop out.
+
+    For the inner form Spark would add a filter on the list's size and push it down to where the
+    list is computed, so the list would be computed twice. The outer form avoids that.
+    """
+    return areas.select(*keys, F.inline_outer(bins)).filter(F.col("num_bins").isNotNull())
 
 
 def bearing_histogram(points: DataFrame, group: list[str], num_bins: int) -> DataFrame:
     """One histogram per group, at any resolution, from rows with a bearing and a weight."""
     cells = circular.fine_cells((num_bins,))
-    sums = points.groupBy(
-        *group, circular.fine_cell(F.col("bearing"), cells).alias("_cell")
-    ).agg(F.sum("weight").alias("_weight"))
-    entry = F.when(
-        F.col("_cell").isNotNull(), F.struct("_cell", F.coalesce("_weight", F.lit(0.0)))
+    sums = points.groupBy(*group, circular.fine_cell("bearing", cells).alias("_cell")).agg(
+        F.sum("weight").alias("_weight")
     )
     return (
         sums.groupBy(*group)
-        .agg(F.collect_list(entry).alias("_entries"))
+        .agg(_cell_entries("_weight"))
         .transform(circular.with_histograms, "_entries", (num_bins,))
-        .select(*group, F.inline("bearings"))
+        .transform(explode_bins, group)
     )
 
 
@@ -208,15 +212,10 @@ def bearing_stats(
     bearing: str = "bearing",
 ) -> DataFrame:
     """The six bearing statistics per group of weighted bearings."""
-    sums = circular.direction_sums(
-        F.col(bearing),
-        F.col(net) if net else None,
-        F.col(cum) if cum else None,
-        hemisphere_sign(F.col(latitude)) if latitude else None,
-    )
+    sign = hemisphere_sign_sql(latitude) if latitude else None
     return (
         rows.groupBy(*group)
-        .agg(*[c.alias(n) for n, c in sums.items()])
+        .agg(*circular.direction_sums(bearing, net, cum, sign))
         .transform(circular.with_direction_stats)
     )
 
@@ -230,6 +229,6 @@ def area_run_paths(runs: DataFrame, coordinates: str = "run_coordinates_clean")
         runs.filter(is_downhill()).select(
             "run_id",
             "ski_area_ids",
-            path_triples(F.col(coordinates)).alias("run_coordinates"),
+            path_triples(coordinates).alias("run_coordinates"),
         )
     )

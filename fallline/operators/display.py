@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from fallline.functions.filters import display_filters
 from fallline.functions.text import bin_key, flag_emoji, prefix_columns, round_doubles
+from fallline.operators.areas import explode_bins
 from fallline.operators.rollups import filtered
 
 #: Shown histogram bins, as resolution and wind.
@@ -118,12 +119,14 @@ def rose_geometry(
         "_limit", F.array_max(F.transform("_bins", lambda b: length(b["bin_count"])))
     )
     limit = rows.agg(F.max("_limit")).scalar() if shared_scale else F.col("_limit")
-    return rows.select(key, F.explode("_bins").alias("_b"), limit.alias("axis_limit")).select(
+    return rows.withColumn("axis_limit", limit).transform(
+        explode_bins, [key, "axis_limit"], "_bins"
+    ).select(
         key,
-        F.col("_b.bin_index").alias("bin_index"),
-        F.radians("_b.bin_center").alias("angle"),
+        "bin_index",
+        F.radians("bin_center").alias("angle"),
         F.radians(F.lit(360.0 / num_bins)).alias("width"),
-        length(F.col("_b.bin_count")).alias("radius"),
+        length(F.col("bin_count")).alias("radius"),
         "axis_limit",
     )
 
@@ -155,8 +158,7 @@ def showcase_areas(
     return (
         sampled.select(*columns)
         .unionByName(chosen.select(*columns))
-        .select("ski_area_id", "ski_area_name", F.explode("bearings").alias("_b"))
-        .filter(F.col("_b.num_bins") == num_bins)
-        .select("ski_area_id", "ski_area_name", "_b.*")
+        .transform(explode_bins, ["ski_area_id", "ski_area_name"])
+        .filter(F.col("num_bins") == num_bins)
         .orderBy("ski_area_name", "ski_area_id", "bin_index")
     )

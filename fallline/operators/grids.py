@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fallline.functions import circular
-from fallline.functions.geo import flip_bearing, hemisphere, hemisphere_sign
+from fallline.functions.geo import flip_bearing, hemisphere, hemisphere_sign_sql
 from fallline.operators.areas import is_downhill
 from fallline.operators.segments import explode_coordinates, explode_segments
 from fallline.schema import SEGMENT_FIELDS
@@ -97,8 +97,8 @@ class LatitudeBearingGrid:
             "bearing",
             "segment_hash",
             "distance_vertical_drop",
-            hemisphere_sign(F.col("latitude")).alias("_sign"),
-            hemisphere(F.col("latitude")).alias("hemisphere"),
+            F.expr(hemisphere_sign_sql()).alias("_sign"),
+            hemisphere().alias("hemisphere"),
             latitude_abs.alias("latitude_abs"),
             poleward.alias("bearing_poleward"),
             bin_number(latitude_abs, 90.0, self.latitude_bins).alias("_band"),
@@ -127,12 +127,12 @@ class LatitudeBearingGrid:
         self, runs: DataFrame, coordinates: str = "run_coordinates_clean"
     ) -> DataFrame:
         """Segments, vertical and bearing statistics of every band in each hemisphere."""
-        vertical = F.col("distance_vertical_drop")
-        sums = circular.direction_sums(F.col("bearing"), vertical, vertical, F.col("_sign"))
+        vertical = "distance_vertical_drop"
+        sums = circular.direction_sums("bearing", vertical, vertical, "_sign")
         found = (
             self.binned_segments(runs, coordinates)
             .groupBy("hemisphere", "_band")
-            .agg(*self._sums(), *[c.alias(n) for n, c in sums.items()])
+            .agg(*self._sums(), *sums)
             .transform(circular.with_direction_stats)
         )
         bands = self.latitude_bands(runs.sparkSession, by_hemisphere=True)

@@ -51,11 +51,9 @@ def graph_summary(runs: DataFrame, coordinates: str = "run_coordinates_clean") -
         .agg(F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"))
     )
     edges = path_edges(points, ["ski_area_id"]).filter(F.col("length") > 0)
-    vertical = F.col("vertical")
-    sums = circular.direction_sums(F.col("bearing"), vertical, vertical)
     edge_sums = edges.groupBy("ski_area_id").agg(
         F.sum("vertical").alias("combined_vertical"),
-        *[c.alias(n) for n, c in sums.items()],
+        *circular.direction_sums("bearing", "vertical", "vertical"),
     )
     north = F.when(F.col("latitude") > 0, 1).when(F.col("latitude").isNotNull(), -1)
     only_with_edges = {

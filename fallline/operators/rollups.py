@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fallline.functions import circular
 from fallline.functions.text import status_label
+from fallline.operators.areas import explode_bins
 
 
 def filtered(areas: DataFrame, predicates: Sequence[Column] | None = None) -> DataFrame:
@@ -21,15 +22,11 @@ def rollup_histogram(
     """Histogram per group: bin counts added up, proportions within group and resolution."""
     bins = (
         filtered(areas, predicates)
-        .select(*group, F.explode("bearings").alias("_b"))
-        .groupBy(
-            *group,
-            F.col("_b.num_bins").alias("num_bins"),
-            F.col("_b.bin_index").alias("bin_index"),
-        )
+        .transform(explode_bins, group)
+        .groupBy(*group, "num_bins", "bin_index")
         .agg(
-            F.max("_b.bin_center").alias("bin_center"),
-            F.coalesce(F.sum("_b.bin_count"), F.lit(0.0)).alias("bin_count"),
+            F.max("bin_center").alias("bin_center"),
+            F.coalesce(F.sum("bin_count"), F.lit(0.0)).alias("bin_count"),
         )
     )
     # at most num_bins rows in each window partition
@@ -56,53 +53,35 @@ def rollup(
     for bins, so it should be a stored table.
     """
     chosen = filtered(areas, predicates)
-    sign = F.when(F.col("hemisphere") == "north", 1).when(F.col("hemisphere") == "south", -1)
-    sums = circular.direction_sums(
-        F.col("bearing_mean"),
-        F.col("bearing_magnitude_net"),
-        F.col("bearing_magnitude_cum"),
-        sign,
-    )
+    sign = "(CASE hemisphere WHEN 'north' THEN 1 WHEN 'south' THEN -1 END)"
+    counts = ("run_count", "coordinate_count", "segment_count", "lift_count")
+    lengths = ("combined_vertical", "combined_distance")
     # first per country: afterwards each country, and the missing one, is one row to count
     by_country = chosen.groupBy(*group, F.col("country").alias("_country")).agg(
-        F.count_distinct("ski_area_id").alias("ski_areas_count"),
-        *[
-            F.sum(c).alias(c)
-            for c in (
-                "run_count",
-                "coordinate_count",
-                "segment_count",
-                "lift_count",
-                "combined_vertical",
-                "combined_distance",
-            )
-        ],
-        F.min("min_elevation").alias("min_elevation"),
-        F.max("max_elevation").alias("max_elevation"),
-        F.sum("latitude").alias("_latitude_sum"),
-        F.count("latitude").alias("_latitude_count"),
-        F.sum("longitude").alias("_longitude_sum"),
-        F.count("longitude").alias("_longitude_count"),
-        *[c.alias(n) for n, c in sums.items()],
+        F.expr("count(DISTINCT ski_area_id) AS ski_areas_count"),
+        *[F.expr(f"sum({c}) AS {c}") for c in counts + lengths],
+        F.expr("min(min_elevation) AS min_elevation"),
+        F.expr("max(max_elevation) AS max_elevation"),
+        F.expr("sum(latitude) AS _latitude_sum"),
+        F.expr("count(latitude) AS _latitude_count"),
+        F.expr("sum(longitude) AS _longitude_sum"),
+        F.expr("count(longitude) AS _longitude_count"),
+        *circular.direction_sums(
+            "bearing_mean", "bearing_magnitude_net", "bearing_magnitude_cum", sign
+        ),
     )
     scalars = (
         by_country.groupBy(*group)
         .agg(
-            F.sum("ski_areas_count").alias("ski_areas_count"),
-            F.count(F.lit(1)).alias("country_count"),
-            *[
-                F.coalesce(F.sum(c), F.lit(0)).alias(c)
-                for c in ("run_count", "coordinate_count", "segment_count", "lift_count")
-            ],
-            *[
-                F.coalesce(F.sum(c), F.lit(0.0)).alias(c)
-                for c in ("combined_vertical", "combined_distance")
-            ],
-            F.min("min_elevation").alias("min_elevation"),
-            F.max("max_elevation").alias("max_elevation"),
-            F.try_divide(F.sum("_latitude_sum"), F.sum("_latitude_count")).alias("latitude"),
-            F.try_divide(F.sum("_longitude_sum"), F.sum("_longitude_count")).alias("longitude"),
-            *[c.alias(n) for n, c in circular.merged_direction_sums().items()],
+            F.expr("sum(ski_areas_count) AS ski_areas_count"),
+            F.expr("count(1) AS country_count"),
+            *[F.expr(f"coalesce(sum({c}), 0L) AS {c}") for c in counts],
+            *[F.expr(f"coalesce(sum({c}), 0D) AS {c}") for c in lengths],
+            F.expr("min(min_elevation) AS min_elevation"),
+            F.expr("max(max_elevation) AS max_elevation"),
+            F.expr("try_divide(sum(_latitude_sum), sum(_latitude_count)) AS latitude"),
+            F.expr("try_divide(sum(_longitude_sum), sum(_longitude_count)) AS longitude"),
+            *circular.merged_direction_sums(),
         )
         .withColumn("vertical_drop", F.col("max_elevation") - F.col("min_elevation"))
         .transform(circular.with_direction_stats)

@@ -8,15 +8,7 @@ of points and shuffles once, by path and chunk.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fallline.functions.geo import (
-    Point,
-    distance_3d,
-    gradient,
-    planar_bearing,
-    segment_basics,
-    slope,
-    spoke,
-)
+from fallline.functions.geo import planar_bearing, segment_sql, spoke, steepness_sql
 from fallline.operators.prefix import running_totals
 from fallline.schema import COORDINATE_FIELDS, SEGMENT_FIELDS
 
@@ -24,30 +16,37 @@ from fallline.schema import COORDINATE_FIELDS, SEGMENT_FIELDS
 CHUNK_POINTS = 100_000
 
 
-def shifted(coordinates: Column, fields: tuple[str, ...], by: int) -> Column:
+def _struct_type(fields: tuple[str, ...]) -> str:
+    types = {"index": "int", "segment_hash": "bigint"}
+    return "struct<" + ",".join(f"{f}:{types.get(f, 'double')}" for f in fields) + ">"
+
+
+def shifted_sql(coordinates: str, fields: tuple[str, ...], by: int) -> str:
     """The list moved by one place (-1 previous, 1 next), filled with NULL, length unchanged."""
-    blank = F.array(F.lit(None).cast(_struct_type(fields)))
-    kept = F.greatest(F.size(coordinates) - 1, F.lit(0))
+    blank = f"array(cast(NULL AS {_struct_type(fields)}))"
+    kept = f"greatest(size({coordinates}) - 1, 0)"
     if by < 0:
-        moved = F.concat(blank, F.slice(coordinates, F.lit(1), kept))
+        moved = f"concat({blank}, slice({coordinates}, 1, {kept}))"
     else:
-        moved = F.concat(F.slice(coordinates, F.lit(2), kept), blank)
-    return F.slice(moved, F.lit(1), F.size(coordinates))
+        moved = f"concat(slice({coordinates}, 2, {kept}), {blank})"
+    return f"slice({moved}, 1, size({coordinates}))"
 
 
-def _struct_type(fields: tuple[str, ...]) -> str:
-    types = {"index": "int", "segment_hash": "bigint"}
-    return "struct<" + ",".join(f"{f}:{types.get(f, 'double')}" for f in fields) + ">"
+def _zipped(**lists: str) -> Column:
+    return F.arrays_zip(*[F.expr(sql).alias(name) for name, sql in lists.items()])
+
+
+def _named(columns: dict[str, str]) -> list[str]:
+    return [f"{sql} AS `{name}`" for name, sql in columns.items()]
+
+
+def _quoted(names: list[str]) -> list[str]:
+    return [f"`{n}`" for n in names]
 
 
-def _with_steepness(df: DataFrame) -> DataFrame:
-    horizontal, vertical = F.col("distance_horizontal"), F.col("distance_vertical")
-    return df.withColumns(
-        {
-            "distance_3d": distance_3d(horizontal, vertical),
-            "gradient": gradient(horizontal, vertical),
-        }
-    ).withColumn("slope", slope(F.col("gradient")))
+def _with_steepness(measured: DataFrame, others: list[str]) -> DataFrame:
+    columns = {f: f"`{f}`" for f in SEGMENT_FIELDS} | steepness_sql()
+    return measured.selectExpr(*_quoted(others), *_named({f: columns[f] for f in SEGMENT_FIELDS}))
 
 
 def explode_coordinates(runs: DataFrame, coordinates: str = "run_coordinates_clean") -> DataFrame:
@@ -65,24 +64,14 @@ def explode_segments(
     generated code on exploded rows and no window is needed.
     """
     others = [c for c in runs.columns if c != coordinates]
-    pairs = F.arrays_zip(
-        F.col(coordinates).alias("cur"),
-        shifted(F.col(coordinates), COORDINATE_FIELDS, -1).alias("prev"),
+    previous = shifted_sql(coordinates, COORDINATE_FIELDS, -1)
+    pairs = _zipped(cur=coordinates, prev=previous)
+    measured = runs.select(*others, F.explode_outer(pairs).alias("_p")).selectExpr(
+        *_quoted(others),
+        *_named({f: f"_p.cur.{f}" for f in COORDINATE_FIELDS}),
+        *_named(segment_sql("_p.prev.", "_p.cur.")),
     )
-    steps = runs.select(*others, F.explode_outer(pairs).alias("_p")).select(
-        *others, F.col("_p.cur").alias("_cur"), F.col("_p.prev").alias("_prev")
-    )
-    measured = steps.select(
-        *others,
-        *[F.col(f"_cur.{f}").alias(f) for f in COORDINATE_FIELDS],
-        *[
-            c.alias(n)
-            for n, c in segment_basics(
-                Point.of(F.col("_prev")), Point.of(F.col("_cur"))
-            ).items()
-        ],
-    )
-    return _with_steepness(measured).select(*others, *COORDINATE_FIELDS, *SEGMENT_FIELDS)
+    return _with_steepness(measured, [*others, *COORDINATE_FIELDS])
 
 
 def enrich_runs(runs: DataFrame, coordinates: str = "run_coordinates_clean") -> DataFrame:
@@ -91,26 +80,24 @@ def enrich_runs(runs: DataFrame, coordinates: str = "run_coordinates_clean") ->
     A run without points gets a list with one empty coordinate, like an outer explode.
     """
 
-    def basics(pair: Column) -> Column:
-        values = segment_basics(Point.of(pair["prev"]), Point.of(pair["cur"]))
-        values |= {f: pair["cur"][f] for f in COORDINATE_FIELDS}
-        return F.struct(*[c.alias(n) for n, c in values.items()])
-
-    def complete(step: Column) -> Column:
-        horizontal, vertical = step["distance_horizontal"], step["distance_vertical"]
-        values = {f: step[f] for f in COORDINATE_FIELDS + SEGMENT_FIELDS if f not in derived}
-        values["distance_3d"] = distance_3d(horizontal, vertical)
-        values["gradient"] = gradient(horizontal, vertical)
-        values["slope"] = slope(values["gradient"])
-        return F.struct(*[values[f].alias(f) for f in COORDINATE_FIELDS + SEGMENT_FIELDS])
-
-    derived = ("distance_3d", "gradient", "slope")
-    blank = F.array(F.lit(None).cast(_struct_type(COORDINATE_FIELDS)))
-    points = F.when(F.size(coordinates) > 0, F.col(coordinates)).otherwise(blank)
-    pairs = F.arrays_zip(
-        points.alias("cur"), shifted(points, COORDINATE_FIELDS, -1).alias("prev")
+    def struct(columns: dict[str, str]) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', {sql}" for n, sql in columns.items()) + ")"
+
+    basics = {f: f"p.cur.{f}" for f in COORDINATE_FIELDS} | segment_sql("p.prev.", "p.cur.")
+    columns = {f: f"s.{f}" for f in COORDINATE_FIELDS + SEGMENT_FIELDS} | steepness_sql("s.")
+    blank = f"array(cast(NULL AS {_struct_type(COORDINATE_FIELDS)}))"
+    pairs = _zipped(cur="_points", prev=shifted_sql("_points", COORDINATE_FIELDS, -1))
+    return (
+        runs.withColumn(
+            "_points", F.expr(f"if(size({coordinates}) > 0, {coordinates}, {blank})")
+        )
+        .withColumn("_pairs", pairs)
+        .withColumn(
+            coordinates,
+            F.expr(f"transform(transform(_pairs, p -> {struct(basics)}), s -> {struct(columns)})"),
+        )
+        .drop("_points", "_pairs")
     )
-    return runs.withColumn(coordinates, F.transform(F.transform(pairs, basics), complete))
 
 
 def segments_from_points(
@@ -152,21 +139,13 @@ def segments_from_points(
         .filter(F.col("_rank") > 1)
         .drop("_rank")
     )
-    before = {
-        f: F.when(F.col("_row") == 1, F.col(f"_carry_{f}")).otherwise(F.col(f"_lag_{f}"))
-        for f in fields
-    }
+    before = {f"_prev_{f}": f"if(_row = 1, _carry_{f}, _lag_{f})" for f in fields}
     measured = (
         lagged.join(carried, [*path, "_chunk"], "left")
-        .select(*points.columns, *[c.alias(f"_prev_{f}") for f, c in before.items()])
-        .withColumns(
-            segment_basics(
-                Point(*[F.col(f"_prev_{f}") for f in fields]),
-                Point(*[F.col(f) for f in fields]),
-            )
-        )
+        .selectExpr(*_quoted(points.columns), *_named(before))
+        .selectExpr(*_quoted(points.columns), *_named(segment_sql("_prev_", "")))
     )
-    return _with_steepness(measured).select(*points.columns, *SEGMENT_FIELDS)
+    return _with_steepness(measured, points.columns)
 
 
 def regroup_coordinates(
@@ -196,40 +175,35 @@ def lead_segments(
     Expects enriched coordinates. ``index`` is numbered from 1 over all points ordered by their
     place in the run and the run, before the last points, which have no next one, are dropped.
     """
-    fields = ("longitude", "latitude", "distance_vertical")
-    pairs = F.arrays_zip(
-        F.col(coordinates).alias("cur"),
-        shifted(_narrow(F.col(coordinates), fields), fields, 1).alias("next"),
-    )
-    points = runs.select(F.col("run_id").alias("path"), F.explode(pairs).alias("_p")).select(
+    following = shifted_sql(coordinates, COORDINATE_FIELDS + SEGMENT_FIELDS, 1)
+    pairs = _zipped(cur=coordinates, next=following)
+    points = runs.select(F.col("run_id").alias("path"), F.explode_outer(pairs).alias("_p")).selectExpr(
         "path",
-        F.col("_p.cur.index").alias("index0"),
-        F.col("_p.cur.longitude").alias("x"),
-        F.col("_p.cur.latitude").alias("y"),
-        F.col("_p.next.longitude").alias("xend"),
-        F.col("_p.next.latitude").alias("yend"),
-        F.col("_p.next.distance_vertical").alias("_next_vertical"),
+        "_p.cur.index AS index0",
+        "_p.cur.longitude AS x",
+        "_p.cur.latitude AS y",
+        "_p.next.longitude AS xend",
+        "_p.next.latitude AS yend",
+        "_p.next.distance_vertical AS _next_vertical",
     )
     numbered = running_totals(points, [], ["index0", "path"], {"index": F.lit(1).cast("bigint")})
-    steps = numbered.filter(F.col("xend").isNotNull()).withColumns(
-        {"dx": F.col("xend") - F.col("x"), "dy": F.col("yend") - F.col("y")}
-    )
-    return steps.withColumn("tg", planar_bearing(F.col("dx"), F.col("dy"))).select(
-        "path",
-        "index",
-        "index0",
-        "x",
-        "y",
-        "xend",
-        "yend",
-        "dx",
-        "dy",
-        (F.col("_next_vertical") * F.col("dx") / 4).alias("scaled_dx"),
-        (F.col("_next_vertical") * F.col("dy") / 4).alias("scaled_dy"),
-        "tg",
-        spoke(F.col("tg"), spokes).alias("group"),
+    return (
+        numbered.filter(F.col("xend").isNotNull())
+        .withColumns({"dx": F.expr("xend - x"), "dy": F.expr("yend - y")})
+        .withColumn("tg", planar_bearing(F.col("dx"), F.col("dy")))
+        .select(
+            "path",
+            "index",
+            "index0",
+            "x",
+            "y",
+            "xend",
+            "yend",
+            "dx",
+            "dy",
+            F.expr("_next_vertical * dx / 4 AS scaled_dx"),
+            F.expr("_next_vertical * dy / 4 AS scaled_dy"),
+            "tg",
+            spoke(F.col("tg"), spokes).alias("group"),
+        )
     )
-
-
-def _narrow(coordinates: Column, fields: tuple[str, ...]) -> Column:
-    return F.transform(coordinates, lambda c: F.struct(*[c[f].alias(f) for f in fields]))

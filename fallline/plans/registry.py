@@ -123,7 +123,7 @@ def geojson_scan(spark, sf):
         F.col("properties.name").alias("run_name"),
         F.size("properties.sources").alias("sources"),
         F.col("geometry.type").alias("geometry_type"),
-        F.size(coords.parse_line(F.col("geometry.coordinates"))).alias("points"),
+        F.size(coords.parse_line("geometry.coordinates")).alias("points"),
     )
 
 
@@ -277,18 +277,18 @@ def source_url(spark, sf):
     sources = run_features(spark, sf).select(
         F.col("properties.id").alias("run_id"), F.explode("properties.sources").alias("s")
     )
-    return sources.select("run_id", coords.source_url(F.col("s.type"), F.col("s.id")).alias("url"))
+    return sources.select("run_id", coords.source_url("s").alias("url"))
 
 
 @query
 def sources_to_urls(spark, sf):
-    urls = coords.sources_to_urls(F.col("sources"))
+    urls = coords.sources_to_urls("sources")
     return flat_areas(spark, sf).select("ski_area_id", F.array_join(urls, ",").alias("urls"))
 
 
 @query
 def sorted_ids(spark, sf):
-    ids = coords.sorted_ids(F.col("properties.skiAreas"))
+    ids = coords.sorted_ids("properties.skiAreas")
     return run_features(spark, sf).select(
         F.col("properties.id").alias("run_id"), F.array_join(ids, ",").alias("ski_area_ids")
     )
@@ -359,7 +359,7 @@ def union_all(spark, sf):
 @query
 def hemisphere(spark, sf):
     points = run_segments(spark, sf)
-    return points.select("run_id", "index", geo.hemisphere(F.col("latitude")).alias("hemisphere"))
+    return points.select("run_id", "index", geo.hemisphere().alias("hemisphere"))
 
 
 @query
@@ -458,7 +458,7 @@ def bearing_distribution(spark, sf):
 @query
 def bearing_histogram(spark, sf):
     weighted = run_segments(spark, sf).select(
-        geo.hemisphere(F.col("latitude")).alias("hemisphere"),
+        geo.hemisphere().alias("hemisphere"),
         "bearing",
         F.col("distance_vertical_drop").alias("weight"),
     )

@@ -86,7 +86,7 @@ def load_runs(features: DataFrame) -> DataFrame:
     p = "properties"
     line = F.col("geometry.coordinates")
     if isinstance(features.schema["geometry"].dataType["coordinates"].dataType, T.StringType):
-        line = parse_line(line)
+        line = parse_line("geometry.coordinates")
     lines = features.filter(F.col("geometry.type") == "LineString").withColumn("_line", line)
     return lines.select(
         F.col(f"{p}.id").alias("run_id"),
@@ -95,10 +95,10 @@ def load_runs(features: DataFrame) -> DataFrame:
         F.col(f"{p}.status").alias("run_status"),
         F.col(f"{p}.difficulty").alias("run_difficulty"),
         F.col(f"{p}.convention").alias("run_convention"),
-        sorted_ids(F.col(f"{p}.skiAreas")).alias("ski_area_ids"),
-        F.array_sort(sources_to_urls(F.col(f"{p}.sources"))).alias("run_sources"),
-        structure_coords(F.col("_line")).alias("run_coordinates_raw"),
-        clean_coords(F.col("_line")).alias("run_coordinates_clean"),
+        sorted_ids(f"{p}.skiAreas").alias("ski_area_ids"),
+        F.array_sort(sources_to_urls(f"{p}.sources")).alias("run_sources"),
+        structure_coords("_line").alias("run_coordinates_raw"),
+        clean_coords("_line").alias("run_coordinates_clean"),
     )
 
 
@@ -109,8 +109,8 @@ def load_lifts(features: DataFrame) -> DataFrame:
         F.col(f"{p}.name").alias("lift_name"),
         F.col(f"{p}.liftType").alias("lift_type"),
         F.col(f"{p}.status").alias("lift_status"),
-        sorted_ids(F.col(f"{p}.skiAreas")).alias("ski_area_ids"),
-        source_keys(F.col(f"{p}.sources")).alias("lift_sources"),
+        sorted_ids(f"{p}.skiAreas").alias("ski_area_ids"),
+        source_keys(f"{p}.sources").alias("lift_sources"),
         F.col("geometry.type").alias("lift_geometry_type"),
     )
 

@@ -1,13 +1,12 @@
 import pytest
 from pyspark.errors import PySparkException
-from pyspark.sql import functions as F
 
 from fallline.functions import coords
 
 
 def _clean(spark, triples):
     df = spark.createDataFrame([(triples,)], "c array<array<double>>")
-    rows = df.select(coords.clean_coords(F.col("c"))).first()[0]
+    rows = df.select(coords.clean_coords("c")).first()[0]
     return [(r["index"], r.longitude, r.latitude, r.elevation) for r in rows]
 
 
@@ -41,17 +40,17 @@ def test_source_urls(spark):
         [([("openstreetmap", "way/1"), ("skimap.org", "17")],)],
         "s array<struct<type:string,id:string>>",
     )
-    assert df.select(coords.sources_to_urls(F.col("s"))).first()[0] == [
+    assert df.select(coords.sources_to_urls("s")).first()[0] == [
         "https://www.openstreetmap.org/way/1",
         "https://skimap.org/skiareas/view/17",
     ]
-    assert df.select(coords.source_keys(F.col("s"))).first()[0] == [
+    assert df.select(coords.source_keys("s")).first()[0] == [
         "openstreetmap:way/1",
         "skimap.org:17",
     ]
 
 
 def test_unknown_source_fails(spark):
-    df = spark.createDataFrame([("elsewhere", "1")], "t string, i string")
+    df = spark.createDataFrame([(("elsewhere", "1"),)], "s struct<type:string,id:string>")
     with pytest.raises(PySparkException, match="unknown source type elsewhere"):
-        df.select(coords.source_url(F.col("t"), F.col("i"))).collect()
+        df.select(coords.source_url("s")).collect()
