@@ -78,9 +78,9 @@ def sources_to_urls(sources: str) -> Column:
 
 def source_keys(sources: str) -> Column:
     """``type:id`` of every source, sorted."""
-    return F.expr(f"array_sort(transform({sources}, s -> concat_ws(':', s.type, s.id)))")
+    return F.expr(f"sort_array(transform({sources}, s -> concat_ws(':', s.type, s.id)))")
 
 
 def sorted_ids(areas: str) -> Column:
     """Sorted ids of nested area references."""
-    return F.expr(f"array_sort({areas}.properties.id)")
+    return F.expr(f"sort_array({areas}.properties.id)")

@@ -1,11 +1,13 @@
 """Ski areas: which runs belong to them, and what those runs add up to."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fallline.functions import circular
 from fallline.functions.coords import path_triples, sources_to_urls
-from fallline.functions.geo import hemisphere, hemisphere_sign_sql
+from fallline.functions.geo import hemisphere_sign_sql
 from fallline.operators.segments import explode_coordinates, explode_segments
 from fallline.schema import (
     AREA_DEFAULTS,
@@ -76,29 +78,11 @@ def area_points(runs: DataFrame, coordinates: str = "run_coordinates_clean") ->
     return explode_segments(linked, coordinates)
 
 
-def _area_heads(runs: DataFrame, coordinates: str) -> DataFrame:
-    """Run count and hemisphere of the first run, from run rows alone.
-
-    Kept apart from the point aggregate: the distinct count and the string order would force sorts
-    and a wider shuffle there, while here there is one narrow row per run.
-    """
-    first_latitude = f"get({coordinates}.latitude, 0)"
-    return (
-        runs.filter(is_downhill())
-        .select("run_id", "ski_area_ids", hemisphere(first_latitude).alias("_first"))
-        .transform(run_area_bridge)
-        .groupBy("ski_area_id")
-        .agg(
-            F.count_distinct("run_id").alias("run_count"),
-            F.min_by("_first", "run_id").alias("hemisphere"),
-        )
-    )
-
-
 def fine_cell_sums(
     points: DataFrame,
     group: list[str],
     resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Everything additive about points, per group and fine compass cell.
 
@@ -120,6 +104,7 @@ def fine_cell_sums(
         F.expr("min(elevation) AS min_elevation"),
         F.expr("max(elevation) AS max_elevation"),
         *circular.direction_sums("bearing", vertical, vertical, hemisphere_sign_sql()),
+        *extra,
     )
 
 
@@ -131,36 +116,86 @@ def _cell_entries(weight: str) -> Column:
     )
 
 
+#: How the columns of :func:`fine_cell_sums` are combined.
+_COMBINE = {
+    "coordinate_count": "sum",
+    "segment_count": "sum",
+    "combined_vertical": "sum",
+    "combined_distance": "sum",
+    "_latitude_sum": "sum",
+    "_latitude_count": "sum",
+    "_longitude_sum": "sum",
+    "_longitude_count": "sum",
+    "min_elevation": "min",
+    "max_elevation": "max",
+}
+
+
+def _combined() -> list[Column]:
+    own = [F.expr(f"{function}({name}) AS {name}") for name, function in _COMBINE.items()]
+    return own + circular.merged_direction_sums()
+
+
 def merge_cells(
     cells: DataFrame,
     group: list[str],
     resolutions: tuple[int, ...] = COMPASS_RESOLUTIONS,
+    extra: Sequence[Column] = (),
 ) -> DataFrame:
     """Group metrics, bearing statistics and histograms from :func:`fine_cell_sums`."""
-    merged = cells.groupBy(*group).agg(
-        F.expr("sum(coordinate_count) AS coordinate_count"),
-        F.expr("sum(segment_count) AS segment_count"),
-        F.expr("coalesce(sum(combined_vertical), 0D) AS combined_vertical"),
-        F.expr("coalesce(sum(combined_distance), 0D) AS combined_distance"),
-        F.expr("try_divide(sum(_latitude_sum), sum(_latitude_count)) AS latitude"),
-        F.expr("try_divide(sum(_longitude_sum), sum(_longitude_count)) AS longitude"),
-        F.expr("min(min_elevation) AS min_elevation"),
-        F.expr("max(max_elevation) AS max_elevation"),
-        *circular.merged_direction_sums(),
-        _cell_entries("combined_vertical"),
-    )
-    return merged.withColumn(
-        "vertical_drop", F.col("max_elevation") - F.col("min_elevation")
-    ).transform(circular.with_direction_stats).transform(
-        circular.with_histograms, "_entries", resolutions
+    averages = ("_latitude_sum", "_latitude_count", "_longitude_sum", "_longitude_count")
+    return (
+        cells.groupBy(*group)
+        .agg(*_combined(), _cell_entries("combined_vertical"), *extra)
+        .withColumns(
+            {
+                "combined_vertical": F.expr("coalesce(combined_vertical, 0D)"),
+                "combined_distance": F.expr("coalesce(combined_distance, 0D)"),
+                "latitude": F.expr("try_divide(_latitude_sum, _latitude_count)"),
+                "longitude": F.expr("try_divide(_longitude_sum, _longitude_count)"),
+                "vertical_drop": F.expr("max_elevation - min_elevation"),
+            }
+        )
+        .drop(*averages)
+        .transform(circular.with_direction_stats)
+        .transform(circular.with_histograms, "_entries", resolutions)
     )
 
 
 def area_run_metrics(runs: DataFrame, coordinates: str = "run_coordinates_clean") -> DataFrame:
-    """Metrics of each area's downhill runs; a run in two areas counts in both."""
-    cells = fine_cell_sums(area_points(runs, coordinates), ["ski_area_id"])
-    return merge_cells(cells, ["ski_area_id"]).join(
-        _area_heads(runs, coordinates), "ski_area_id"
+    """Metrics of each area's downhill runs; a run in two areas counts in both.
+
+    One pass over the points. The first point of a run never has a direction, so it is grouped by
+    run instead of by compass cell. That leaves one row per area and run, which gives the number
+    of distinct runs and the hemisphere of the first run without a distinct aggregate. Which run
+    is first is decided by a fixed hash of its id: a number, so that all aggregates over many rows
+    hash, where the id itself would make Spark sort.
+    """
+    points = area_points(runs, coordinates).withColumn(
+        "_head", F.expr("if(coalesce(index, 0) = 0, run_id, NULL)")
+    )
+    by_head = fine_cell_sums(
+        points,
+        ["ski_area_id", "_head"],
+        extra=[F.expr(f"min({hemisphere_sign_sql()}) AS _first_sign")],
+    ).withColumn("_order", F.expr("cast(conv(left(md5(_head), 15), 16, 10) AS bigint)"))
+    by_cell = by_head.groupBy("ski_area_id", "_cell").agg(
+        *_combined(),
+        F.expr("count(_head) AS run_count"),
+        F.expr("min_by(_first_sign, _order) AS _first_sign"),
+        F.expr("min(_order) AS _order"),
+    )
+    return (
+        merge_cells(
+            by_cell,
+            ["ski_area_id"],
+            extra=[
+                F.expr("sum(run_count) AS run_count"),
+                F.expr("min_by(_first_sign, _order) AS _first_sign"),
+            ],
+        )
+        .withColumn("hemisphere", F.expr("CASE _first_sign WHEN 1 THEN 'north' WHEN -1 THEN 'south' END"))
+        .drop("_first_sign")
     )
 
 
@@ -220,6 +255,18 @@ def bearing_stats(
     )
 
 
+def runs_of_area(
+    runs: DataFrame, ski_area_id: str, coordinates: str = "run_coordinates_clean"
+) -> DataFrame:
+    """Points of one area's runs with their segment metrics, for export."""
+    chosen = runs.filter(F.array_contains("ski_area_ids", ski_area_id))
+    points = chosen.select("run_id", "run_name", "run_difficulty", coordinates)
+    element = runs.schema[coordinates].dataType.elementType
+    enriched = set(SEGMENT_FIELDS) <= set(element.fieldNames())
+    exploded = (explode_coordinates if enriched else explode_segments)(points, coordinates)
+    return exploded.drop("segment_hash")
+
+
 def area_run_paths(runs: DataFrame, coordinates: str = "run_coordinates_clean") -> DataFrame:
     """The runs of each area as lists of ``[longitude, latitude, elevation]``.
 

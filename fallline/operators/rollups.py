@@ -92,7 +92,7 @@ def rollup(
     histograms = (
         rollup_histogram(areas, group, predicates)
         .groupBy(*group)
-        .agg(F.array_sort(F.collect_list(bin_struct)).alias("bearings"))
+        .agg(F.sort_array(F.collect_list(bin_struct)).alias("bearings"))
     )
     return scalars.join(histograms, group).orderBy(*group)
 

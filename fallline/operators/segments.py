@@ -161,7 +161,7 @@ def regroup_coordinates(
     """
     part = F.coalesce(F.floor(F.col("index") / max_points), F.lit(0)).cast("int")
     return points.groupBy(key, part.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("run_coordinates_clean")
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("run_coordinates_clean")
     )
 
 

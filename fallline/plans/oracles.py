@@ -191,7 +191,7 @@ STEPS = {
         """SELECT ski_area_id, CASE sign WHEN 1 THEN 'north' WHEN -1 THEN 'south' END
                       AS hemisphere
            FROM (SELECT *, row_number() OVER (PARTITION BY ski_area_id
-                        ORDER BY run_id, "index") AS rn FROM aseg)
+                        ORDER BY md5(run_id), "index") AS rn FROM aseg)
            WHERE rn = 1""",
     ),
     "bins": (
@@ -584,6 +584,16 @@ def oracle_sql() -> dict[str, str]:
             f"""SELECT ski_area_id, clean.run_id, "index" AS pos, {_POINT}
                 FROM clean JOIN bridge USING (run_no) WHERE run_no % 5 <> 0""",
         ),
+        "runs_of_area": sql(
+            "seg bridge",
+            """SELECT run_id, CASE WHEN run_no % 11 <> 0 THEN 'Run ' || run_no END AS run_name,
+                      ['novice', 'easy', 'intermediate', 'advanced', 'expert', 'extreme',
+                       'freeride', 'other'][run_no % 8 + 1] AS run_difficulty,
+                      "index", round(elevation, 6) AS elevation,
+                      round(distance_vertical, 6) AS distance_vertical
+               FROM seg SEMI JOIN (SELECT run_no FROM bridge WHERE ski_area_id = 'a1')
+                    USING (run_no)""",
+        ),
         "union_all": sql(
             "home lift",
             """SELECT 'run' AS kind, geometry_type AS shape, count(*) AS features

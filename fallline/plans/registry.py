@@ -342,6 +342,15 @@ def area_run_paths(spark, sf):
     )
 
 
+@query
+def runs_of_area(spark, sf):
+    """The runs of one area, written and read back."""
+    path = new_table_path(spark, "area-runs")
+    P.export_table(A.runs_of_area(runs(spark, sf), "a1"), path)
+    columns = ("run_id", "run_name", "run_difficulty", "index", "elevation", "distance_vertical")
+    return shown(spark.read.parquet(path).select(*columns))
+
+
 @query
 def union_all(spark, sf):
     lengths = [

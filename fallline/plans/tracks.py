@@ -47,7 +47,7 @@ def run_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = (
         points.groupBy("no")
         .agg(F.collect_list(F.struct("idx", "event_id", "user_id", "value")).alias("pts"))
-        .withColumn("pts", F.array_sort("pts"))
+        .withColumn("pts", F.sort_array("pts"))
         .withColumn("home", F.expr("pts[0].user_id"))
     )
     noise = "(p.event_id % 7) * 1e-9D"

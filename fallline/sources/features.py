@@ -96,7 +96,7 @@ def load_runs(features: DataFrame) -> DataFrame:
         F.col(f"{p}.difficulty").alias("run_difficulty"),
         F.col(f"{p}.convention").alias("run_convention"),
         sorted_ids(f"{p}.skiAreas").alias("ski_area_ids"),
-        F.array_sort(sources_to_urls(f"{p}.sources")).alias("run_sources"),
+        F.sort_array(sources_to_urls(f"{p}.sources")).alias("run_sources"),
         structure_coords("_line").alias("run_coordinates_raw"),
         clean_coords("_line").alias("run_coordinates_clean"),
     )
