@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +73,9 @@ def test_exported_runs_give_the_same_metrics(spark, make_runs, run_row):
     )
     for a, b in pairs:
         assert (a.ski_area_id, a.hemisphere) == (b.ski_area_id, b.hemisphere)
-        numbers = [n for n in a.asDict() if n not in ("ski_area_id", "hemisphere")]
+        names = [n for n in a.asDict() if n not in ("ski_area_id", "hemisphere")]
+        assert [n for n in names if a[n] is None] == [n for n in names if b[n] is None]
+        numbers = [n for n in names if a[n] is not None]
         assert [a[n] for n in numbers] == pytest.approx([b[n] for n in numbers], rel=1e-9, abs=1e-9)
 
 
@@ -164,6 +168,22 @@ def test_graph_on_the_equator_is_southern(spark, make_runs, run_row):
     assert row.eastward_affinity == 1
 
 
+def test_hemisphere_of_a_mixed_area_is_that_of_the_first_run_by_hash(spark, make_runs, run_row):
+    north = [(0.0, 5.0, 9.0), (0.0, 6.0, 5.0)]
+    south = [(0.0, -5.0, 9.0), (0.0, -6.0, 5.0)]
+    paths = {f"r{i}": north if i % 2 else south for i in range(9)}
+    rows = A.area_run_metrics(make_runs([run_row(k, v) for k, v in paths.items()])).collect()
+    first = min(paths, key=lambda k: hashlib.md5(k.encode()).hexdigest())
+    assert rows[0].hemisphere == ("north" if paths[first] is north else "south")
+    assert rows[0].poleward_affinity is None
+
+
+def test_a_repeated_run_id_counts_once(spark, make_runs, run_row):
+    points = [(0.0, 5.0, 9.0), (0.0, 6.0, 5.0)]
+    row = A.area_run_metrics(make_runs([run_row("r", points), run_row("r", points)])).first()
+    assert (row.run_count, row.coordinate_count) == (1, 4)
+
+
 def test_lift_count_is_distinct_and_operating(spark):
     lifts = spark.createDataFrame(
         [
