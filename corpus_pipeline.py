@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fallline.llm import fertility, pii
+from fallline.llm import decontaminate, fertility, ngram_join, packing, pii
 from fallline.session import new_table_path
 
 
@@ -13,15 +13,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return fertility.passing(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the least id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a test item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data are replaced by their kind; no document goes."""
     return pii.redact(docs)
 
 
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every word of every document is given a bin and a place in it."""
+    return packing.pack(docs)
+
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("quality_rules", quality_rules),
+    ("near_copies", near_copies),
+    ("benchmark_leaks", benchmark_leaks),
     ("personal_data", personal_data),
+    ("packing", packed),
 ]
 #: Tokenizers and packing have no SQL form; the tests hold run() against a plain version.
 ORACLE_SQL = None

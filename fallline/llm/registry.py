@@ -2,17 +2,25 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fertility, ngram_join, pii
+from . import decontaminate, fertility, ngram_join, packing, pii
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(_table(spark, sf_dir, "documents"))
 
@@ -21,4 +29,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op3_ngram_join, op8_fertility, op10_pii)}
+REGISTRY = {f.__name__: f for f in (op1_decontamination, op3_ngram_join, op6_packing, op8_fertility, op10_pii)}
