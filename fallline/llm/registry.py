@@ -2,7 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fertility, ngram_join, packing, pii, quality_model
+from . import (
+    decontaminate, fertility, html_text, licenses, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,16 +23,39 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op8_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.judge(_table(spark, sf_dir, "documents"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
-REGISTRY = {f.__name__: f for f in (op1_decontamination, op2_quality_model, op3_ngram_join, op6_packing, op8_fertility, op10_pii)}
+REGISTRY = {
+    f.__name__: f
+    for f in (
+        op1_decontamination, op2_quality_model, op3_ngram_join, op4_licenses,
+        op5_url_filter, op6_packing, op7_paragraphs,
+        op8_fertility, op9_html_text, op10_pii,
+    )
+}
