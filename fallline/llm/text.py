@@ -164,5 +164,12 @@ def keep_rows(df: DataFrame, text: str, keep: Callable[[list], np.ndarray]) -> D
     return map_batches(df, work, df.schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def ids(column: str, name: str = "doc_id") -> Column:
     return F.col(f"`{column}`").alias(name)
