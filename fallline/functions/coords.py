@@ -23,7 +23,7 @@ def _structured(triples: str) -> str:
 
 def _cleaned(triples: str, min_elevation: float, ensure_downhill: bool) -> str:
     rounded = (
-        f"transform(filter({triples}, p -> NOT get(p, 2) < {min_elevation}D), "
+        f"transform(filter({triples}, p -> coalesce(get(p, 2) >= {min_elevation}D, true)), "
         "p -> array(bround(get(p, 0), 7), bround(get(p, 1), 7), bround(get(p, 2), 2)))"
     )
     if not ensure_downhill:
@@ -48,7 +48,8 @@ def clean_coords(
     """Coordinate structs of the cleaned line, numbered again from 0.
 
     Points with impossible elevations are dropped, float noise is rounded away, and a line that
-    ends higher than it starts is turned round.
+    ends higher than it starts is turned round. A point without elevation stays, with a NULL one; a
+    line that starts or ends with such a point is not turned.
     """
     return F.expr(_structured(_cleaned(triples, min_elevation, ensure_downhill)))
 

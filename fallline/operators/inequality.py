@@ -40,14 +40,11 @@ def metric_ecdf(
             "value_rank": F.when(F.col("value").isNotNull(), F.lit(1).cast("bigint")),
             "value_cumsum": F.col("value"),
         },
-    )
-    totals = long.groupBy("variable").agg(
-        F.sum("value").alias("_total"), F.count("value").alias("_count")
+        totals={"value_rank": "_count", "value_cumsum": "_total"},
     )
     known = F.col("value").isNotNull()
     return (
-        # one row per metric name
-        ranked.join(F.broadcast(totals), "variable")
+        ranked
         .withColumns(
             {
                 "value_rank": F.when(known, F.col("value_rank")),

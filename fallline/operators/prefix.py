@@ -12,16 +12,20 @@ def running_totals(
     order: list[str],
     measures: dict[str, Column],
     slices: int | None = None,
+    totals: dict[str, str] | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` per ``group`` in the given order.
 
     A plain window would send each group to one task. Here the rows are range-partitioned on group
     and order, which splits a group of any size, summed within each slice, and shifted by the totals
     of the slices before. ``group`` + ``order`` should identify a row and ``group`` must not be
-    NULL. The slices are materialised, so that every branch and every retry sees the same cut.
+    NULL. The slices are materialised, so that every branch and every retry sees the same cut; by
+    default there are four times as many as shuffle partitions, since several may meet in one task.
+    ``totals`` names columns for the totals of the whole group, by measure; they come from the
+    slices' sums.
     """
     spark = df.sparkSession
-    slices = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = slices or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     inputs = {f"_in_{n}": c for n, c in measures.items()}
     cut = materialize(
         df.withColumns(inputs)
@@ -42,7 +46,7 @@ def running_totals(
     )
 
     # one row per slice and group that meets it: slices + groups rows at most
-    totals = cut.groupBy(*group, "_slice").agg(
+    sums = cut.groupBy(*group, "_slice").agg(
         *[F.sum(f"_in_{n}").alias(f"_total_{n}") for n in measures]
     )
     earlier = (
@@ -50,10 +54,12 @@ def running_totals(
         .orderBy("_slice")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = totals.select(
+    whole = Window.partitionBy(*group)
+    offsets = sums.select(
         *group,
         "_slice",
         *[F.sum(f"_total_{n}").over(earlier).alias(f"_before_{n}") for n in measures],
+        *[F.sum(f"_total_{n}").over(whole).alias(name) for n, name in (totals or {}).items()],
     )
 
     return local.join(offsets, [*group, "_slice"]).select(
@@ -66,4 +72,5 @@ def running_totals(
             ).alias(n)
             for n in measures
         ],
+        *(totals or {}).values(),
     )

@@ -140,12 +140,17 @@ def duplicate_bins(distribution: DataFrame) -> DataFrame:
     return duplicate_keys(distribution, ["ski_area_id", "num_bins", "bin_index"])
 
 
+def problems(areas: DataFrame) -> list[str]:
+    """The broken rules of a table with their rows, or what is wrong with its schema."""
+    found = schema_problems(areas.schema)
+    if not found:
+        broken = validate_areas(areas).filter(F.col("violations") > 0).collect()
+        found = [f"{r['rule']}: {r['violations']} rows" for r in broken]
+    return found
+
+
 def require_valid(areas: DataFrame) -> DataFrame:
     """Raise :class:`InvalidTable` unless the table keeps all rules; returns the table."""
-    problems = schema_problems(areas.schema)
-    if not problems:
-        broken = validate_areas(areas).filter(F.col("violations") > 0).collect()
-        problems = [f"{r['rule']}: {r['violations']} rows" for r in broken]
-    if problems:
-        raise InvalidTable("; ".join(problems))
+    if found := problems(areas):
+        raise InvalidTable("; ".join(found))
     return areas

@@ -152,15 +152,13 @@ def regroup_coordinates(
     points: DataFrame,
     key: str = "run_id",
     fields: tuple[str, ...] = COORDINATE_FIELDS,
-    max_points: int = CHUNK_POINTS,
 ) -> DataFrame:
     """Flat points back to one ordered coordinate list per run.
 
-    ``part`` is 0 for ordinary runs. A run with more than ``max_points`` points continues in
-    further rows with part 1, 2 and so on, so no list grows without bound and no point is lost.
+    A run was one row before, so its list is no larger than a row that was already read. Paths that
+    never were a row belong to :func:`segments_from_points`, which makes no lists.
     """
-    part = F.coalesce(F.floor(F.col("index") / max_points), F.lit(0)).cast("int")
-    return points.groupBy(key, part.alias("part")).agg(
+    return points.groupBy(key).agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("run_coordinates_clean")
     )
 
@@ -173,7 +171,8 @@ def lead_segments(
     """Steps on the flat map from each point to the next, with a number over all points.
 
     Expects enriched coordinates. ``index`` is numbered from 1 over all points ordered by their
-    place in the run and the run, before the last points, which have no next one, are dropped.
+    place in the run and the run, before the last points, which have no next one, are dropped. A
+    run without points has no place in the numbering.
     """
     following = shifted_sql(coordinates, COORDINATE_FIELDS + SEGMENT_FIELDS, 1)
     pairs = _zipped(cur=coordinates, next=following)
@@ -186,6 +185,7 @@ def lead_segments(
         "_p.next.latitude AS yend",
         "_p.next.distance_vertical AS _next_vertical",
     )
+    points = points.filter("index0 IS NOT NULL")
     numbered = running_totals(points, [], ["index0", "path"], {"index": F.lit(1).cast("bigint")})
     return (
         numbered.filter(F.col("xend").isNotNull())

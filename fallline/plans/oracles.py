@@ -441,13 +441,21 @@ def _round_again(columns: str, first: int, names: dict[str, str] | None = None)
 
 
 def _only_with_edges() -> str:
-    return ", ".join(f"CASE WHEN c IS NOT NULL THEN {n} END AS {n}" for n in BEARING_STATS)
+    return ", ".join(f"CASE WHEN e > 0 THEN {n} END AS {n}" for n in BEARING_STATS)
 
 
 def _round_all(columns: str, digits: int) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
 
 
+_MANIFEST = """
+    SELECT 'https://example.org/' || p AS url, p AS relative_path,
+           '2024-11-24T00:00:00+00:00' AS last_modified, '2024-11-24T00:00:00+00:00' AS downloaded,
+           round(n / 1048576, 9) AS content_size_mb, round(n / 1048576, 9) AS compressed_size_mb,
+           sha256(text) AS checksum_sha256
+    FROM (SELECT text, source || '/' || doc_id || '.txt' AS p, strlen(text) AS n FROM documents)"""
+
+
 def oracle_sql() -> dict[str, str]:
     queries = {
         "geojson_scan": sql(
@@ -542,10 +550,32 @@ def oracle_sql() -> dict[str, str]:
         ),
         "subset_by_keys": sql(
             "home bridge dim",
-            """SELECT run_id FROM home SEMI JOIN (
+            """SELECT run_id, CASE WHEN run_no % 11 <> 0 THEN 'Run ' || run_no END AS run_name,
+                      true AS profile, true AS has_null
+               FROM home SEMI JOIN (
                    SELECT run_no FROM bridge JOIN dim USING (ski_area_id)
                    WHERE osm_status = 'abandoned') USING (run_no)""",
         ),
+        "manifest_read": _MANIFEST,
+        "file_manifest": _MANIFEST,
+        "validate_faults": sql(
+            "area",
+            """, a AS (SELECT *, CAST(substr(ski_area_id, 2) AS BIGINT) AS k FROM area)
+               SELECT 'run_count is in range' AS rule, count(*) FILTER (k % 7 = 1) AS violations FROM a
+               UNION ALL SELECT 'latitude is in range', count(*) FILTER (k % 5 = 2) FROM a
+               UNION ALL SELECT 'bearing_mean is in range', count(*) FILTER (k % 9 = 3) FROM a
+               UNION ALL SELECT 'osm_status is an allowed value', count(*) FILTER (k % 11 = 4) FROM a
+               UNION ALL SELECT 'ski_area_id is unique',
+                                CASE WHEN count(*) FILTER (k % 13 = 5) > 1
+                                     THEN count(*) FILTER (k % 13 = 5) ELSE 0 END FROM a""",
+        ),
+        "bin_faults": sql(
+            "labelled",
+            """SELECT ski_area_id, CAST(num_bins AS INTEGER) AS num_bins,
+                      CAST(bin_index AS INTEGER) AS bin_index, CAST(2 AS BIGINT) AS "count"
+               FROM labelled WHERE CAST(substr(ski_area_id, 2) AS BIGINT) % 3 = 0""",
+        ),
+        "geojson_document": sql("place", "SELECT ski_area_id, osm_status AS status FROM place"),
         "structure_coords": sql(
             "raw",
             """SELECT run_id, idx AS "index", round(latitude, 6) AS latitude,
@@ -570,7 +600,7 @@ def oracle_sql() -> dict[str, str]:
         "explode_unnest": sql("pt", f'SELECT run_id, "index", {_POINT} FROM pt'),
         "regroup_coords": sql(
             "pt",
-            """SELECT run_id, CAST(0 AS INTEGER) AS part, CAST(count(*) AS INTEGER) AS points,
+            """SELECT run_id, CAST(count(*) AS INTEGER) AS points,
                       arg_min(elevation, "index") AS first_elevation,
                       arg_max(elevation, "index") AS last_elevation
                FROM pt GROUP BY run_id""",
@@ -675,7 +705,7 @@ def oracle_sql() -> dict[str, str]:
                                   latitude AS y, lead(longitude) OVER w AS xend,
                                   lead(latitude) OVER w AS yend,
                                   lead(distance_vertical) OVER w AS v,
-                                  row_number() OVER (ORDER BY "index" NULLS FIRST, run_id)
+                                  row_number() OVER (ORDER BY "index" NULLS LAST, run_id)
                                       AS "index"
                            FROM seg WINDOW w AS (PARTITION BY run_no ORDER BY seg."index")))
                WHERE xend IS NOT NULL""",
@@ -1015,7 +1045,7 @@ def oracle_sql() -> dict[str, str]:
                                 AND ski_area_name <> '' AND country = '{COUNTRY}'
                                 AND length(ski_area_name) < 20
                           ORDER BY (CAST(substr(ski_area_id, 2) AS BIGINT) * 7919) % 10007,
-                                   ski_area_id LIMIT 48)
+                                   ski_area_id LIMIT 3)
                       UNION ALL SELECT ski_area_id, ski_area_name FROM area
                       WHERE ski_area_name = 'Supplier#000000001')
                      JOIN labelled USING (ski_area_id) WHERE num_bins = 32""",
@@ -1046,7 +1076,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "path_nodes": sql(
             "clean",
-            """SELECT longitude, latitude, round(arg_max(elevation, (run_id, "index")), 6)
+            """SELECT longitude, latitude, round(arg_max(elevation, left(md5(run_id || ':' || "index"), 15)), 6)
                           AS elevation
                FROM clean GROUP BY longitude, latitude""",
         ),
@@ -1057,7 +1087,8 @@ def oracle_sql() -> dict[str, str]:
                        round(combined_vertical, 4) AS combined_vertical,
                        {_STAT_COLUMNS}
                 FROM (SELECT * REPLACE ({_only_with_edges()}) FROM (
-                    SELECT *, c AS combined_vertical, {stats_sql("x", "y", "c", "s")} FROM (
+                    SELECT *, CASE WHEN e > 0 THEN coalesce(c, 0) END AS combined_vertical,
+                           {stats_sql("x", "y", "c", "s")} FROM (
                     SELECT *, CASE WHEN latitude > 0 THEN 1 WHEN latitude IS NOT NULL THEN -1 END
                                   AS s,
                            CASE WHEN latitude > 0 THEN 'north' WHEN latitude IS NOT NULL
@@ -1072,6 +1103,8 @@ def oracle_sql() -> dict[str, str]:
                                       sum(distance_vertical_drop * cos(radians(bearing))) AS x,
                                       sum(distance_vertical_drop * sin(radians(bearing))) AS y
                                FROM aseg WHERE distance_horizontal > 0 GROUP BY ALL)
+                         USING (ski_area_id)
+                    LEFT JOIN (SELECT ski_area_id, count(la) AS e FROM aseg GROUP BY ALL)
                          USING (ski_area_id))))""",
         ),
         "validate_bins": sql(

@@ -1,12 +1,13 @@
 """The jobs from source files to published tables."""
 
+import logging
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from fallline.operators.areas import area_dimension, area_metrics
 from fallline.operators.display import frontend_table
-from fallline.operators.quality import require_valid, schema_problems
+from fallline.operators.quality import problems, require_valid, schema_problems
 from fallline.operators.rollups import PRESETS
 from fallline.sources.features import (
     load_lifts,
@@ -17,6 +18,8 @@ from fallline.sources.features import (
 )
 from fallline.sources.tables import export_runs, export_table, filtered_scan, scan_runs
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -54,7 +57,8 @@ def analyze(
 ) -> DataFrame:
     """Source files to the stored run and area tables. Returns the stored area table.
 
-    With ``skip_runs`` the run table of an earlier call is used again.
+    With ``skip_runs`` the run table of an earlier call is used again. Broken rules of the area table
+    are logged as warnings; :func:`validate` raises for them.
     """
     if not skip_runs:
         export_runs(load_runs(read_features(spark, sources["runs"], "runs", one_per_line)), layout.runs)
@@ -63,7 +67,10 @@ def analyze(
         load_lifts(read_features(spark, sources["lifts"], "lifts", one_per_line)),
     )
     export_table(area_metrics(dimension, scan_runs(spark, layout.runs)), layout.areas)
-    return filtered_scan(spark, layout.areas)
+    areas = filtered_scan(spark, layout.areas)
+    for problem in problems(areas):
+        logger.warning("%s: %s", layout.areas, problem)
+    return areas
 
 
 def validate(spark: SparkSession, layout: Layout) -> DataFrame:

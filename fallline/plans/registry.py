@@ -30,7 +30,7 @@ REGISTRY: dict[str, Query] = {}
 GRID = LatitudeBearingGrid()
 #: The country whose regions are rolled up, and the line of ``side_of_line``.
 COUNTRY = "NATION_3"
-LINE = ((-72.095, 43.7775), (-72.101, 43.79))
+LINE = ((-40.0, -12.5), (95.0, 31.0))
 NUMBER_FILTERS = ("15", "-20", "-", "-0", "[10, 20]", "(10, 20)", "(, 5]", "[3,", "about 7")
 
 
@@ -212,18 +212,30 @@ def filtered_scan(spark, sf):
     )
 
 
+def _records(spark: SparkSession, sf: str) -> DataFrame:
+    """Each document taken as a downloaded file."""
+    path = F.concat_ws("/", "source", F.concat("doc_id", F.lit(".txt")))
+    stamp = F.lit("2024-11-24T00:00:00+00:00")
+    return M.record_manifest(
+        spark.read.parquet(f"{sf}/documents.parquet"),
+        F.concat(F.lit("https://example.org/"), path),
+        path,
+        F.col("text"),
+        stamp,
+        stamp,
+    )
+
+
 @query
 def manifest_read(spark, sf):
     path = new_table_path(spark, "manifest")
-    M.write_manifest(M.file_manifest(spark, sf, "*.parquet"), path)
-    return M.read_manifest(spark, path, one_per_line=True).select(
-        "relative_path", "content_size_mb", "compressed_size_mb", "checksum_sha256"
-    )
+    M.write_manifest(_records(spark, sf), path)
+    return shown(M.read_manifest(spark, path, one_per_line=True), content_size_mb=9, compressed_size_mb=9)
 
 
 @query
 def file_manifest(spark, sf):
-    return M.file_manifest(spark, sf, "*.parquet").drop("last_modified")
+    return shown(_records(spark, sf), content_size_mb=9, compressed_size_mb=9)
 
 
 @query
@@ -252,9 +264,41 @@ def export_rollup(spark, sf):
 
 @query
 def subset_by_keys(spark, sf):
+    """Written by another program, with a NULL name and a property that no schema names."""
+    written, subset = new_table_path(spark, "runs.geojson"), new_table_path(spark, "subset.geojson")
+    text = P.feature_json(run_features(spark, sf))
+    head = """'{"type":"Feature","properties":{'"""
+    more = f"""concat({head}, '"elevationProfile":[', length(value), ',null],"note":null,')"""
+    text.selectExpr(f"replace(value, {head}, {more}) AS value").write.text(written)
     chosen = dimension(spark, sf).filter(F.col("osm_status") == "abandoned").select("ski_area_id")
-    subset = P.subset_by_ids(run_features(spark, sf), chosen, "runs")
-    return subset.select(F.col("properties.id").alias("run_id"))
+    features = G.read_feature_texts(spark, written, "runs")
+    P.write_feature_texts(P.subset_by_ids(features, chosen, "runs"), subset)
+    names = "struct<id:string,name:string,elevationProfile:array<int>>"
+    back = spark.read.text(subset).selectExpr(
+        f"from_json(value, 'type string, properties {names}') AS f", "value"
+    )
+    return back.selectExpr(
+        "f.properties.id AS run_id",
+        "f.properties.name AS run_name",
+        "f.properties.elevationProfile[0] > 0 AND f.properties.elevationProfile[1] IS NULL AS profile",
+        """contains(value, '"note":null') AS has_null""",
+    )
+
+
+@query
+def geojson_document(spark, sf):
+    """A whole collection in one document per file."""
+    path = new_table_path(spark, "areas.geojson")
+    text = P.feature_json(tracks.area_features(spark, sf))
+    # each document is a few hundred features
+    parts = text.count() // 500 + 1
+    text = text.withColumn("part", F.pmod(F.xxhash64("value"), F.lit(parts)))
+    lists = text.groupBy("part").agg(F.array_join(F.collect_list("value"), ",").alias("all"))
+    whole = F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}"))
+    lists.select("part", whole.alias("value")).write.partitionBy("part").text(path)
+    return G.read_feature_collection(spark, path, "ski_areas").select(
+        F.col("properties.id").alias("ski_area_id"), F.col("properties.status").alias("status")
+    )
 
 
 # -- coordinates ------------------------------------------------------------
@@ -307,7 +351,6 @@ def regroup_coords(spark, sf):
     first, last = (F.try_element_at("run_coordinates_clean", F.lit(i)) for i in (1, -1))
     return lists.select(
         "run_id",
-        "part",
         F.size("run_coordinates_clean").alias("points"),
         first["elevation"].alias("first_elevation"),
         last["elevation"].alias("last_elevation"),
@@ -749,6 +792,7 @@ def showcase_areas(spark, sf):
             country=COUNTRY,
             order=(number * 7919) % 10007,
             always="Supplier#000000001",
+            sample=3,
         )
     )
 
@@ -798,6 +842,32 @@ def validate_metrics(spark, sf):
     return Q.validate_areas(stored_metrics(spark, sf))
 
 
+@query
+def validate_faults(spark, sf):
+    """The area table with faults put into it, which the rules have to find."""
+    number = F.substring("ski_area_id", 2, 20).cast("bigint")
+    faulty = stored_metrics(spark, sf).withColumns(
+        {
+            "run_count": F.when(number % 7 == 1, F.lit(-1)).otherwise(F.col("run_count")),
+            "latitude": F.when(number % 5 == 2, F.lit(90.5)).otherwise(F.col("latitude")),
+            "bearing_mean": F.when(number % 9 == 3, F.lit(360.0)).otherwise(F.col("bearing_mean")),
+            "osm_status": F.when(number % 11 == 4, F.lit("closed")).otherwise(F.col("osm_status")),
+            "ski_area_id": F.when(number % 13 == 5, F.lit("a5")).otherwise(F.col("ski_area_id")),
+        }
+    )
+    names = ("run_count is in range", "latitude is in range", "bearing_mean is in range",
+             "osm_status is an allowed value", "ski_area_id is unique")
+    return Q.validate_areas(faulty).filter(F.col("rule").isin(*names))
+
+
+@query
+def bin_faults(spark, sf):
+    """Bins of every third area twice."""
+    bins = A.bearing_distribution(metrics(spark, sf))
+    again = bins.filter(F.substring("ski_area_id", 2, 20).cast("bigint") % 3 == 0)
+    return Q.duplicate_bins(bins.unionByName(again))
+
+
 @query
 def validate_bins(spark, sf):
     return Q.duplicate_bins(A.bearing_distribution(metrics(spark, sf)))

@@ -1,6 +1,8 @@
 """Session settings and stage materialisation."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -27,12 +29,18 @@ def local_session(app_name: str = "fallline", cores: str | None = None) -> Spark
 def shared_folder(spark: SparkSession) -> str:
     """The folder for written stages: the one the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it names none, as in tests, a temporary one is made.
+    Where it names none, a session within one machine gets a temporary folder, which is deleted at
+    its end; on a cluster, whose machines share no such folder, that is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fallline-"))
+        if not folder:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="fallline-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -42,10 +50,11 @@ def new_table_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a stage to the shared folder and go on from the written copy.
+    """Write a stage to the shared folder as Parquet and go on from the written copy.
 
-    Used where a stage feeds several branches, or where a partition number must not change between
-    two reads. The copy outlives a lost executor.
+    Used where a stage feeds several branches, each of which then reads its own columns alone, or
+    where a partition number must not change between two reads. The copy outlives a lost executor.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    path = new_table_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -23,25 +23,34 @@ def read_feature_lines(spark: SparkSession, path: str | list[str], kind: str) ->
 
     Files are split between tasks at line ends. Both newline-delimited features and feature
     collections written one feature per line are read; of the latter, the opening and closing lines
-    are skipped and commas at line ends ignored. Any other line that is not a feature fails the job.
+    are skipped and commas at line ends ignored. Any other line that is not a feature fails the job,
+    also where only rows are counted.
     """
+    return read_feature_texts(spark, path, kind).drop("line")
+
+
+#: The first line of a collection, its last lines, and lines of white space alone.
+_FRAME = (
+    r'^\{\s*"type"\s*:\s*"FeatureCollection".*"features"\s*:\s*\[$|^\]\s*\}?$|^\}$|^$'
+)
+
+
+def read_feature_texts(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+    """The same with the text of each feature as it stands in the file, as ``line``."""
     schema = T.StructType([*FEATURES[kind].fields, T.StructField(_CORRUPT, T.StringType())])
-    text = F.regexp_replace(F.trim("value"), r",\s*$", "")
-    frame = text.rlike(r"^[\s\[\]{},]*$") | text.rlike(
-        r'^\{\s*"type"\s*:\s*"FeatureCollection".*"features"\s*:\s*\[\s*$'
+    lines = spark.read.text(path).select(
+        F.regexp_replace(F.trim("value"), r"\s*,?\s*$", "").alias("line")
     )
-    parsed = (
-        spark.read.text(path)
-        .select(text.alias("value"))
-        .filter(~frame)
-        .select(F.from_json("value", schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("f"))
+    parsed = lines.select(
+        "line", F.from_json("line", schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("f")
     )
     good = F.col(f"f.{_CORRUPT}").isNull() & (F.col("f.type") == "Feature")
-    message = F.concat(
-        F.lit("not a feature: "), F.coalesce(F.substring(f"f.{_CORRUPT}", 1, 80), F.lit(""))
-    )
-    return parsed.select(
-        *[_checked(good, f"f.{n}", message).alias(n) for n in FEATURES[kind].fieldNames()]
+    message = F.concat(F.lit("not a feature: "), F.substring("line", 1, 80))
+    # a frame line gives NULL and never the error, in whatever order Spark tests the conditions
+    checked = F.when(F.col("line").rlike(_FRAME), F.lit(None)).when(good, F.col("f"))
+    features = parsed.select("line", checked.otherwise(F.raise_error(message)).alias("f"))
+    return features.filter("f IS NOT NULL").select(
+        "line", *[F.col(f"f.{n}").alias(n) for n in FEATURES[kind].fieldNames()]
     )
 
 

@@ -39,13 +39,15 @@ def subset_by_ids(features: DataFrame, ids: DataFrame, kind: str) -> DataFrame:
         return features.join(
             ids.select("ski_area_id"), F.col("properties.id") == F.col("ski_area_id"), "left_semi"
         )
-    keyed = features.withColumn("_id", F.col("properties.id"))
+    numbered = features.withColumn("_row", F.monotonically_increasing_id())
+    others = [F.first(c).alias(c) for c in features.columns]
     chosen = (
-        keyed.select("_id", F.explode("properties.skiAreas.properties.id").alias("ski_area_id"))
-        .join(ids.select("ski_area_id"), "ski_area_id", "left_semi")
-        .select("_id")
+        numbered.withColumn("_area", F.explode("properties.skiAreas.properties.id"))
+        .join(ids.select("ski_area_id"), F.col("_area") == F.col("ski_area_id"), "left_semi")
+        .drop("_area")
     )
-    return keyed.join(chosen, "_id", "left_semi").drop("_id")
+    # the number is made and used in one pass over the features; only chosen ones are shuffled
+    return chosen.groupBy("_row").agg(*others).drop("_row")
 
 
 def subset_by_id_list(features: DataFrame, ids: Sequence[str], kind: str) -> DataFrame:
@@ -85,6 +87,15 @@ def feature_json(features: DataFrame) -> DataFrame:
     )
 
 
+def write_feature_texts(features: DataFrame, path: str) -> None:
+    """Write features read by ``read_feature_texts`` as they stood in their file, one per line.
+
+    Nothing is parsed and written anew, so properties that no schema names, NULL ones and the types of
+    all values are kept.
+    """
+    features.select("line").write.mode("overwrite").text(path)
+
+
 def write_feature_lines(features: DataFrame, path: str) -> None:
     """Write one feature per line, in parallel; ``read_feature_lines`` reads it back."""
     feature_json(features).write.mode("overwrite").text(path)

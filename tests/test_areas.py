@@ -162,6 +162,25 @@ def test_graph_places_count_once_and_still_steps_do_not(spark, make_runs, run_ro
     assert row.bearing_mean == 0 and row.bearing_alignment == 1
 
 
+def test_graph_of_still_steps_has_edges_without_direction(spark, make_runs, run_row):
+    still = run_row("s", [(1.0, 2.0, 9.0), (1.0, 2.0, 9.0)], areas=("still",))
+    single = run_row("p", [(1.0, 2.0, 9.0)], areas=("single",))
+    nothing = run_row("n", [], areas=("nothing",))
+    rows = {r.ski_area_id: r for r in N.graph_summary(make_runs([still, single, nothing])).collect()}
+    assert [rows["still"][n] for n in ("combined_vertical", "bearing_mean", "bearing_alignment")] == [0, 0, 0]
+    assert rows["still"].bearing_magnitude_cum == 0 and rows["still"].latitude == 2
+    assert rows["single"].combined_vertical is None and rows["single"].bearing_mean is None
+    assert rows["nothing"].run_count == 1 and rows["nothing"].latitude is None
+
+
+def test_network_reads_the_runs_once_and_does_not_sort(spark):
+    runs = materialize(registry.runs(spark, SMALL))
+    plan = N.graph_summary(runs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan
+    nodes = N.path_nodes(S.explode_segments(runs.select("run_id", "run_coordinates_clean")))
+    assert "SortAggregate" not in nodes._jdf.queryExecution().executedPlan().toString()
+
+
 def test_graph_on_the_equator_is_southern(spark, make_runs, run_row):
     row = N.graph_summary(make_runs([run_row("r", [(0.0, 0.0, 9.0), (1.0, 0.0, 5.0)])])).first()
     assert row.hemisphere == "south"

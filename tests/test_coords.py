@@ -54,3 +54,7 @@ def test_unknown_source_fails(spark):
     df = spark.createDataFrame([(("elsewhere", "1"),)], "s struct<type:string,id:string>")
     with pytest.raises(PySparkException, match="unknown source type elsewhere"):
         df.select(coords.source_url("s")).collect()
+
+
+def test_points_without_elevation_stay(spark):
+    assert _clean(spark, [[1.0, 2.0], [3.0, 4.0]]) == [(0, 1.0, 2.0, None), (1, 3.0, 4.0, None)]

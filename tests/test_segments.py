@@ -72,19 +72,23 @@ def test_regrouping_restores_the_lists(spark):
     runs = registry.runs(spark, SMALL).select("run_id", "run_coordinates_clean")
     runs = runs.filter(F.size("run_coordinates_clean") > 0)
     back = S.regroup_coordinates(S.explode_coordinates(runs).repartition(7))
-    assert back.filter("part <> 0").isEmpty()
-    assert back.drop("part").exceptAll(runs).isEmpty()
-    assert runs.exceptAll(back.drop("part")).isEmpty()
+    assert back.exceptAll(runs).isEmpty()
+    assert runs.exceptAll(back).isEmpty()
 
 
-def test_long_runs_continue_in_parts(spark):
-    points = spark.range(25).selectExpr(
-        "'r' AS run_id", "cast(id AS int) AS index", "1D AS latitude", "2D AS longitude",
-        "cast(id AS double) AS elevation",
+def test_regrouped_runs_have_all_their_segments(spark):
+    points = spark.range(250_000).selectExpr(
+        "'r' AS run_id", "cast(id AS int) AS index", "id * 1e-5D AS latitude", "2D AS longitude",
+        "cast(-id AS double) AS elevation",
     )
-    parts = S.regroup_coordinates(points, max_points=10).orderBy("part").collect()
-    assert [len(p.run_coordinates_clean) for p in parts] == [10, 10, 5]
-    assert [c.elevation for p in parts for c in p.run_coordinates_clean] == list(map(float, range(25)))
+    runs = S.regroup_coordinates(points)
+    assert runs.count() == 1
+    assert S.explode_segments(runs).filter("segment_hash IS NOT NULL").count() == 249_999
+
+
+def test_runs_without_points_take_no_number(make_runs, run_row):
+    runs = make_runs([run_row("a", []), run_row("b", [(0.0, 0.0, 9.0), (0.0, 1.0, 5.0)])])
+    assert [r["index"] for r in S.lead_segments(S.enrich_runs(runs)).collect()] == [1]
 
 
 def test_lead_segments_are_numbered_over_all_runs(spark, make_runs, run_row):

@@ -80,6 +80,26 @@ def test_broken_lines_fail(spark, tmp_path, line):
         G.read_feature_lines(spark, str(tmp_path / "x.ndjson"), "runs").collect()
 
 
+@pytest.mark.parametrize("line", ["{}", '{"type": "Feature", "prop', "[]"])
+def test_no_line_is_skipped_or_counted_unread(spark, tmp_path, line):
+    (tmp_path / "x.ndjson").write_text(json.dumps(FEATURES[0]) + "\n" + line + "\n")
+    features = G.read_feature_lines(spark, str(tmp_path / "x.ndjson"), "runs")
+    for read in (features.count, features.collect):
+        with pytest.raises(PySparkException, match="not a feature"):
+            read()
+
+
+@pytest.mark.parametrize("name", ["lines.ndjson", "per_line.geojson", "doc.geojson"])
+def test_joins_and_explodes_over_all_layouts(spark, layouts, name):
+    read = G.read_feature_collection if name == "doc.geojson" else G.read_feature_lines
+    features = read(spark, str(layouts / name), "runs")
+    ids = spark.createDataFrame([("a",), ("zz",)], "ski_area_id string")
+    assert [r.id for r in P.subset_by_ids(features, ids, "runs").select("properties.id").collect()] == ["r1"]
+    areas = features.select(F.explode("properties.skiAreas.properties.id").alias("i")).filter("i IS NOT NULL")
+    assert sorted(r.i for r in areas.collect()) == ["a", "a1", "b"]
+    assert features.filter("properties.id IS NOT NULL").count() == 3
+
+
 def test_other_documents_fail(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps({"type": "Topology", "features": []}))
     with pytest.raises(PySparkException, match="not a FeatureCollection"):
@@ -118,12 +138,14 @@ def test_manifest_of_plain_and_compressed_files(spark, tmp_path):
     content = ("é,1\n" * 5000).encode()
     (folder / "plain.csv").write_bytes(content)
     (folder / "packed.csv.gz").write_bytes(gzip.compress(content))
-    rows = {r.relative_path.rsplit("/", 1)[1]: r for r in M.file_manifest(spark, str(folder)).collect()}
+    rows = {r.relative_path.rsplit("/", 1)[1]: r for r in M.file_manifest(spark, str(folder), root=str(tmp_path), url_root="https://example.org/d", downloaded="2024").collect()}
     for name in ("plain.csv", "packed.csv.gz"):
         raw = (folder / name).read_bytes()
         assert rows[name].checksum_sha256 == hashlib.sha256(raw).hexdigest()
         assert rows[name].compressed_size_mb == len(raw) / 1024**2
         assert rows[name].content_size_mb == len(content) / 1024**2
+        assert rows[name].relative_path == f"files/{name}"
+        assert rows[name].url == f"https://example.org/d/files/{name}" and rows[name].downloaded == "2024"
 
 
 def test_manifest_layouts(spark, tmp_path):
