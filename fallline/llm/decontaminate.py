@@ -36,7 +36,7 @@ CELLS = 1 << 21
 
 @dataclass
 class Index:
-    ids: np.ndarray
+    ids: list[int | None]
     width: int
     terms: np.ndarray
     most: np.ndarray
@@ -90,7 +90,7 @@ def build(items: list[tuple[int, str]], frequency: dict[int, int], n_items: int,
     np.maximum.at(most, at, weight)
     parts = [question_and_answer(x) for _, x in items]
     return Index(
-        np.array([i for i, _ in items], dtype=np.int64), max(map(len, words)), terms, most,
+        [i for i, _ in items], max(map(len, words)), terms, most,
         _starts(keys // n_blocks, len(terms)), keys % n_blocks, block_max,
         _starts(at, len(terms)), item, weight,
         [_grams(q) for q, _ in parts], [_grams(a) for _, a in parts],
@@ -192,7 +192,8 @@ def _indexes(items: DataFrame):
         own = np.unique(np.concatenate([T.word_hashes(x.encode().lower()) for _, x in found])).view(np.int64)
         wanted = spark.createDataFrame([(int(x),) for x in own], "term bigint")
         frequency = {r.term: r.df for r in rows.join(wanted, "term", "left_semi").collect()}
-        yield build(sorted(found), frequency, n, total / max(1, n))
+        found.sort(key=lambda x: (x[0] is None, x))
+        yield build(found, frequency, n, total / max(1, n))
 
 
 SCHEMA = (
@@ -224,7 +225,7 @@ def find(
             for at, words in T.texts_words([x.lower() for x in T.bytes_of(batch.column(1))]):
                 for item, passage, score, q, a in leaks(shared.value, words, threshold, overlap):
                     start = passage * shared.value.width
-                    rows.append((ids[at], int(shared.value.ids[item]), start, score, q, a))
+                    rows.append((ids[at], shared.value.ids[item], start, score, q, a))
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])

@@ -1,3 +1,95 @@
-"""SQL for the queries of this folder that SQL can express."""
+"""SQL for the queries of this folder that SQL can express.
 
-ORACLES: dict[str, str] = {}
+The model, the tokenizer, packing, the index with its overlap checks, minhash banding, page extraction and the
+further kinds of personal data have no SQL; the tests hold them against plain versions.
+"""
+
+from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
+
+from . import licenses, url_filter
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+_JOIN = f"""
+WITH RECURSIVE
+words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), {_WORD}) AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, list_distinct(CASE
+        WHEN len(w) = 0 THEN []::VARCHAR[]
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s
+    FROM words),
+shingles AS (SELECT doc_id, unnest(s) AS s FROM sets),
+sizes AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets),
+shared AS (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k
+    FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+    WHERE 100 * k >= 80 * (x.n + y.n - k)),
+steps AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT a, b FROM steps UNION SELECT r.a, s.b FROM reach r JOIN steps s ON r.b = s.a)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(min(b), doc_id)) AS component_id
+FROM sizes LEFT JOIN reach ON doc_id = a GROUP BY doc_id, n"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _digest(text: str) -> str:
+    form = f"regexp_replace(lower({text}), {_quoted(licenses.COPYRIGHT_LINE)}, '', 'g')"
+    form = reduce(lambda x, p: f"replace({x}, {_quoted(p[0])}, {_quoted(p[1])})", licenses.SPELLINGS, form)
+    form = rf"trim(regexp_replace({form}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    return f"CASE WHEN {form} <> '' THEN sha256({form}) END"
+
+
+def _known(texts: tuple[tuple[str, str], ...]) -> str:
+    rows = ", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in texts)
+    return f"SELECT license, {_digest('t')} AS digest FROM (VALUES {rows}) AS v(license, t)"
+
+
+_LICENSES = f"""
+WITH whole AS ({_known(licenses.LICENSES)}),
+notice AS ({_known(licenses.NOTICES)}),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+named AS (SELECT doc_id, {_digest("line")} AS digest FROM lines WHERE contains(lower(line), 'licen')),
+found AS (
+    SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices
+    FROM named JOIN notice USING (digest) GROUP BY doc_id),
+digests AS (SELECT doc_id, {_digest("text")} AS digest FROM documents)
+SELECT doc_id, digest, license, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM digests LEFT JOIN whole USING (digest) LEFT JOIN found USING (doc_id)"""
+
+_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
+_BLOCKED = ", ".join(f"('{h}', '{p}')" for h, p in url_filter.BLOCKED)
+
+_URLS = f"""
+WITH rest AS (
+    SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+bare AS (SELECT page_id, regexp_extract(r, '^[^?#]*') AS r FROM rest),
+parts AS (
+    SELECT page_id, translate(regexp_extract(r, '^[^/]*'), '{ascii_uppercase}', '{ascii_lowercase}') AS host,
+           CASE WHEN contains(r, '/') THEN substr(r, instr(r, '/')) ELSE '' END AS path
+    FROM bare),
+rules(h, p, v) AS (VALUES {_RULES}),
+blocked(h, p) AS (VALUES {_BLOCKED}),
+fits AS (
+    SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+    FROM (SELECT DISTINCT page_id, host, path FROM parts) JOIN rules
+         ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+listed AS (
+    SELECT DISTINCT page_id FROM parts JOIN blocked
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
+SELECT page_id, host, path, rule,
+       coalesce(v, CASE WHEN listed.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN listed USING (page_id)"""
+
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": _JOIN,
+    "op4_licenses": _LICENSES,
+    "op5_url_filter": _URLS,
+}
