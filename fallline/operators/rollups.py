@@ -19,7 +19,13 @@ def filtered(areas: DataFrame, predicates: Sequence[Column] | None = None) -> Da
 def rollup_histogram(
     areas: DataFrame, group: list[str], predicates: Sequence[Column] | None = None
 ) -> DataFrame:
-    """Histogram per group: bin counts added up, proportions within group and resolution."""
+    """Histogram per group: bin counts added up, proportions within group and resolution, sorted."""
+    return _summed_bins(areas, group, predicates).orderBy(*group, "num_bins", "bin_index")
+
+
+def _summed_bins(
+    areas: DataFrame, group: list[str], predicates: Sequence[Column] | None
+) -> DataFrame:
     bins = (
         filtered(areas, predicates)
         .transform(explode_bins, group)
@@ -90,7 +96,7 @@ def rollup(
         "num_bins", "bin_index", "bin_center", "bin_count", "bin_proportion", "bin_label"
     )
     histograms = (
-        rollup_histogram(areas, group, predicates)
+        _summed_bins(areas, group, predicates)
         .groupBy(*group)
         .agg(F.sort_array(F.collect_list(bin_struct)).alias("bearings"))
     )

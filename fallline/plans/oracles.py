@@ -4,7 +4,7 @@ The text runs on the test tables in another engine. Steps shared by many queries
 expressions, and each query names the ones it needs.
 """
 
-from fallline.plans.registry import COUNTRY, LINE
+from fallline.plans.registry import COUNTRY, LINE, OFF_TIES
 from fallline.schema import BEARING_STATS, COMPASS_WINDS, INEQUALITY_METRICS
 
 # ---------------------------------------------------------------------------
@@ -347,12 +347,13 @@ def sql(needs: str, body: str) -> str:
 # Queries
 # ---------------------------------------------------------------------------
 
-_STAT_COLUMNS = """bearing_mean, bearing_alignment,
-    round(bearing_magnitude_net, 2) AS bearing_magnitude_net,
-    round(bearing_magnitude_cum, 2) AS bearing_magnitude_cum,
+_STAT_COLUMNS = f"""bearing_mean, bearing_alignment,
+    round(bearing_magnitude_net + {OFF_TIES}, 5) AS bearing_magnitude_net,
+    round(bearing_magnitude_cum + {OFF_TIES}, 5) AS bearing_magnitude_cum,
     poleward_affinity, eastward_affinity"""
 
-_PLACE_COLUMNS = """round(latitude, 3) AS latitude, round(longitude, 3) AS longitude,
+_PLACE_COLUMNS = f"""round(latitude + {OFF_TIES}, 6) AS latitude,
+    round(longitude + {OFF_TIES}, 6) AS longitude,
     round(min_elevation, 6) AS min_elevation, round(max_elevation, 6) AS max_elevation,
     round(vertical_drop, 6) AS vertical_drop"""
 
@@ -448,6 +449,17 @@ def _round_all(columns: str, digits: int) -> str:
     return ", ".join(f"round({c}, {digits}) AS {c}" for c in columns.split())
 
 
+def _rolled_bins(group: str, which: str) -> str:
+    return f"""SELECT {group}, CAST(num_bins AS INTEGER) AS num_bins,
+                      CAST(bin_index AS INTEGER) AS bin_index, bin_center,
+                      round(n, 4) AS bin_count, bin_label,
+                      round(CASE WHEN t > 0 THEN n / t ELSE 0 END, 6) AS bin_proportion
+               FROM (SELECT *, sum(n) OVER (PARTITION BY {group}, num_bins) AS t FROM (
+                     SELECT {group}, num_bins, bin_index, max(bin_center) AS bin_center,
+                            max(bin_label) AS bin_label, sum(bin_count) AS n
+                     FROM area JOIN labelled USING (ski_area_id) WHERE {which} GROUP BY ALL))"""
+
+
 _MANIFEST = """
     SELECT 'https://example.org/' || p AS url, p AS relative_path,
            '2024-11-24T00:00:00+00:00' AS last_modified, '2024-11-24T00:00:00+00:00' AS downloaded,
@@ -817,16 +829,16 @@ def oracle_sql() -> dict[str, str]:
                 WHERE {_named("country")} GROUP BY country
                 HAVING bool_or(run_count > 0)""",
         ),
-        "rollup_histogram": sql(
+        "rollup_histogram": sql("area labelled", _rolled_bins("region", "true")),
+        "rollup_bins_country": sql(
+            "area labelled", _rolled_bins("country", _named("country"))
+        ),
+        "rollup_bins_status": sql(
             "area labelled",
-            """SELECT region, CAST(num_bins AS INTEGER) AS num_bins,
-                      CAST(bin_index AS INTEGER) AS bin_index, bin_center,
-                      round(n, 4) AS bin_count, bin_label,
-                      round(CASE WHEN t > 0 THEN n / t ELSE 0 END, 6) AS bin_proportion
-               FROM (SELECT *, sum(n) OVER (PARTITION BY region, num_bins) AS t FROM (
-                     SELECT region, num_bins, bin_index, max(bin_center) AS bin_center,
-                            max(bin_label) AS bin_label, sum(bin_count) AS n
-                     FROM area JOIN labelled USING (ski_area_id) GROUP BY ALL))""",
+            _rolled_bins(
+                "hemisphere, osm_status",
+                "hemisphere = 'north' AND osm_status IN ('abandoned', 'operating')",
+            ),
         ),
         "status_label": sql("area", f"SELECT ski_area_id, {_LABEL} AS label FROM area"),
         "lat_bin": sql(
@@ -1082,8 +1094,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "graph_summary": sql(
             "aseg",
-            f"""SELECT ski_area_id, run_count, round(latitude, 3) AS latitude,
-                       round(longitude, 3) AS longitude, hemisphere,
+            f"""SELECT ski_area_id, run_count, round(latitude + {OFF_TIES}, 6) AS latitude,
+                       round(longitude + {OFF_TIES}, 6) AS longitude, hemisphere,
                        round(combined_vertical, 4) AS combined_vertical,
                        {_STAT_COLUMNS}
                 FROM (SELECT * REPLACE ({_only_with_edges()}) FROM (

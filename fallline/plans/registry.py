@@ -39,16 +39,28 @@ def query(function: Query) -> Query:
     return function
 
 
+#: Added to average positions and to magnitudes before they are rounded. Positions have 7 decimals, so
+#: averages of a few often lie halfway between two results, where the order of addition would decide;
+#: magnitudes have been rounded to 7 digits already.
+OFF_TIES = 1.2345678e-8
+
+
 def shown(df: DataFrame, **digits: int) -> DataFrame:
     """Doubles rounded to 6 digits, or to as many as given for a column."""
     return df.selectExpr(
         *[
-            f"bround(`{n}`, {digits.get(n, _DIGITS.get(n, 6))}) AS `{n}`" if t == "double" else f"`{n}`"
+            f"bround(`{n}`{_moved(n)}, {digits.get(n, _DIGITS.get(n, 6))}) AS `{n}`"
+            if t == "double"
+            else f"`{n}`"
             for n, t in df.dtypes
         ]
     )
 
 
+def _moved(column: str) -> str:
+    return f" + {OFF_TIES}D" if column.startswith("bearing_magnitude") else ""
+
+
 #: Digits that neither show the order of addition nor put many values on a rounding edge: sums and
 #: averages get few, values the library has rounded already keep what they have.
 _DIGITS = {
@@ -57,8 +69,8 @@ _DIGITS = {
     "total_combined_vertical": 4,
     "bearing_mean": 7,
     "bearing_alignment": 7,
-    "bearing_magnitude_net": 2,
-    "bearing_magnitude_cum": 2,
+    "bearing_magnitude_net": 5,
+    "bearing_magnitude_cum": 5,
     "poleward_affinity": 7,
     "eastward_affinity": 7,
     "distance_horizontal": 5,
@@ -67,8 +79,10 @@ _DIGITS = {
     "value_cumsum": 3,
     "bin_count": 4,
 }
-#: Average positions of areas and groups.
-AVERAGED = {"latitude": 3, "longitude": 3}
+def shown_averages(df: DataFrame) -> DataFrame:
+    """:func:`shown` with average positions to 6 digits."""
+    moved = {n: F.col(n) + OFF_TIES for n in ("latitude", "longitude")}
+    return shown(df.withColumns(moved), latitude=6, longitude=6)
 
 
 # -- inputs -----------------------------------------------------------------
@@ -497,8 +511,8 @@ def side_of_line(spark, sf):
 
 @query
 def area_metrics(spark, sf):
-    return shown(
-        metrics(spark, sf).drop("bearings", "ski_area_websites", "ski_area_sources"), **AVERAGED
+    return shown_averages(
+        metrics(spark, sf).drop("bearings", "ski_area_websites", "ski_area_sources")
     )
 
 
@@ -570,7 +584,7 @@ def predicate_chain(spark, sf):
 
 
 def _rolled(groups: DataFrame) -> DataFrame:
-    return shown(groups.drop("bearings"), **AVERAGED)
+    return shown_averages(groups.drop("bearings"))
 
 
 @query
@@ -604,6 +618,18 @@ def rollup_having(spark, sf):
     return shown(R.at_least(groups).select("country", "combined_vertical"))
 
 
+@query
+def rollup_bins_country(spark, sf):
+    groups = R.rollup_by_country(stored_metrics(spark, sf))
+    return shown(A.explode_bins(groups, ["country"]))
+
+
+@query
+def rollup_bins_status(spark, sf):
+    groups = R.rollup_by_status(stored_metrics(spark, sf))
+    return shown(A.explode_bins(groups, ["hemisphere", "osm_status"]))
+
+
 @query
 def rollup_histogram(spark, sf):
     return shown(R.rollup_histogram(metrics(spark, sf), ["region"]))
@@ -831,7 +857,7 @@ def path_nodes(spark, sf):
 
 @query
 def graph_summary(spark, sf):
-    return shown(N.graph_summary(runs(spark, sf)), **AVERAGED)
+    return shown_averages(N.graph_summary(runs(spark, sf)))
 
 
 # -- quality ----------------------------------------------------------------
