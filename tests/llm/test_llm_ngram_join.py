@@ -3,6 +3,8 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from llm_fixtures import awkward, make_docs  # noqa: F401
+
 from fallline.llm import graph, ngram_join
 
 

@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
+from llm_fixtures import awkward, make_docs  # noqa: F401
+
 from fallline.llm import decontaminate, oracles, packing, paragraphs, quality_model, registry
 
 SMALL = "/root/testdata/sf0.001"

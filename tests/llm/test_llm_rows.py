@@ -6,6 +6,8 @@ from collections import Counter
 
 import pytest
 
+from llm_fixtures import awkward, make_docs  # noqa: F401
+
 from fallline.llm import fertility, html_text, licenses, pii, url_filter
 
 SMALL = "/root/testdata/sf0.001"
