@@ -28,7 +28,7 @@ def number_edge(number: Column, top: float, bins: int) -> Column:
 
 
 @dataclass(frozen=True)
-class LatitudeBearingGrid:
+class Grid:
     """A grid of bands of absolute latitude and sectors of poleward bearing.
 
     The number of cells is fixed by these parameters and does not grow with the data, which is why
@@ -39,170 +39,171 @@ class LatitudeBearingGrid:
     bearing_bins: int = 90
     prior_vertical: float = 20_000
 
-    # -- empty bins -------------------------------------------------------
 
-    def latitude_bands(self, spark: SparkSession, by_hemisphere: bool = False) -> DataFrame:
-        """All latitude bands, for both hemispheres if asked."""
-        n = self.latitude_bins
-        number = F.col("id").cast("int")
-        bands = spark.range(n, numPartitions=1).select(
-            number.alias("_band"),
-            number_edge(number, 90.0, n).alias("latitude_abs_bin_lower"),
-            number_edge(number + 1, 90.0, n).alias("latitude_abs_bin_upper"),
-        )
-        bands = bands.withColumn(
-            "latitude_abs_bin_center",
-            (F.col("latitude_abs_bin_lower") + F.col("latitude_abs_bin_upper")) / 2,
-        )
-        if not by_hemisphere:
-            return bands
-        return bands.withColumn("hemisphere", F.lit("north")).unionByName(
-            bands.withColumn("hemisphere", F.lit("south"))
-        )
+def latitude_bands(grid: Grid, spark: SparkSession, by_hemisphere: bool = False) -> DataFrame:
+    """All latitude bands, for both hemispheres if asked."""
+    n = grid.latitude_bins
+    number = F.col("id").cast("int")
+    bands = spark.range(n, numPartitions=1).select(
+        number.alias("_band"),
+        number_edge(number, 90.0, n).alias("latitude_abs_bin_lower"),
+        number_edge(number + 1, 90.0, n).alias("latitude_abs_bin_upper"),
+    )
+    bands = bands.withColumn(
+        "latitude_abs_bin_center",
+        (F.col("latitude_abs_bin_lower") + F.col("latitude_abs_bin_upper")) / 2,
+    )
+    if not by_hemisphere:
+        return bands
+    return bands.withColumn("hemisphere", F.lit("north")).unionByName(
+        bands.withColumn("hemisphere", F.lit("south"))
+    )
 
-    def cells(self, spark: SparkSession) -> DataFrame:
-        """All cells of the grid: every band with every sector."""
-        n = self.bearing_bins
-        sector = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        number = F.col("_sector")
-        return self.latitude_bands(spark).select("*", sector.alias("_sector")).withColumns(
-            {
-                "bearing_bin_lower": number_edge(number, 360.0, n),
-                "bearing_bin_upper": number_edge(number + 1, 360.0, n),
-                "bearing_bin_center": (
-                    number_edge(number, 360.0, n) + number_edge(number + 1, 360.0, n)
-                )
-                / 2,
-            }
-        )
 
-    # -- segments ---------------------------------------------------------
-
-    def binned_segments(
-        self, runs: DataFrame, coordinates: str = "run_coordinates_clean"
-    ) -> DataFrame:
-        """Segments of downhill runs with their band, sector and hemisphere.
-
-        A run counts once here, however many areas it belongs to.
-        """
-        downhill = runs.filter(is_downhill()).select("run_id", coordinates)
-        element = runs.schema[coordinates].dataType.elementType
-        enriched = set(SEGMENT_FIELDS) <= set(element.fieldNames())
-        segments = (explode_coordinates if enriched else explode_segments)(downhill, coordinates)
-        latitude_abs = F.abs("latitude")
-        poleward = flip_bearing(F.col("latitude"), F.col("bearing"))
-        return segments.filter(F.col("segment_hash").isNotNull()).select(
-            "run_id",
-            "latitude",
-            "bearing",
-            "segment_hash",
-            "distance_vertical_drop",
-            F.expr(hemisphere_sign_sql()).alias("_sign"),
-            hemisphere().alias("hemisphere"),
-            latitude_abs.alias("latitude_abs"),
-            poleward.alias("bearing_poleward"),
-            bin_number(latitude_abs, 90.0, self.latitude_bins).alias("_band"),
-            bin_number(poleward, 360.0, self.bearing_bins).alias("_sector"),
-        )
+def cells(grid: Grid, spark: SparkSession) -> DataFrame:
+    """All cells of the grid: every band with every sector."""
+    n = grid.bearing_bins
+    sector = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    number = F.col("_sector")
+    return latitude_bands(grid, spark).select("*", sector.alias("_sector")).withColumns(
+        {
+            "bearing_bin_lower": number_edge(number, 360.0, n),
+            "bearing_bin_upper": number_edge(number + 1, 360.0, n),
+            "bearing_bin_center": (
+                number_edge(number, 360.0, n) + number_edge(number + 1, 360.0, n)
+            )
+            / 2,
+        }
+    )
 
-    def with_bin_edges(self, binned: DataFrame) -> DataFrame:
-        """Band and sector as the upper edges of their bins."""
-        return binned.withColumns(
-            {
-                "latitude_abs_bin_upper": bin_upper(F.col("_band"), 90.0, self.latitude_bins),
-                "bearing_bin_upper": bin_upper(F.col("_sector"), 360.0, self.bearing_bins),
-            }
-        )
 
-    @staticmethod
-    def _sums() -> list[Column]:
-        return [
-            F.count("segment_hash").alias("segment_count"),
-            F.coalesce(F.sum("distance_vertical_drop"), F.lit(0.0)).alias("combined_vertical"),
-        ]
+def binned_segments(
+    grid: Grid, runs: DataFrame, coordinates: str = "run_coordinates_clean"
+) -> DataFrame:
+    """Segments of downhill runs with their band, sector and hemisphere.
 
-    # -- results ----------------------------------------------------------
-
-    def latitude_histogram(
-        self, runs: DataFrame, coordinates: str = "run_coordinates_clean"
-    ) -> DataFrame:
-        """Segments, vertical and bearing statistics of every band in each hemisphere."""
-        vertical = "distance_vertical_drop"
-        sums = circular.direction_sums("bearing", vertical, vertical, "_sign")
-        found = (
-            self.binned_segments(runs, coordinates)
-            .groupBy("hemisphere", "_band")
-            .agg(*self._sums(), *sums)
-            .transform(circular.with_direction_stats)
-        )
-        bands = self.latitude_bands(runs.sparkSession, by_hemisphere=True)
-        return (
-            bands.join(F.broadcast(found), ["hemisphere", "_band"], "left")
-            .drop("_band")
-            .withColumns(_filled())
-            .orderBy("hemisphere", "latitude_abs_bin_lower")
-        )
+    A run counts once here, however many areas it belongs to.
+    """
+    downhill = runs.filter(is_downhill()).select("run_id", coordinates)
+    element = runs.schema[coordinates].dataType.elementType
+    enriched = set(SEGMENT_FIELDS) <= set(element.fieldNames())
+    segments = (explode_coordinates if enriched else explode_segments)(downhill, coordinates)
+    latitude_abs = F.abs("latitude")
+    poleward = flip_bearing(F.col("latitude"), F.col("bearing"))
+    return segments.filter(F.col("segment_hash").isNotNull()).select(
+        "run_id",
+        "latitude",
+        "bearing",
+        "segment_hash",
+        "distance_vertical_drop",
+        F.expr(hemisphere_sign_sql()).alias("_sign"),
+        hemisphere().alias("hemisphere"),
+        latitude_abs.alias("latitude_abs"),
+        poleward.alias("bearing_poleward"),
+        bin_number(latitude_abs, 90.0, grid.latitude_bins).alias("_band"),
+        bin_number(poleward, 360.0, grid.bearing_bins).alias("_sector"),
+    )
 
-    def latitude_bearing_histogram(
-        self, runs: DataFrame, coordinates: str = "run_coordinates_clean"
-    ) -> DataFrame:
-        """Vertical of every cell, its share of the band, and how enriched the direction is.
-
-        The regularised columns add a prior spread evenly over the sectors, so bands with little
-        vertical stay close to even. Shares in an empty band are NULL.
-        """
-        found = self.binned_segments(runs, coordinates).groupBy("_band", "_sector").agg(*self._sums())
-        n = self.bearing_bins
-        band = Window.partitionBy("_band")  # bearing_bins rows each
-        vertical, total = F.col("combined_vertical"), F.col("total_combined_vertical")
-        share, regular = (
-            F.col("combined_vertical_prop"),
-            F.col("combined_vertical_prop_regularized"),
-        )
-        return (
-            self.cells(runs.sparkSession)
-            .join(F.broadcast(found), ["_band", "_sector"], "left")
-            .withColumns(_filled())
-            .withColumn("total_combined_vertical", F.sum("combined_vertical").over(band))
-            .withColumns(
-                {
-                    "combined_vertical_prop": F.try_divide(vertical, total),
-                    "bearing_bin_center_radians": F.radians("bearing_bin_center"),
-                    "combined_vertical_prop_regularized": (vertical + self.prior_vertical / n)
-                    / (total + self.prior_vertical),
-                }
-            )
-            .withColumns(
-                {
-                    "combined_vertical_enrichment": share * n,
-                    "combined_vertical_enrichment_regularized": regular * n,
-                }
-            )
-            .drop("_band", "_sector")
-            .orderBy("latitude_abs_bin_upper", "bearing_bin_upper")
-        )
 
-    def mesh(self, cells: DataFrame, min_vertical: float = 10_000) -> DataFrame:
-        """Matrix of regularised enrichment, a row per band and a column per sector.
+def with_bin_edges(grid: Grid, binned: DataFrame) -> DataFrame:
+    """Band and sector as the upper edges of their bins."""
+    return binned.withColumns(
+        {
+            "latitude_abs_bin_upper": bin_upper(F.col("_band"), 90.0, grid.latitude_bins),
+            "bearing_bin_upper": bin_upper(F.col("_sector"), 360.0, grid.bearing_bins),
+        }
+    )
+
 
-        Bands with too little vertical are NULL. Columns are ``bearing_`` and the lower edge of the
-        sector in degrees. The column list comes from the parameters, so no job looks for it.
-        """
-        shown = F.when(
-            F.col("total_combined_vertical") >= min_vertical,
-            F.col("combined_vertical_enrichment_regularized"),
+def _sums() -> list[Column]:
+    return [
+        F.count("segment_hash").alias("segment_count"),
+        F.coalesce(F.sum("distance_vertical_drop"), F.lit(0.0)).alias("combined_vertical"),
+    ]
+
+
+def latitude_histogram(
+    grid: Grid, runs: DataFrame, coordinates: str = "run_coordinates_clean"
+) -> DataFrame:
+    """Segments, vertical and bearing statistics of every band in each hemisphere."""
+    vertical = "distance_vertical_drop"
+    sums = circular.direction_sums("bearing", vertical, vertical, "_sign")
+    found = (
+        binned_segments(grid, runs, coordinates)
+        .groupBy("hemisphere", "_band")
+        .agg(*_sums(), *sums)
+        .transform(circular.with_direction_stats)
+    )
+    bands = latitude_bands(grid, runs.sparkSession, by_hemisphere=True)
+    return (
+        bands.join(F.broadcast(found), ["hemisphere", "_band"], "left")
+        .drop("_band")
+        .withColumns(_filled())
+        .orderBy("hemisphere", "latitude_abs_bin_lower")
+    )
+
+
+def latitude_bearing_histogram(
+    grid: Grid, runs: DataFrame, coordinates: str = "run_coordinates_clean"
+) -> DataFrame:
+    """Vertical of every cell, its share of the band, and how enriched the direction is.
+
+    The regularised columns add a prior spread evenly over the sectors, so bands with little
+    vertical stay close to even. Shares in an empty band are NULL.
+    """
+    found = binned_segments(grid, runs, coordinates).groupBy("_band", "_sector").agg(*_sums())
+    n = grid.bearing_bins
+    band = Window.partitionBy("_band")  # bearing_bins rows each
+    vertical, total = F.col("combined_vertical"), F.col("total_combined_vertical")
+    share, regular = (
+        F.col("combined_vertical_prop"),
+        F.col("combined_vertical_prop_regularized"),
+    )
+    return (
+        cells(grid, runs.sparkSession)
+        .join(F.broadcast(found), ["_band", "_sector"], "left")
+        .withColumns(_filled())
+        .withColumn("total_combined_vertical", F.sum("combined_vertical").over(band))
+        .withColumns(
+            {
+                "combined_vertical_prop": F.try_divide(vertical, total),
+                "bearing_bin_center_radians": F.radians("bearing_bin_center"),
+                "combined_vertical_prop_regularized": (vertical + grid.prior_vertical / n)
+                / (total + grid.prior_vertical),
+            }
         )
-        n = self.bearing_bins
-        lower_edges = [i * 360.0 / n for i in range(n)]
-        matrix = (
-            cells.select("latitude_abs_bin_lower", "bearing_bin_lower", shown.alias("_value"))
-            .groupBy("latitude_abs_bin_lower")
-            .pivot("bearing_bin_lower", lower_edges)
-            .agg(F.max("_value"))
+        .withColumns(
+            {
+                "combined_vertical_enrichment": share * n,
+                "combined_vertical_enrichment_regularized": regular * n,
+            }
         )
-        return matrix.toDF(
-            "latitude_abs_bin_lower", *[f"bearing_{edge:g}" for edge in lower_edges]
-        ).orderBy("latitude_abs_bin_lower")
+        .drop("_band", "_sector")
+        .orderBy("latitude_abs_bin_upper", "bearing_bin_upper")
+    )
+
+
+def mesh(grid: Grid, cells: DataFrame, min_vertical: float = 10_000) -> DataFrame:
+    """Matrix of regularised enrichment, a row per band and a column per sector.
+
+    Bands with too little vertical are NULL. Columns are ``bearing_`` and the lower edge of the
+    sector in degrees. The column list comes from the parameters, so no job looks for it.
+    """
+    shown = F.when(
+        F.col("total_combined_vertical") >= min_vertical,
+        F.col("combined_vertical_enrichment_regularized"),
+    )
+    n = grid.bearing_bins
+    lower_edges = [i * 360.0 / n for i in range(n)]
+    matrix = (
+        cells.select("latitude_abs_bin_lower", "bearing_bin_lower", shown.alias("_value"))
+        .groupBy("latitude_abs_bin_lower")
+        .pivot("bearing_bin_lower", lower_edges)
+        .agg(F.max("_value"))
+    )
+    return matrix.toDF(
+        "latitude_abs_bin_lower", *[f"bearing_{edge:g}" for edge in lower_edges]
+    ).orderBy("latitude_abs_bin_lower")
 
 
 def clip_values(df: DataFrame, keep: tuple[str, ...], low: float, high: float) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from fallline.functions import circular, coords, filters, geo, text
 from fallline.operators import areas as A
 from fallline.operators import display as D
+from fallline.operators import grids as H
 from fallline.operators import inequality as I
 from fallline.operators import network as N
 from fallline.operators import quality as Q
 from fallline.operators import rollups as R
 from fallline.operators import segments as S
 from fallline.operators import tables as B
-from fallline.operators.grids import LatitudeBearingGrid, clip_values
 from fallline.plans import tracks
 from fallline.session import materialize, new_table_path
 from fallline.sources import features as G
@@ -27,7 +27,7 @@ from fallline.sources import tables as P
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
-GRID = LatitudeBearingGrid()
+GRID = H.Grid()
 #: The country whose regions are rolled up, and the line of ``side_of_line``.
 COUNTRY = "NATION_3"
 LINE = ((-40.0, -12.5), (95.0, 31.0))
@@ -646,7 +646,7 @@ def status_label(spark, sf):
 
 @query
 def lat_bin(spark, sf):
-    binned = GRID.with_bin_edges(GRID.binned_segments(runs(spark, sf)))
+    binned = H.with_bin_edges(GRID, H.binned_segments(GRID, runs(spark, sf)))
     return binned.groupBy("latitude_abs_bin_upper").agg(F.count("*").alias("segments"))
 
 
@@ -654,7 +654,7 @@ def lat_bin(spark, sf):
 def grid_bins(spark, sf):
     """Every cell, also the empty ones, with its number of segments."""
     return shown(
-        GRID.latitude_bearing_histogram(runs(spark, sf)).select(
+        H.latitude_bearing_histogram(GRID, runs(spark, sf)).select(
             "latitude_abs_bin_lower",
             "latitude_abs_bin_upper",
             "latitude_abs_bin_center",
@@ -668,18 +668,18 @@ def grid_bins(spark, sf):
 
 @query
 def lat_histogram(spark, sf):
-    return shown(GRID.latitude_histogram(runs(spark, sf)))
+    return shown(H.latitude_histogram(GRID, runs(spark, sf)))
 
 
 @query
 def lat_bearing_grid(spark, sf):
-    return shown(GRID.latitude_bearing_histogram(runs(spark, sf)))
+    return shown(H.latitude_bearing_histogram(GRID, runs(spark, sf)))
 
 
 @query
 def mesh_grid(spark, sf):
-    matrix = GRID.mesh(GRID.latitude_bearing_histogram(runs(spark, sf)))
-    return shown(clip_values(matrix, ("latitude_abs_bin_lower",), 0.0, 2.5))
+    matrix = H.mesh(GRID, H.latitude_bearing_histogram(GRID, runs(spark, sf)))
+    return shown(H.clip_values(matrix, ("latitude_abs_bin_lower",), 0.0, 2.5))
 
 
 # -- inequality -------------------------------------------------------------

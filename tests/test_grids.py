@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fallline.operators.grids import LatitudeBearingGrid, bin_number, bin_upper, clip_values
+from fallline.operators import grids as H
+from fallline.operators.grids import Grid, bin_number, bin_upper, clip_values
 
 
 @pytest.mark.parametrize(
@@ -32,7 +33,7 @@ def test_histogram_has_all_bands_and_counts_a_shared_run_once(spark, make_runs,
             run_row("x", [(0.0, 4.0, 100.0), (0.0, 4.1, 60.0)], uses=["nordic"]),
         ]
     )
-    rows = LatitudeBearingGrid().latitude_histogram(runs).collect()
+    rows = H.latitude_histogram(Grid(), runs).collect()
     assert len(rows) == 60
     found = {(r.hemisphere, r.latitude_abs_bin_lower): r for r in rows if r.segment_count}
     assert set(found) == {("north", 3.0), ("south", 3.0)}
@@ -43,8 +44,9 @@ def test_histogram_has_all_bands_and_counts_a_shared_run_once(spark, make_runs,
 
 
 def test_grid_shares_and_prior(spark, make_runs, run_row):
-    grid = LatitudeBearingGrid(latitude_bins=2, bearing_bins=4, prior_vertical=100)
-    cells = grid.latitude_bearing_histogram(
+    grid = Grid(latitude_bins=2, bearing_bins=4, prior_vertical=100)
+    cells = H.latitude_bearing_histogram(
+        grid,
         make_runs([run_row("n", [(0.0, 4.0, 100.0), (0.0, 4.1, 60.0)])])
     )
     rows = {(r.latitude_abs_bin_lower, r.bearing_bin_lower): r for r in cells.collect()}
@@ -55,7 +57,7 @@ def test_grid_shares_and_prior(spark, make_runs, run_row):
     assert miss.combined_vertical_prop_regularized == pytest.approx(25 / 140)
     assert empty.combined_vertical_prop is None
     assert empty.combined_vertical_enrichment_regularized == pytest.approx(1)
-    mesh = grid.mesh(cells, min_vertical=10).collect()
+    mesh = H.mesh(grid, cells, min_vertical=10).collect()
     assert [r.latitude_abs_bin_lower for r in mesh] == [0, 45]
     assert mesh[0].bearing_0 == pytest.approx(4 * 65 / 140) and mesh[1].bearing_0 is None
 
