@@ -29,7 +29,10 @@ SPELLINGS = (
     ("sub-license", "sublicense"), ("sub license", "sublicense"), ("utilis", "utiliz"), ("whilst", "while"),
     ("wilful", "willful"), ("copyright owner", "copyright holder"), ("https://", "http://"),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t#*/;%-]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: A copyright line; a wrapped line of licence text may begin with the bare word.
+COPYRIGHT_LINE = (
+    r"(?m)^[ \t#*/;%-]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|\(c\)[ \t]*[0-9]{4}|©|all rights reserved)[^\n]*$"
+)
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED '
@@ -66,30 +69,50 @@ _BSD_END = (
     "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE "
     "USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
 )
-#: Public licence texts by their SPDX identifiers.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+    "to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    "the Software.\n" + _AS_IS
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_END
+)
+_ZERO = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted.\n" + _ISC_END
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+    "liable for any damages arising from the use of this software.\n"
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+    "alter it and redistribute it freely, subject to the following restrictions:\n"
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original "
+    "software. If you use this software in a product, an acknowledgment in the product documentation would be "
+    "appreciated but is not required.\n"
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original "
+    "software.\n"
+    "3. This notice may not be removed or altered from any source distribution."
+)
+#: Public licence texts by their SPDX identifiers, with and without their titles.
 LICENSES = (
-    (
-        "MIT",
-        "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        'associated documentation files (the "Software"), to deal in the Software without restriction, including without '
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
-        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n"
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
-        "of the Software.\n" + _AS_IS,
-    ),
-    (
-        "ISC",
-        "ISC License\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
-        "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_END,
-    ),
-    (
-        "0BSD",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
-        "granted.\n" + _ISC_END,
-    ),
+    ("MIT", _MIT),
+    ("MIT", "MIT License\n" + _MIT),
+    ("MIT", "The MIT License (MIT)\n" + _MIT),
+    ("ISC", _ISC),
+    ("ISC", "ISC License\n" + _ISC),
+    ("0BSD", _ZERO),
+    ("0BSD", "BSD Zero Clause License\n" + _ZERO),
+    ("Zlib", _ZLIB),
+    ("Zlib", "zlib License\n" + _ZLIB),
     ("BSD-2-Clause", _BSD_START + _BSD_END),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD_START + _BSD_END),
     ("BSD-3-Clause", _BSD_START + _BSD_NAMES + _BSD_END),
-)
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD_START + _BSD_NAMES + _BSD_END),
+)
 #: One-line notices.
 NOTICES = (
     ("MIT", "Released under the MIT License."),

@@ -120,7 +120,7 @@ def test_whole_licences_by_any_layout(make_docs, layout):
         if layout == "shouted":
             text = "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + text.upper()
         if layout == "wrapped":
-            text = "# " + text.replace(" ", "\n  ", 3).replace("license", "licence").replace('"', "''")
+            text = "# " + text.replace(" ", "\n  ", 3).replace(" copyright", "\ncopyright").replace("license", "licence").replace('"', "''")
         rows.append((k, text))
     found = {r.doc_id: r.license for r in licenses.scan(make_docs(rows)).collect()}
     assert found == {k: name for k, (name, _) in enumerate(licenses.LICENSES)}
