@@ -35,8 +35,8 @@ BANDS, ROWS = 6, 2
 FREQUENT = 64
 #: At most so many frequent shingles go to the tasks; beyond, FREQUENT is doubled.
 MOST_FREQUENT = 250_000
-#: Bits of the filter that spares shingles and texts a shuffle; when full, it lets all pass.
-FILTER_BITS = 1 << 26
+#: Bits for a value, and most bits, of the filters that spare rows a shuffle; a full one lets all pass.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
 _MASKS = T.seeds(BANDS * ROWS, 9000)[:, None]
 
 
@@ -92,23 +92,25 @@ def _sketches(docs: DataFrame, words: int, threshold: int) -> DataFrame:
     return T.map_batches(docs.select("doc_id", "digest", "text"), work, SKETCH)
 
 
-def _filter_of(values: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of FILTER_BITS hashed values: its size is fixed, whatever the table's."""
-    place = f"pmod({column}, {FILTER_BITS})"
+def filter_of(values: DataFrame, column: str, bits: int | None = None) -> np.ndarray:
+    """A bitmap of hashed values, of at most MOST_FILTER_BITS bits however many values there are."""
+    if bits is None:
+        wanted = min(MOST_FILTER_BITS, max(1 << 16, FILTER_BITS * values.count()))
+        bits = 1 << (wanted - 1).bit_length()
     rows = (
-        values.selectExpr(f"{place} AS p")
+        values.selectExpr(f"pmod({column}, {bits}) AS p")
         .groupBy(F.expr("p div 32768").alias("bucket"))
         .agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
         .collect()
     )
-    out = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
+    out = np.zeros(bits // 8, dtype=np.uint8)
     for row in rows:
         out[row.bucket * 4096 : (row.bucket + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.astype(np.uint64) & np.uint64(FILTER_BITS - 1)
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values.astype(np.uint64) & np.uint64(8 * len(bits) - 1)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -156,7 +158,7 @@ def _matrix_rows(sets: DataFrame, threshold: int, frequent: np.ndarray, wanted:
                 first = first[first >= prefix_length(n, threshold)]
             found = tokens[first]
             if bits is not None:
-                found = found[_passes(bits, found)]
+                found = found[passes(bits, found)]
             if len(found):
                 out_tokens.append(found)
                 out_rows.append(np.full(len(found), row))
@@ -172,22 +174,30 @@ def _matrix_rows(sets: DataFrame, threshold: int, frequent: np.ndarray, wanted:
     return T.map_batches(picked, work, "token bigint, set_id bigint, n bigint")
 
 
-def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, text) of the ``wanted`` sets (set_id)."""
-    keys = wanted.join(sets.select("set_id", "doc_id", "digest"), "set_id")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter_of(keys, "digest"))
+def _among(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` that may have a partner in ``wanted``: a join then shuffles little else."""
+    bits = df.sparkSession.sparkContext.broadcast(filter_of(wanted, key))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return batch.filter(pa.array(_passes(bits.value, batch.column("digest").to_numpy())))
+        return batch.filter(pa.array(passes(bits.value, batch.column(column).to_numpy())))
+
+    return T.map_batches(df, work, df.schema)
 
-    near = T.map_batches(docs, work, docs.schema).alias("d")
-    keys = keys.alias("k")
-    same = F.expr("d.digest = k.digest AND d.doc_id <=> k.doc_id")
-    return near.join(keys, same).select("set_id", "text").dropDuplicates(["set_id"])
 
+def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(set_id, text) of the ``wanted`` sets (set_id)."""
+    keys = _among(sets.select("set_id", "digest"), "set_id", wanted, "set_id")
+    keys = staged(keys.join(wanted, "set_id", "left_semi"), "keys")
+    near = _among(docs.select("digest", "text"), "digest", keys, "digest").dropDuplicates(["digest"])
+    return near.join(keys, "digest").select("set_id", "text")
 
-def _linked(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+
+def _linked(
+    pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, threshold: int
+) -> DataFrame:
     """The pairs (a, b) of sets that link, by their whole texts."""
+    wanted = pairs.selectExpr("explode(array(a, b)) AS set_id").distinct()
+    texts = staged(_texts(docs, sets, wanted), "texts")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, dtype=bool)
@@ -285,9 +295,9 @@ def similar(
     met = (
         _matrix_rows(sketches, threshold, none, None)
         .groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))
-        .filter("x < y")
+        .filter("x < y").select("token")
     )
-    shared = _filter_of(met, "token")
+    shared = filter_of(staged(met, "shared"), "token")
     rows = staged(_matrix_rows(sketches, threshold, none, shared).distinct(), "matrix")
     counts = rows.groupBy("token").count()
     while counts.filter(f"count > {frequent}").limit(MOST_FREQUENT + 1).count() > MOST_FREQUENT:
@@ -302,21 +312,22 @@ def similar(
         moved = moved.filter("token IS NOT NULL").select("token").union(
             _matrix_rows(whole, threshold, often, None).select("token")
         )
-        wanted = shared | _filter_of(moved, "token")
+        wanted = shared | filter_of(moved, "token", 8 * len(shared))
         known = _matrix_rows(sketches, threshold, often, wanted).filter("token IS NOT NULL")
         rows = staged(known.union(_matrix_rows(whole, threshold, often, wanted)).distinct(), "matrix")
 
     # groups of similar sets
-    texts = staged(_texts(docs, sets, rows.select("set_id").distinct(), words), "texts")
-    pairs = _leaders(sketches, threshold)
+    pairs = staged(_leaders(sketches, threshold), "leaders")
     facts = sets.select("set_id", "n", "bits")
+    wanted = pairs.selectExpr("explode(array(a, b)) AS set_id")
+    known = _among(facts, "set_id", wanted, "set_id")
     near = (
-        pairs.join(facts.selectExpr("set_id AS a", "n AS q_n", "bits AS q_bits"), "a")
-        .join(facts.selectExpr("set_id AS b", "bits AS g_bits"), "b")
+        pairs.join(known.selectExpr("set_id AS a", "n AS q_n", "bits AS q_bits"), "a")
+        .join(known.selectExpr("set_id AS b", "bits AS g_bits"), "b")
         .select("a", "b", "q_n", "q_bits", "g_bits")
     )
-    near = _allowed(near, threshold, ["a", "b"], "a bigint, b bigint")
-    links = staged(_linked(near, texts, words, threshold), "near")
+    near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
+    links = staged(_linked(near, docs, sets, words, threshold), "links")
     groups = components(links).selectExpr("node AS set_id", "component AS group_id")
     size = groups.groupBy("group_id").agg(F.count("*").alias("members"))
     groups = staged(groups.join(size, "group_id").select("set_id", "group_id", "members"), "groups")
@@ -335,26 +346,33 @@ def similar(
         ))
         .selectExpr("q.set_id AS set_id", "m.group_id AS group_id").distinct()
     )
-    own = sets.select("set_id", "n", "bits").join(groups, "set_id", "left_anti")
+    asks = staged(asks, "asks")
+    askers = _among(facts, "set_id", asks, "set_id")
+    own = _among(facts, "set_id", asks, "group_id").join(groups, "set_id", "left_anti")
     unions = own.selectExpr("set_id AS group_id", "bits AS g_bits").union(
-        _unions(sets.select("set_id", "bits").join(groups, "set_id"))
+        _unions(_among(facts, "set_id", groups, "set_id").join(groups, "set_id"))
     )
-    asks = (
-        asks.join(facts.selectExpr("set_id", "n AS q_n", "bits AS q_bits"), "set_id")
+    met = (
+        asks.join(askers.selectExpr("set_id", "n AS q_n", "bits AS q_bits"), "set_id")
         .join(unions, "group_id")
         .select("set_id", "group_id", "q_n", "q_bits", "g_bits")
     )
-    opened = _allowed(asks, threshold, ["set_id", "group_id", "q_n"], "set_id bigint, group_id bigint, q_n bigint")
-    members = _grown(sets.select("set_id", "n", "bits"), groups)
+    opened = staged(_allowed(met, threshold, ["set_id", "group_id"], "set_id bigint, group_id bigint"), "opened")
+    members = groups.select("set_id", "group_id").join(opened.select("group_id"), "group_id", "left_semi")
+    members = members.select("set_id", "group_id").union(
+        opened.selectExpr("group_id AS set_id", "group_id").distinct().join(groups, "set_id", "left_anti")
+    )
+    pairs = opened.join(members.withColumnRenamed("set_id", "other"), "group_id").selectExpr("set_id AS a", "other AS b")
+    pairs = staged(pairs, "pairs")
+    known = _among(facts, "set_id", pairs.selectExpr("explode(array(a, b)) AS set_id"), "set_id")
     pairs = (
-        opened.join(members.selectExpr("set_id AS other", "group_id", "n", "bits AS q_bits"), "group_id")
+        pairs.join(known.selectExpr("set_id AS a", "n", "bits AS g_bits"), "a")
+        .join(known.selectExpr("set_id AS b", "n AS q_n", "bits AS q_bits"), "b")
         .filter(_sizes_fit("q_n", "n", threshold))
-        .selectExpr("set_id", "other", "n AS q_n", "q_bits")
-        .join(facts.selectExpr("set_id", "bits AS g_bits"), "set_id")
-        .selectExpr("set_id AS a", "other AS b", "q_n", "q_bits", "g_bits")
+        .select("a", "b", "q_n", "q_bits", "g_bits")
     )
-    pairs = _allowed(pairs, threshold, ["a", "b"], "a bigint, b bigint")
-    links = links.union(_linked(pairs, texts, words, threshold))
+    pairs = staged(_allowed(pairs, threshold, ["a", "b"], "a bigint, b bigint"), "pairs")
+    links = links.union(_linked(pairs, docs, sets, words, threshold))
 
     # components of sets, and of documents
     found = components(links).selectExpr("node AS set_id", "component")
@@ -376,7 +394,7 @@ def _whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, words: int)
         sizes = pa.array([len(x) for x in found], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), sizes, _lists(found)], ["set_id", "n", "tokens"])
 
-    texts = _texts(docs, sets, wanted, words)
+    texts = _texts(docs, sets, wanted)
     return T.map_batches(texts, work, "set_id bigint, n bigint, tokens array<bigint>")
 
 
@@ -390,10 +408,12 @@ def _unions(members: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without those that reach a smaller id; texts without words stay.
+    """The rows of ``docs``, with all columns, but those that reach a smaller id.
 
-    Of rows that repeat an id only the whole group's least id stays, as often as it occurs.
+    Texts without words and rows without an id stay. An id that repeats goes as a whole if one of its
+    rows reaches a smaller id.
     """
     found = similar(docs, doc_id, text, **options).filter("n_shingles > 0 AND doc_id > component_id")
-    gone = found.selectExpr("doc_id AS _gone").distinct()
-    return docs.join(gone, docs[doc_id] == F.col("_gone"), "left_anti")
+    name = T.fresh(docs, "gone")
+    gone = found.select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[doc_id] == gone[name], "left_anti")
