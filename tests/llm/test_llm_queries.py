@@ -209,6 +209,33 @@ def test_repeated_paragraphs_of_a_whole_table(spark):
     assert found <= near and len(found) >= 0.98 * len(near)
 
 
+def test_paragraph_clusters_are_those_of_all_pairs(make_docs):
+    """A family of copies that are just below 0.8 to most others: every link and cluster is found."""
+    rng = np.random.default_rng(11)
+    base = [f"b{k}" for k in range(60)]
+    lines = [" ".join(base)]
+    for _ in range(150):
+        near = list(base)
+        for at in rng.choice(60, 3, replace=False):
+            near[at] = f"c{rng.integers(10**6)}"
+        lines.append(" ".join(near))
+        twin = list(near)
+        twin[int(rng.integers(60))] = "twin"
+        lines.append(" ".join(twin))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in map(str.split, lines)]
+    root = list(range(len(sets)))
+    for k, own in enumerate(sets):
+        for j in range(k):
+            both = len(own & sets[j])
+            if 100 * both >= 80 * (len(own) + len(sets[j]) - both) and root[j] != root[k]:
+                gone, kept = max(root[j], root[k]), min(root[j], root[k])
+                root = [kept if x == gone else x for x in root]
+    sizes = Counter(root)
+    want = {k: (first, sizes[first]) for k, first in enumerate(root) if sizes[first] > 1}
+    found = paragraphs.repeated(make_docs(list(enumerate(lines)))).collect()
+    assert {r.doc_id: (r.first_doc, r.copies) for r in found} == want
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
