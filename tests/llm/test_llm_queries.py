@@ -236,6 +236,32 @@ def test_paragraph_clusters_are_those_of_all_pairs(make_docs):
     assert {r.doc_id: (r.first_doc, r.copies) for r in found} == want
 
 
+def test_passages_are_found_however_they_are_wrapped(make_docs):
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
+    wrapped = lambda x, n: "\n".join(" ".join(x.split()[k : k + n]) for k in range(0, len(x.split()), n))
+    passage, short, tiny = text(60), text(7), text(3)
+    rows = [
+        (1, f"{text(30)}\n{passage}\n{text(40)}"), (2, f"é {text(30)}\n{wrapped(passage, 12)}\n{text(40)}"),
+        (3, wrapped(passage, 4)), (4, f"{text(40)}\n{short}\n{text(40)}"), (5, f"{short}\n\n{text(30)}"),
+        (6, f"{tiny}\n{text(24)}"), (7, f"{text(9)}\n\n{text(9)}"),
+    ]
+    docs = make_docs(rows)
+    found = paragraphs.repeated(docs).collect()
+    assert {(r.doc_id, r.first_line, r.n_lines): (r.first_doc, r.copies, r.removed) for r in found} == {
+        (1, 1, 1): (1, 3, False), (2, 1, 5): (1, 3, True), (3, 0, 15): (1, 3, True),
+        (4, 1, 1): (4, 2, False), (5, 0, 1): (4, 2, True),
+    }
+    texts = dict(rows)
+    for r in found:
+        held = texts[r.doc_id].split("\n")[r.first_line : r.first_line + r.n_lines]
+        assert texts[r.doc_id][r.start : r.end] == "\n".join(held)
+    after = {r.doc_id: r.text for r in paragraphs.without_repeats(docs).collect()}
+    lines = texts[2].split("\n")
+    assert after[2] == f"{lines[0]}\n{lines[-1]}" and after[3] == "" and after[5] == texts[5].split("\n", 1)[1]
+    assert all(after[k] == texts[k] for k in (1, 4, 6, 7))
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
