@@ -417,3 +417,28 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **o
     name = T.fresh(docs, "gone")
     gone = found.select(F.col("doc_id").alias(name)).distinct()
     return docs.join(gone, docs[doc_id] == gone[name], "left_anti")
+
+
+def with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a number for each row, and the name of that column."""
+    key = T.fresh(docs, "key")
+    return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def one_row_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, but of each group of linked rows only one.
+
+    The row with the least id stays, a null one last, and of rows that share it any one. What becomes of
+    a row hangs on its own text, whatever other rows have its id. Texts without words stay.
+    """
+    keyed, key = with_keys(docs)
+    ids = keyed.select(F.col(key).alias("row"), T.ids(doc_id, "id"))
+    found = similar(keyed, key, text, **options).filter("n_shingles > 0").selectExpr("doc_id AS row", "component_id")
+    rows = staged(found.join(ids, "row"), "rows")
+    first = rows.groupBy("component_id").agg(
+        F.count("*").alias("times"), F.min(F.struct(F.isnull("id"), "id", "row")).alias("first")
+    )
+    gone = rows.join(first.filter("times > 1"), "component_id").filter("row <> first.row")
+    name = T.fresh(keyed, "gone")
+    gone = gone.select(F.col("row").alias(name))
+    return keyed.join(gone, keyed[key] == gone[name], "left_anti").drop(key)

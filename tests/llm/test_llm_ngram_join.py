@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+import corpus_pipeline
 from llm_fixtures import awkward, make_docs  # noqa: F401
 
 from fallline.llm import graph, ngram_join
@@ -77,6 +78,18 @@ def test_awkward_rows(make_docs, awkward):
     )
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, make_docs, awkward):
+    texts = [" ".join(f"{x}{k}" for k in range(40)) for x in "abc"]
+    rows = [(11, texts[0]), (12, texts[0]), (12, texts[1]), (None, texts[2]), (None, texts[2])]
+    docs = make_docs([*awkward, *rows])
+    kept = corpus_pipeline.near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    kept = kept.collect()
+    assert Counter(r.doc_id for r in kept) == Counter([1, 3, None, None, 4, 5, 6, 7, 8, 11, 12])
+    assert [r.text for r in kept if r.doc_id == 12] == [texts[1]]
+    assert sorted(str(r.text) for r in kept if r.doc_id is None) == ["None", texts[2]]
+
+
 def test_empty_table(make_docs):
     assert ngram_join.similar(make_docs([])).count() == 0
 
