@@ -425,6 +425,14 @@ def with_keys(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
 
+def with_clusters(docs: DataFrame, cluster: str, text: str = "text", **options) -> DataFrame:
+    """``docs`` with a bigint column ``cluster``: alike for linked rows, null for texts without words."""
+    keyed, key = with_keys(docs)
+    found = similar(keyed, key, text, **options).filter("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias(T.fresh(keyed, "row")), F.col("component_id").alias(cluster))
+    return keyed.join(found, keyed[key] == found[found.columns[0]], "left").drop(key, found.columns[0])
+
+
 def one_row_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, with all columns, but of each group of linked rows only one.
 

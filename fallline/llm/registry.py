@@ -1,6 +1,7 @@
 """The operators of this folder as queries over whole tables, with production parameters."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import (
     decontaminate, fertility, html_text, licenses, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
@@ -32,7 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    docs = ngram_join.with_clusters(_table(spark, sf_dir, "documents"), "cluster")
+    # texts without shingles conflict where they are equal
+    equal = F.when(F.col("text") != "", F.xxhash64("text"))
+    return packing.pack(docs, cluster=F.coalesce("cluster", equal))
 
 
 def op7_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

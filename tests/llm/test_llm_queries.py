@@ -160,6 +160,17 @@ def test_packing_of_whole_tables(spark, make_docs, awkward):
     assert packing.pack(make_docs([])).count() == 0
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words), " ".join(words).upper(), "\n".join(words), " ".join([*words[:30], "x", *words[31:]])]
+    rows = [(k, x, f"s{k}") for k, x in enumerate(texts)] + [(None, texts[0], "t"), (9, "other text", "u")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    bins = defaultdict(list)
+    for r in registry.REGISTRY["op6_packing"](spark, str(tmp_path)).collect():
+        bins[r.bin_id].append(r.doc_id)
+    assert sorted(len([x for x in held if x != 9]) for held in bins.values()) == [1] * 5
+
+
 def test_repeated_paragraphs(spark, make_docs, awkward):
     rng = np.random.default_rng(4)
     text = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 5000, n))
