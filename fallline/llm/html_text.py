@@ -35,25 +35,28 @@ _TOKEN = re.compile(
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN = frozenset(("article", "main"))
-_BOILER = frozenset("head nav footer aside form button menu dialog label fieldset figcaption title".split())
+_BOILER = frozenset("head nav footer aside form button menu dialog label fieldset title".split())
 _NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar side widget widgets related "
     "recommended share sharing social footer header masthead banner notice notices cookie cookies consent gdpr "
     "newsletter subscribe signup login popup modal alert ad ads advert adverts advertisement sponsor sponsored "
     "promo promotion comment comments reply replies respond disqus copyright skip hidden".split()
 )
+#: Of those, names that an article's own head has as well.
+_HEADS = frozenset("header masthead banner".split())
 _CLASS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _CLOSES_P = frozenset("p div ul ol table h1 h2 h3 h4 h5 h6 section article main nav footer header aside form blockquote pre hr".split())
 
 
-def _boiler(tag: str, attr: str) -> bool:
-    if tag in _BOILER:
+def _boiler(tag: str, attr: str, in_main: bool) -> bool:
+    if tag in _BOILER or tag == "header" and not in_main:
         return True
-    if not attr or tag in ("body", "html"):
+    if not attr or tag in ("body", "html") or tag in _MAIN:
         return False
+    known = _NAMES - _HEADS if in_main else _NAMES
     names = (x for m in _CLASS.findall(attr) for x in re.split(r"[^a-z0-9]+", "".join(m).lower()))
-    return any(x in _NAMES for x in names) or bool(_HIDDEN.search(attr))
+    return any(x in known for x in names) or bool(_HIDDEN.search(attr))
 
 
 def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
@@ -61,23 +64,35 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
 
     ``blind`` reads a marked element as a plain one, though ``inside`` still tells it.
     """
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, boiler, main
-    boiler = main = link = 0
+    out: list[tuple] = []  # of words: kind, text, inside, boiler elements around, zone without them, whether glued
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, boiler element, main, zones before
+    around: list[int] = []  # open boiler elements
+    zones: tuple[int, ...] = ()  # those since the last article or main
+    closed: list[bool] = []  # of each boiler element
+    held: list[int] = []
+    total = main = link = 0
     block = "none"
     marked = not blind and bool(re.search(r"<(?:article|main)\b", page, re.I))
 
-    def pop() -> None:
-        nonlocal boiler, main, link
-        tag, b, m = stack.pop()
-        boiler, main, link = boiler - b, main - m, link - (tag == "a")
+    def pop(own: bool) -> None:
+        nonlocal main, link, zones
+        tag, b, m, zones = stack.pop()
+        if b >= 0:
+            around.remove(b)
+            closed[b] = own
+        main, link = main - m, link - (tag == "a")
 
     def text(piece: str) -> None:
-        zone = "boiler" if boiler else "main" if main and marked else "outside" if marked else "plain"
-        kind = f"word:{zone}:{'a' if link else block}"
+        nonlocal total
+        zone = "main" if main and marked else "outside" if marked else "plain"
         glued = not piece[:1].isspace()
-        for k, word in enumerate(html.unescape(piece).split()):
-            out.append((kind if k or not glued else "+" + kind, word, main > 0))
+        words = html.unescape(piece).split()
+        for k, word in enumerate(words):
+            out.append(("a" if link else block, word, main > 0, zones, zone, glued and not k))
+        if not link:
+            total += len(words)
+            for b in around:
+                held[b] += len(words)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -93,23 +108,36 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
         if m["end"]:
             if any(x[0] == tag for x in stack):
                 while stack[-1][0] != tag:
-                    pop()
-                pop()
+                    pop(False)
+                pop(True)
         else:
             if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-                pop()
+                pop(True)
             if tag not in _VOID and not m["attr"].endswith("/"):
-                b, is_main = _boiler(tag, m["attr"]), tag in _MAIN
-                if tag == "header" and not main:
-                    b = True
-                stack.append((tag, b, is_main))
-                boiler, main, link = boiler + b, main + is_main, link + (tag == "a")
+                b, is_main = -1, tag in _MAIN
+                before = zones
+                if is_main and not blind:
+                    zones = ()
+                if _boiler(tag, m["attr"], main > 0):
+                    b = len(closed)
+                    closed.append(False)
+                    held.append(0)
+                    around.append(b)
+                    zones += (b,)
+                stack.append((tag, b, is_main, before))
+                main, link = main + is_main, link + (tag == "a")
         if tag not in _INLINE:
             block = next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "none")
             kind = "main" if tag in _MAIN and not blind else tag
             out.append((f"tag:{kind}", "", main > 0))
     if at < len(page):
         text(page[at:])
+    real = {b for b, own in enumerate(closed) if own and 2 * held[b] < total}
+    for k, token in enumerate(out):
+        if len(token) > 3:
+            place, word, inside, about, zone, glued = token
+            zone = "boiler" if not real.isdisjoint(about) else zone
+            out[k] = (f"{'+' * glued}word:{zone}:{place}", word, inside)
     return out
 
 

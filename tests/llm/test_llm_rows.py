@@ -208,3 +208,24 @@ def test_best_run_matches_all_runs():
         inside = [(i, j) for i in range(len(value)) for j in range(i + 1, len(value) + 1) if abs(sum(value[i:j]) - best) < 1e-9]
         fits = [[w for k, w, _ in found[i:j] if w and ":boiler:" not in k] for i, j in inside] or [[]]
         assert words in fits
+
+
+def test_wrappers_do_not_take_the_article_along():
+    body = " ".join(f"<p>{' '.join(f'w{i}x{k}' for k in range(30))}.</p>" for i in range(4))
+    want = " ".join(html_text.extract(f"<body>{body}</body>", {}).split())
+    assert want.count("w") == 120
+    menu = '<ul class="menu"><li><a href="/">Home</a></li></ul>'
+    for page in (
+        f'<body><div class="has-sidebar">{menu}{body}</div></body>',
+        f'<body><main class="no-sidebar">{menu}{body}</main></body>',
+        f'<body><form id="aspnetForm">{menu}{body}</form></body>',
+        f"<body><nav><a href='/'>Home</a>{body}</body>",
+        f"<head><title>Site</title><body>{menu}{body}</body>",
+        f'<body><div class="sidebar"><article>{body}</article></div></body>',
+        f'<body>{body}<div class="ad">Buy this now</div></body>',
+    ):
+        assert html_text.extract(page, {}) == want
+    inner = '<div class="post-header"><h1>Own title here</h1></div>'
+    figure = "<figure><figcaption>What it shows</figcaption></figure>"
+    got = html_text.extract(f"<body><article>{inner}{body}{figure}</article></body>", {})
+    assert got == f"Own title here {want} What it shows"
