@@ -2,7 +2,8 @@
 
 The canonical form has lower case, no copyright lines, one spelling of words that licences spell in
 several ways, and single spaces for punctuation and white space; its sha-256 is the digest. A text that
-is a licence, however it is laid out or whoever holds its copyright, has that licence's digest. Licence
+is a licence, however it is laid out or whoever holds its copyright, has that licence's digest. Short
+licences are kept as texts, long ones as digests in :mod:`license_digests`. Licence
 notices that stand as a line of their own in a longer text are found in the same way, by the digest
 of the line. Only lines with ``licen`` in them are looked at, which every known notice has.
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .license_digests import DIGESTS
 
 #: Spellings that are taken as one.
 SPELLINGS = (
@@ -152,6 +154,7 @@ def scan(
     text: str = "text",
     licenses: tuple[tuple[str, str], ...] = LICENSES,
     notices: tuple[tuple[str, str], ...] = NOTICES,
+    digests: tuple[tuple[str, str], ...] = DIGESTS,
 ) -> DataFrame:
     """Digest of each whole text, the licence that it is, and the licences of its notice lines."""
     lines = F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("licen"))
@@ -163,7 +166,11 @@ def scan(
         marks = F.array().cast("array<string>")
     docs = docs.select(T.ids(doc_id), T.ids(text, "text"))
     docs = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(marks, F.array().cast("array<string>")).alias("marks"))
-    joined = docs.join(F.broadcast(_known(docs, licenses)), "digest", "left")
+    known = _known(docs, licenses)
+    if digests:
+        bundled = docs.sparkSession.createDataFrame(list(digests), "license string, digest string")
+        known = known.union(bundled).dropDuplicates(["digest"])
+    joined = docs.join(F.broadcast(known), "digest", "left")
     return joined.select(
         "doc_id",
         "digest",

@@ -1,5 +1,6 @@
 """The operators that work row by row: rules, personal data, licences, URLs, pages."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -229,3 +230,22 @@ def test_wrappers_do_not_take_the_article_along():
     figure = "<figure><figcaption>What it shows</figcaption></figure>"
     got = html_text.extract(f"<body><article>{inner}{body}{figure}</article></body>", {})
     assert got == f"Own title here {want} What it shows"
+
+
+def test_long_licences_are_known(make_docs):
+    folder = "/usr/share/common-licenses"
+    if not os.path.isdir(folder):
+        pytest.skip("no licence texts on this machine")
+    want = {
+        "Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+        "MPL-2.0": "MPL-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause",
+    }
+    rows = []
+    for k, name in enumerate(want):
+        with open(f"{folder}/{name}", encoding="utf-8") as file:
+            text = file.read()
+        rows += [(k, text), (100 + k, " ".join(text.upper().split()) if "opyright" not in text else text), (200 + k, text[:-99])]
+    found = {r.doc_id: r.license for r in licenses.scan(make_docs(rows)).collect()}
+    for k, license_id in enumerate(want.values()):
+        assert (found[k], found[100 + k]) == (license_id, license_id)
+    assert found[205] is None
