@@ -34,6 +34,7 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
+#: An example, with the bad hosts of the test pages; a real list comes as a file or a table.
 BLOCKED = tuple(
     (f"{name}.example.{top}", "")
     for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -131,22 +132,43 @@ def judge_urls(digests: Digests, parts: list[tuple[str, str]]) -> list[tuple[str
     return out
 
 
+def read_list(blocked: str | DataFrame | Iterable[tuple[str, str]]) -> Iterable[tuple[str, str]]:
+    """(host, start of path) of the entries, from pairs, a table (host[, path]) or a text file.
+
+    A file has an entry in each line, host and path without a space between; empty lines and those that begin
+    with ``#`` are none. The driver holds the list once; A-Z of a host count as a-z.
+    """
+    if isinstance(blocked, str):
+        with open(blocked, encoding="utf-8") as file:
+            lines = [x.strip() for x in file]
+        pairs = (x.partition("/") for x in lines if x and not x.startswith("#"))
+        blocked = ((host, slash + path) for host, slash, path in pairs)
+    elif isinstance(blocked, DataFrame):
+        path = "path" if "path" in blocked.columns else "CAST(NULL AS string) AS path"
+        rows = blocked.selectExpr("host", path).filter("host <> ''").distinct().toLocalIterator()
+        blocked = ((r.host, r.path or "") for r in rows)
+    return ((host.translate(_UPPER), path) for host, path in blocked)
+
+
 SCHEMA = "page_id bigint, host string, path string, rule string, verdict string"
 
 
 def judge(
     pages: DataFrame,
     rules: Iterable[tuple[str, str, str]] = RULES,
-    blocked: Iterable[tuple[str, str]] = BLOCKED,
+    blocked: str | DataFrame | Iterable[tuple[str, str]] = BLOCKED,
     page_id: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
-    """Host, path, rule and verdict of every row. Of equal rules a blocking one counts."""
+    """Host, path, rule and verdict of every row. Of equal rules a blocking one counts.
+
+    ``blocked`` is the block list, of any size that the driver holds: see :func:`read_list`.
+    """
     context = pages.sparkSession.sparkContext
     name = f"digests-{uuid.uuid4().hex}"
     path = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)
     entries = [(h + p, _BLOCK if v == "block" else _ALLOW) for h, p, v in rules]
-    write_array([*entries, *((h + p, _LISTED) for h, p in blocked)], path)
+    write_array([*entries, *((h + p, _LISTED) for h, p in read_list(blocked))], path)
     context.addFile(path)  # Spark hands the driver's file to the executors
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -249,3 +249,17 @@ def test_long_licences_are_known(make_docs):
     for k, license_id in enumerate(want.values()):
         assert (found[k], found[100 + k]) == (license_id, license_id)
     assert found[205] is None
+
+
+def test_block_list_from_a_file_and_a_table(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(1, "http://a.bad.test/x"), (2, "http://other.test/shop/1"), (3, "http://other.test/"), (4, "http://h7.many.test/")],
+        "page_id bigint, url string",
+    )
+    entries = [("Bad.test", ""), ("other.test", "/shop/"), *((f"h{k}.many.test", "") for k in range(5000))]
+    path = tmp_path / "list.txt"
+    path.write_text("# hosts\n\n" + "\n".join(h + p for h, p in entries))
+    table = spark.createDataFrame(entries, "host string, path string")
+    for blocked in (str(path), table):
+        found = url_filter.judge(pages, (), blocked).collect()
+        assert {r.page_id: r.verdict for r in found} == {1: "block", 2: "block", 3: "allow", 4: "block"}
