@@ -88,8 +88,70 @@ SELECT page_id, host, path, rule,
        coalesce(v, CASE WHEN listed.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
 FROM parts LEFT JOIN fits USING (page_id) LEFT JOIN listed USING (page_id)"""
 
+_VALUE = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LOWERED = f"translate(text, '{ascii_uppercase}', '{ascii_lowercase}')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_VALUE.format(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _levels(name: str, start: str) -> str:
+    return f"""{name} AS (
+    {start}
+    UNION ALL
+    SELECT level + 1, tree, pos // 16, sha256(string_agg(node, '' ORDER BY pos))
+    FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM {name}) WHERE n > 1
+    GROUP BY level, tree, pos // 16),
+{name}_top AS (SELECT tree, max(level) AS depth, arg_max(node, level) AS node FROM {name} GROUP BY tree)"""
+
+
+def _beside(docs: str, name: str, steps: str) -> str:
+    """What stands left and right of each document's node, on each level but the last."""
+    return f"""SELECT doc_id, {steps} + level AS step,
+           coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos < d.pos // CAST(pow(16, level) AS BIGINT)), '') AS l,
+           coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos > d.pos // CAST(pow(16, level) AS BIGINT)), '') AS r
+    FROM {docs} d JOIN {name} n ON n.tree = d.tree JOIN {name}_top t ON t.tree = n.tree AND level < depth
+    WHERE n.pos // 16 = d.pos // CAST(pow(16, level + 1) AS BIGINT) GROUP BY doc_id, level"""
+
+
+_MERKLE = f"""
+WITH RECURSIVE
+crc_table AS (
+    SELECT list(list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], LAMBDA c, x:
+        CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS c FROM range(256) AS v(i)),
+chosen AS (
+    SELECT doc_id, xor(4294967295, list_reduce(
+        [4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), LAMBDA x: CAST(ascii(x) AS BIGINT)),
+        LAMBDA c, x: xor(c // 256, crc_table.c[1 + xor(c % 256, x)]))) % 5 = 0 AS tampered
+    FROM documents, crc_table),
+leaves AS (
+    SELECT doc_id, coalesce('=' || source, '') AS tree, {_leaf("text")} AS leaf,
+           CASE WHEN tampered THEN {_leaf(_LOWERED)} ELSE {_leaf("text")} END AS checked,
+           row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+    FROM documents JOIN chosen USING (doc_id)),
+{_levels("inner_nodes", "SELECT 0 AS level, tree, pos, leaf AS node FROM leaves")},
+sources AS (SELECT tree AS name, node, row_number() OVER (ORDER BY tree) - 1 AS pos, '' AS tree FROM inner_nodes_top),
+{_levels("outer_nodes", "SELECT 0 AS level, tree, pos, node FROM sources")},
+placed AS (SELECT doc_id, s.tree, s.pos FROM leaves JOIN sources s ON s.name = leaves.tree),
+beside AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY step) AS k FROM (
+    {_beside("leaves", "inner_nodes", "0")}
+    UNION ALL
+    {_beside("placed", "outer_nodes", "100")})),
+folded AS (
+    SELECT doc_id, 0 AS k, checked AS node FROM leaves
+    UNION ALL
+    SELECT doc_id, f.k + 1, sha256(l || node || r) FROM folded f JOIN beside b USING (doc_id) WHERE b.k = f.k + 1)
+SELECT doc_id, leaf, s.node AS subroot, root.node AS root, coalesce(proof, sha256('')) AS proof_sha256,
+       f.node AS folded_root, f.node = root.node AS verified
+FROM leaves JOIN sources s ON s.name = leaves.tree CROSS JOIN (SELECT node FROM outer_nodes_top) root
+LEFT JOIN (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM beside GROUP BY doc_id) USING (doc_id)
+JOIN (SELECT doc_id, arg_max(node, k) AS node FROM folded GROUP BY doc_id) f USING (doc_id)"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": _JOIN,
     "op4_licenses": _LICENSES,
     "op5_url_filter": _URLS,
+    "op11_merkle_manifest": _MERKLE,
 }

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, fertility, html_text, licenses, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
+    decontaminate, fertility, html_text, licenses, merkle, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
 )
 
 
@@ -55,11 +55,15 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality_model, op3_ngram_join, op4_licenses,
         op5_url_filter, op6_packing, op7_paragraphs,
-        op8_fertility, op9_html_text, op10_pii,
+        op8_fertility, op9_html_text, op10_pii, op11_merkle_manifest,
     )
 }

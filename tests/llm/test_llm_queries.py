@@ -32,7 +32,7 @@ def test_against_sql(spark, name):
 def test_queries_are_registered():
     names = entry_module.queries()
     assert set(registry.REGISTRY) | {"pipeline"} <= set(names)
-    assert {int(n[2:].split("_")[0]) for n in registry.REGISTRY} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in registry.REGISTRY} == set(range(1, 14))
 
 
 def test_leaks_are_the_planted_items(spark):
