@@ -149,9 +149,16 @@ FROM leaves JOIN sources s ON s.name = leaves.tree CROSS JOIN (SELECT node FROM
 LEFT JOIN (SELECT doc_id, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM beside GROUP BY doc_id) USING (doc_id)
 JOIN (SELECT doc_id, arg_max(node, k) AS node FROM folded GROUP BY doc_id) f USING (doc_id)"""
 
+_COPIES = r"""
+WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept,
+       sha256(t) AS text_sha256
+FROM texts WINDOW w AS (PARTITION BY t)"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": _JOIN,
     "op4_licenses": _LICENSES,
     "op5_url_filter": _URLS,
     "op11_merkle_manifest": _MERKLE,
+    "op12_exact_dedup": _COPIES,
 }
