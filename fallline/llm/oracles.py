@@ -155,10 +155,46 @@ SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
        sha256(t) AS text_sha256
 FROM texts WINDOW w AS (PARTITION BY t)"""
 
+_SHARE = "1 + CAST(1000000000 AS HUGEINT) * (c + 2) // (sum(c) OVER w + 2 * count(*) OVER w)"
+
+_DIVERGENCE = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+        translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+    FROM documents),
+words AS (SELECT doc_id, lang, source, unnest(w) AS term FROM texts),
+kept AS (
+    SELECT lang, term FROM (SELECT DISTINCT doc_id, lang, term FROM words) GROUP BY lang, term HAVING count(*) >= 10),
+groups AS (SELECT DISTINCT lang, source FROM texts),
+counts AS (SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term),
+dense AS (
+    SELECT lang, source, term, coalesce(c, 0) AS c
+    FROM groups JOIN kept USING (lang) LEFT JOIN counts USING (lang, source, term)),
+own AS (SELECT *, {_SHARE} AS p FROM dense WINDOW w AS (PARTITION BY lang, source)),
+common AS (
+    SELECT lang, term, {_SHARE} AS q FROM (SELECT lang, term, sum(c) AS c FROM dense GROUP BY lang, term)
+    WINDOW w AS (PARTITION BY lang)),
+apart AS (
+    SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+    FROM own x JOIN own y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL),
+pairs AS (
+    SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+    FROM groups x JOIN groups y ON x.lang = y.lang AND x.source <> y.source
+    LEFT JOIN apart a ON a.lang = x.lang AND a.source = x.source AND a.item = y.source),
+terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+    FROM own JOIN common USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+    FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": _JOIN,
     "op4_licenses": _LICENSES,
     "op5_url_filter": _URLS,
     "op11_merkle_manifest": _MERKLE,
     "op12_exact_dedup": _COPIES,
+    "op13_source_divergence": _DIVERGENCE,
 }

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    decontaminate, exact_dedup, fertility, html_text, licenses, merkle, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
+    decontaminate, divergence, exact_dedup, fertility, html_text, licenses, merkle, ngram_join, packing, paragraphs, pii, quality_model, url_filter,
 )
 
 
@@ -63,12 +63,16 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.owners(_table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     f.__name__: f
     for f in (
         op1_decontamination, op2_quality_model, op3_ngram_join, op4_licenses,
         op5_url_filter, op6_packing, op7_paragraphs,
         op8_fertility, op9_html_text, op10_pii, op11_merkle_manifest,
-        op12_exact_dedup,
+        op12_exact_dedup, op13_source_divergence,
     )
 }
