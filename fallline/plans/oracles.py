@@ -477,6 +477,13 @@ def oracle_sql() -> dict[str, str]:
                       geometry_type, CAST(points AS INTEGER) AS points
                FROM home""",
         ),
+        "feature_store": sql(
+            "home",
+            """SELECT run_id, CASE WHEN run_no % 11 <> 0 THEN 'Run ' || run_no END AS run_name,
+                      CAST(CASE WHEN run_no % 3 = 0 THEN 2 ELSE 1 END AS INTEGER) AS sources,
+                      geometry_type, CAST(points AS INTEGER) AS points, true AS noted
+               FROM home""",
+        ),
         "geometry_profile": sql(
             "home", 'SELECT geometry_type, count(*) AS "count" FROM home GROUP BY geometry_type'
         ),

@@ -315,6 +315,25 @@ def geojson_document(spark, sf):
     )
 
 
+@query
+def feature_store(spark, sf):
+    """Features kept as VARIANT values, with a property that no schema names."""
+    path = new_table_path(spark, "features")
+    head = """'{"type":"Feature","properties":{'"""
+    more = f"""concat({head}, '"noted":{{"length":', length(value), '}},')"""
+    texts = P.feature_json(run_features(spark, sf)).selectExpr(f"replace(value, {head}, {more}) AS line")
+    P.export_table(G.feature_variants(texts), path)
+    stored = G.typed_features(spark.read.parquet(path), "runs")
+    return stored.select(
+        F.col("properties.id").alias("run_id"),
+        F.col("properties.name").alias("run_name"),
+        F.size("properties.sources").alias("sources"),
+        F.col("geometry.type").alias("geometry_type"),
+        F.size(coords.parse_line("geometry.coordinates")).alias("points"),
+        (F.variant_get("feature", "$.noted.length", "bigint") > 0).alias("noted"),
+    )
+
+
 # -- coordinates ------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from fallline.functions.coords import (
 )
 from fallline.operators.tables import flatten_struct, value_counts
 from fallline.schema import FEATURES
+from fallline.sources.documents import cut_features
 
 _CORRUPT = "_corrupt_record"
 
@@ -37,49 +38,57 @@ _FRAME = (
 
 def read_feature_texts(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
     """The same with the text of each feature as it stands in the file, as ``line``."""
-    schema = T.StructType([*FEATURES[kind].fields, T.StructField(_CORRUPT, T.StringType())])
     lines = spark.read.text(path).select(
         F.regexp_replace(F.trim("value"), r"\s*,?\s*$", "").alias("line")
     )
-    parsed = lines.select(
+    return _parsed(lines, kind, F.col("line").rlike(_FRAME))
+
+
+def _parsed(lines: DataFrame, kind: str, skipped: Column) -> DataFrame:
+    """``line`` and its fields. The field list is built once per line, by a generator, whatever reads it."""
+    schema = T.StructType([*FEATURES[kind].fields, T.StructField(_CORRUPT, T.StringType())])
+    read = lines.select(
         "line", F.from_json("line", schema, {"columnNameOfCorruptRecord": _CORRUPT}).alias("f")
     )
     good = F.col(f"f.{_CORRUPT}").isNull() & (F.col("f.type") == "Feature")
     message = F.concat(F.lit("not a feature: "), F.substring("line", 1, 80))
-    # a frame line gives NULL and never the error, in whatever order Spark tests the conditions
-    checked = F.when(F.col("line").rlike(_FRAME), F.lit(None)).when(good, F.col("f"))
-    features = parsed.select("line", checked.otherwise(F.raise_error(message)).alias("f"))
-    return features.filter("f IS NOT NULL").select(
-        "line", *[F.col(f"f.{n}").alias(n) for n in FEATURES[kind].fieldNames()]
-    )
+    one, none = F.array("f"), F.expr("slice(array(f), 1, 0)")
+    # a frame line gives no row and never the error
+    features = F.when(skipped, none).when(good, one).otherwise(F.raise_error(message))
+    return read.select("line", F.inline(features)).drop(_CORRUPT)
+
 
+def read_feature_collection(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+    """Features of whole-document feature collections, of any size.
 
-def _checked(good: Column, column: str, message: Column) -> Column:
-    return F.when(good, F.col(column)).otherwise(F.raise_error(message))
+    A document is cut into features by as many tasks as it has splits, see :func:`cut_features`. A
+    document of another type, and one that is cut off, fails the job.
+    """
+    return _parsed(cut_features(spark, path), kind, F.lit(False)).drop("line")
 
 
-def read_feature_collection(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
-    """Features of whole-document feature collections.
+def feature_variants(texts: DataFrame) -> DataFrame:
+    """Feature texts (``line``) parsed once to VARIANT values (``feature``), to be stored as Parquet.
 
-    A document is parsed by one task, so this is for files that fit into one; use
-    :func:`read_feature_lines` beyond. A document of another type fails the job.
+    Properties that no schema names stay, with the types of all values, and later reads take fields from
+    the binary form without parsing text again.
     """
-    schema = T.StructType(
-        [
-            T.StructField("type", T.StringType()),
-            T.StructField("features", T.ArrayType(FEATURES[kind])),
-        ]
-    )
-    documents = (
-        spark.read.schema(schema)
-        .options(multiLine=True, mode="FAILFAST")
-        .json(path)
-    )
-    message = F.concat(
-        F.lit("not a FeatureCollection: "), F.coalesce("type", F.lit("no type"))
-    )
-    features = _checked(F.col("type") == "FeatureCollection", "features", message)
-    return documents.select(F.explode(features).alias("f")).select("f.*")
+    return texts.select(F.parse_json("line").alias("feature"))
+
+
+def typed_features(variants: DataFrame, kind: str) -> DataFrame:
+    """The declared fields of stored features, as the readers of text give them; other columns stay."""
+    fields = FEATURES[kind]
+    properties = fields["properties"].dataType.simpleString()
+    taken = {
+        "type": F.variant_get("feature", "$.type", "string"),
+        "properties": F.variant_get("feature", "$.properties", properties),
+        "geometry": F.struct(
+            F.variant_get("feature", "$.geometry.type", "string").alias("type"),
+            F.to_json(F.variant_get("feature", "$.geometry.coordinates", "variant")).alias("coordinates"),
+        ),
+    }
+    return variants.select(*[taken[n].alias(n) for n in fields.fieldNames()], *[c for c in variants.columns if c not in taken])
 
 
 def geometry_profile(features: DataFrame) -> DataFrame:

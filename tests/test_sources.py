@@ -11,6 +11,7 @@ from fallline.plans import registry, tracks
 from fallline.sources import features as G
 from fallline.sources import manifest as M
 from fallline.sources import tables as P
+from fallline.sources.documents import cut_features
 
 
 def run_feature(run_id, coordinates, areas=("a1",), kind="LineString", source=("skimap.org", 17)):
@@ -178,3 +179,58 @@ def test_filters_reach_the_scan(spark, tmp_path):
     assert "GreaterThanOrEqual(run_count,3)" in plan
     assert "ReadSchema: struct<ski_area_id:string,osm_status:string,run_count:bigint>" in plan
     assert P.filtered_scan(spark, path).count() == registry.metrics(spark, SMALL).count()
+
+
+def awkward_document(n, indent, ascii_only):
+    """A collection with structural characters within strings and objects beside its features."""
+    names = ['{"', "}]", "\\", '\\"{', "é\n,", ""]
+    features = [
+        {
+            "type": "Feature",
+            "properties": {"id": f"{n}-{k}", "name": names[k % 6] * (k % 5), "more": [{"a": [k, {}]}]},
+            "geometry": {"type": "Point", "coordinates": [k, 1.5]},
+        }
+        for k in range(n)
+    ]
+    around = {"crs": {"type": "name", "of": [{"q": "}"}]}, "bbox": [1, 2]}
+    document = {"type": "FeatureCollection", **around, "features": features, "end": {"z": [{}]}}
+    return features, json.dumps(document, indent=indent, ensure_ascii=ascii_only)
+
+
+@pytest.mark.parametrize("size", ["400", "5000", "128m"])
+def test_documents_are_cut_anywhere(spark, tmp_path, size):
+    want = []
+    for n, indent, ascii_only in ((0, None, True), (1, 2, False), (11, None, False), (13, 1, True)):
+        features, text = awkward_document(n, indent, ascii_only)
+        (tmp_path / f"{n}.json").write_text(text)
+        want += features
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        lines = cut_features(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    found = [json.loads(r.line) for r in lines]
+    assert sorted(found, key=str) == sorted(want, key=str)
+
+
+def test_half_a_document_fails(spark, tmp_path):
+    (tmp_path / "x.json").write_text(awkward_document(5, None, True)[1][:-20])
+    with pytest.raises(ValueError, match="whole"):
+        G.read_feature_collection(spark, str(tmp_path / "x.json"), "runs")
+
+
+def test_a_line_is_parsed_once(spark, layouts):
+    read = G.load_runs(G.read_feature_lines(spark, str(layouts / "lines.ndjson"), "runs"))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(StructField(type") == 1 and plan.count("RLIKE") <= 1
+
+
+def test_stored_features_keep_everything(spark, layouts):
+    texts = G.read_feature_texts(spark, str(layouts / "lines.ndjson"), "runs")
+    G.feature_variants(texts).write.parquet(str(layouts / "stored"))
+    stored = G.typed_features(spark.read.parquet(str(layouts / "stored")), "runs")
+    want = [r.asDict(True) for r in G.load_runs(texts).orderBy("run_id").collect()]
+    assert [r.asDict(True) for r in G.load_runs(stored).orderBy("run_id").collect()] == want
+    whole = [json.loads(r.t) for r in stored.selectExpr("to_json(feature) AS t").collect()]
+    plain = lambda f: json.dumps(f, sort_keys=True)
+    assert sorted(map(plain, whole)) == sorted(map(plain, FEATURES))
