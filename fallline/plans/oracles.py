@@ -410,6 +410,23 @@ def _named(group: str) -> str:
 _LABEL = """upper(substr(osm_status, 1, 1)) || substr(osm_status, 2) || ' in '
     || upper(substr(hemisphere, 1, 1)) || substr(hemisphere, 2) || ' Hem.'"""
 
+#: The presets: what they group by, and which areas they take.
+_PRESETS = {
+    "hemisphere": ("hemisphere", _named("hemisphere")),
+    "hemisphere_status": ("hemisphere, osm_status", "hemisphere = 'north' AND osm_status IN ('abandoned', 'operating')"),
+    "country": ("country", _named("country")),
+    "region": ("region", f"country = '{COUNTRY}' AND {_named('region')}"),
+}
+_EXTRA = {"hemisphere, osm_status": f", {_LABEL} AS hemisphere_status"}
+
+
+def _of_presets(query) -> str:
+    """One query for each preset, in one table; columns that a preset lacks are NULL."""
+    return " UNION ALL BY NAME ".join(
+        f"SELECT '{name}' AS preset, * FROM ({query(group, where)})" for name, (group, where) in _PRESETS.items()
+    )
+
+
 _FLAG = "chr(127397 + ascii(country_code)) || chr(127397 + ascii(substr(country_code, 2)))"
 
 
@@ -823,6 +840,8 @@ def oracle_sql() -> dict[str, str]:
             "hemisphere = 'north' AND osm_status IN ('abandoned', 'operating')",
             f", {_LABEL} AS hemisphere_status",
         ),
+        "rollup_presets": _of_presets(lambda g, w: _rollup(g, w, _EXTRA.get(g, ""))),
+        "rollup_bins_presets": _of_presets(lambda g, w: sql("area labelled", _rolled_bins(g, w))),
         "rollup_having": sql(
             "area",
             f"""SELECT country, round(sum(combined_vertical), 4) AS combined_vertical FROM area

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fallline.operators.areas import area_dimension, area_metrics
 from fallline.operators.display import frontend_table
 from fallline.operators.quality import problems, require_valid, schema_problems
-from fallline.operators.rollups import PRESETS
+from fallline.operators.rollups import PRESETS, of_preset, rollup_presets
 from fallline.sources.features import (
     load_lifts,
     load_runs,
@@ -35,8 +35,9 @@ class Layout:
     def areas(self) -> str:
         return f"{self.root}/ski_area_metrics.parquet"
 
-    def rollup(self, name: str) -> str:
-        return f"{self.root}/rollups/{name}_roses.parquet"
+    @property
+    def rollups(self) -> str:
+        return f"{self.root}/rollups.parquet"
 
     @property
     def frontend(self) -> str:
@@ -79,15 +80,15 @@ def validate(spark: SparkSession, layout: Layout) -> DataFrame:
 
 
 def export_rollups(spark: SparkSession, layout: Layout, **options: str) -> dict[str, DataFrame]:
-    """Write one table per preset grouping; ``country`` chooses the country for the regions."""
+    """Write all preset groupings as one table, partitioned by preset, from one scan of the areas.
+
+    ``country`` chooses the country for the regions. Returns the groups of each preset.
+    """
     areas = filtered_scan(spark, layout.areas)
     assert not schema_problems(areas.schema)
-    written = {}
-    for name, preset in PRESETS.items():
-        groups = preset(areas, **options) if name == "region" else preset(areas)
-        export_table(groups, layout.rollup(name))
-        written[name] = spark.read.parquet(layout.rollup(name))
-    return written
+    rollup_presets(areas, **options).write.mode("overwrite").partitionBy("preset").parquet(layout.rollups)
+    groups = spark.read.parquet(layout.rollups)
+    return {name: of_preset(groups, name) for name in PRESETS}
 
 
 def export_frontend(spark: SparkSession, layout: Layout) -> DataFrame:

@@ -631,6 +631,20 @@ def rollup_country(spark, sf):
     return _rolled(R.rollup_by_country(stored_metrics(spark, sf)))
 
 
+@query
+def rollup_presets(spark, sf):
+    """All presets from one scan, stored as one table partitioned by preset."""
+    path = new_table_path(spark, "rollups")
+    R.rollup_presets(stored_metrics(spark, sf), COUNTRY).write.partitionBy("preset").parquet(path)
+    return _rolled(spark.read.parquet(path))
+
+
+@query
+def rollup_bins_presets(spark, sf):
+    groups = R.rollup_presets(stored_metrics(spark, sf), COUNTRY)
+    return shown(A.explode_bins(groups, R.PRESET_KEYS))
+
+
 @query
 def rollup_having(spark, sf):
     groups = R.rollup_by_country(stored_metrics(spark, sf))

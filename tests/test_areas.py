@@ -215,3 +215,20 @@ def test_lift_count_is_distinct_and_operating(spark):
         "lift_id string, lift_status string, ski_area_ids array<string>",
     )
     assert {r.ski_area_id: r.lift_count for r in A.lift_count(lifts).collect()} == {"a": 1, "b": 1}
+
+
+def test_presets_come_from_one_scan(spark, tmp_path):
+    registry.stored_metrics(spark, SMALL).write.parquet(str(tmp_path / "areas"))
+    areas = spark.read.parquet(str(tmp_path / "areas"))
+    groups = R.rollup_presets(areas, registry.COUNTRY)
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    for name, single in R.PRESETS.items():
+        one = single(areas, registry.COUNTRY) if name == "region" else single(areas)
+        found = R.of_preset(groups, name)
+        assert set(found.columns) == set(one.columns)
+        count = lambda df: df.select(*[c for c in one.columns if dict(one.dtypes)[c] in ("string", "bigint")])
+        assert sorted(map(tuple, count(found).collect()), key=str) == sorted(map(tuple, count(one).collect()), key=str)
+        for a, b in zip(found.collect(), one.collect()):
+            assert a.bearing_mean == pytest.approx(b.bearing_mean, abs=1e-6)
+            assert [tuple(x) for x in a.bearings] == [tuple(pytest.approx(v) if isinstance(v, float) else v for v in x) for x in b.bearings]
