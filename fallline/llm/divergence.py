@@ -36,6 +36,7 @@ LEAST, TOP = 10, 10
 SHARD, MOST_TERMS, LONGEST = 8192, 1_000_000, 64
 #: Entries of a task's tables of words, and bytes of its dense arrays, before they are handed on.
 ENTRIES, DENSE = 400_000, 64 << 20
+BATCH = 16 << 20
 #: Slots of a tile, and cells of a tile's matrix, at most.
 TILE, CELLS = 1024, 1 << 22
 #: Languages that are sent to all tasks at most.
@@ -258,7 +259,7 @@ def _recount(docs: DataFrame, shards: DataFrame) -> DataFrame:
                     dense, sparse = {}, {}
         yield from given(dense, sparse)
 
-    T.batched(docs.sparkSession)
+    T.batched(docs.sparkSession, BATCH)  # each batch looks its terms up once
     return docs.mapInArrow(run, "lang string, source string, slot bigint, term string, count bigint")
 
 

@@ -1,16 +1,35 @@
-"""Connected components of a table of links."""
+"""Stages in the shared folder, and connected components of a table of links."""
+
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fallline.session import new_table_path
 
+#: Where the stages of this session lie, as long as somebody holds them.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+ROW_GROUP = 16 << 20
+
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``df``, written to the shared folder and read again."""
     path = new_table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # small row groups: a task that writes several wide columns holds one row group of each at a time
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    stage = df.sparkSession.read.parquet(path)
+    _PATHS[stage] = path
+    return stage
+
+
+def dropped(*stages: DataFrame) -> None:
+    """Delete written stages whose last reader has been written itself; nothing may read them any more."""
+    for stage in stages:
+        path = _PATHS.pop(stage, None)
+        if path:
+            jvm, context = stage.sparkSession._jvm, stage.sparkSession.sparkContext
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,7 +51,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").selectExpr("b AS a", "m AS b").filter("a <> b")
         small = small.union(least.selectExpr("a", "m AS b")).distinct()
-        links = staged(small, "links")
+        last, links = links, staged(small, "links")
+        dropped(last)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -12,8 +12,11 @@ document id that it reaches over links.
    that many documents share leads nowhere, and a family of near copies is one group.
 3. A set is held against the union of each group that it meets: the union is kept as a bitmap of
    hashed shingles, and the bits that the set has and the union lacks bound the overlap from
-   above. Only groups whose bound allows a link are opened, and their members compared exactly.
-4. Components over all links found.
+   above. Only groups whose bound allows a link are opened.
+4. Opened groups are asked in rounds: a set is first compared with one member of its best group, then with more
+   members of all. What links becomes one component, and sets and groups that have come into one are not
+   asked again, so a family of near copies is not compared all with all; those that stay apart are
+   compared with every member, whole text by whole text. Nothing is left out.
 
 Nulls, empty texts and texts of white space have no shingles and link with nothing. A text with fewer
 words than a shingle is one shingle. Rows that repeat an id are separate texts; a null id is never the
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .graph import components, staged
+from .graph import components, dropped, staged
 
 BANDS, ROWS = 6, 2
 #: A shingle in more sets than this comes last in the order. Any number gives the same links.
@@ -189,15 +192,16 @@ def _texts(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     keys = _among(sets.select("set_id", "digest"), "set_id", wanted, "set_id")
     keys = staged(keys.join(wanted, "set_id", "left_semi"), "keys")
     near = _among(docs.select("digest", "text"), "digest", keys, "digest").dropDuplicates(["digest"])
-    return near.join(keys, "digest").select("set_id", "text")
+    texts = staged(near.join(keys, "digest").select("set_id", "text"), "texts")
+    dropped(keys)
+    return texts
 
 
 def _linked(
     pairs: DataFrame, docs: DataFrame, sets: DataFrame, words: int, threshold: int
 ) -> DataFrame:
-    """The pairs (a, b) of sets that link, by their whole texts."""
-    wanted = pairs.selectExpr("explode(array(a, b)) AS set_id").distinct()
-    texts = staged(_texts(docs, sets, wanted), "texts")
+    """The pairs (a, b) of sets that link, by their whole texts; written."""
+    texts = _texts(docs, sets, pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, dtype=bool)
@@ -216,7 +220,9 @@ def _linked(
         .join(texts.selectExpr("set_id AS a", "text AS left"), "a")
         .select("a", "b", "left", "right")
     )
-    return T.map_batches(joined, work, "a bigint, b bigint")
+    links = staged(T.map_batches(joined, work, "a bigint, b bigint"), "links")
+    dropped(texts)
+    return links
 
 
 def _folded(words: np.ndarray, size: int) -> np.ndarray:
@@ -285,6 +291,7 @@ def similar(
     docs = docs.select(T.ids(doc_id).cast("bigint"), T.ids(text, "text"))
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
     sketches = staged(_sketches(docs, words, threshold), "sketches")
+    owners = staged(sketches.select("doc_id", "set_id", "n"), "owners")
     sets = staged(
         sketches.filter("n > 0").select("set_id", "n", "bits", "doc_id", "digest").dropDuplicates(["set_id"]),
         "sets",
@@ -297,7 +304,9 @@ def similar(
         .groupBy("token").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))
         .filter("x < y").select("token")
     )
-    shared = filter_of(staged(met, "shared"), "token")
+    met = staged(met, "shared")
+    shared = filter_of(met, "token")
+    dropped(met)
     rows = staged(_matrix_rows(sketches, threshold, none, shared).distinct(), "matrix")
     counts = rows.groupBy("token").count()
     while counts.filter(f"count > {frequent}").limit(MOST_FREQUENT + 1).count() > MOST_FREQUENT:
@@ -308,16 +317,20 @@ def similar(
         # with those last, other shingles move up; their partners are looked for as well
         moved = _matrix_rows(sketches, threshold, often, None, changed_only=True)
         unknown = moved.filter("token IS NULL").select("set_id").distinct()
-        whole = staged(_whole_sets(docs, sets, unknown, words), "whole")
+        texts = _texts(docs, sets, unknown)
+        whole = staged(_whole_sets(texts, words), "whole")
+        dropped(texts)
         moved = moved.filter("token IS NOT NULL").select("token").union(
             _matrix_rows(whole, threshold, often, None).select("token")
         )
         wanted = shared | filter_of(moved, "token", 8 * len(shared))
         known = _matrix_rows(sketches, threshold, often, wanted).filter("token IS NOT NULL")
-        rows = staged(known.union(_matrix_rows(whole, threshold, often, wanted)).distinct(), "matrix")
+        last, rows = rows, staged(known.union(_matrix_rows(whole, threshold, often, wanted)).distinct(), "matrix")
+        dropped(last, whole)
 
     # groups of similar sets
     pairs = staged(_leaders(sketches, threshold), "leaders")
+    dropped(sketches)
     facts = sets.select("set_id", "n", "bits")
     wanted = pairs.selectExpr("explode(array(a, b)) AS set_id")
     known = _among(facts, "set_id", wanted, "set_id")
@@ -327,7 +340,9 @@ def similar(
         .select("a", "b", "q_n", "q_bits", "g_bits")
     )
     near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
-    links = staged(_linked(near, docs, sets, words, threshold), "links")
+    dropped(pairs)
+    links = _linked(near, docs, sets, words, threshold)
+    dropped(near)
     groups = components(links).selectExpr("node AS set_id", "component AS group_id")
     size = groups.groupBy("group_id").agg(F.count("*").alias("members"))
     groups = staged(groups.join(size, "group_id").select("set_id", "group_id", "members"), "groups")
@@ -358,25 +373,13 @@ def similar(
         .select("set_id", "group_id", "q_n", "q_bits", "g_bits")
     )
     opened = staged(_allowed(met, threshold, ["set_id", "group_id"], "set_id bigint, group_id bigint"), "opened")
-    members = groups.select("set_id", "group_id").join(opened.select("group_id"), "group_id", "left_semi")
-    members = members.select("set_id", "group_id").union(
-        opened.selectExpr("group_id AS set_id", "group_id").distinct().join(groups, "set_id", "left_anti")
-    )
-    pairs = opened.join(members.withColumnRenamed("set_id", "other"), "group_id").selectExpr("set_id AS a", "other AS b")
-    pairs = staged(pairs, "pairs")
-    known = _among(facts, "set_id", pairs.selectExpr("explode(array(a, b)) AS set_id"), "set_id")
-    pairs = (
-        pairs.join(known.selectExpr("set_id AS a", "n", "bits AS g_bits"), "a")
-        .join(known.selectExpr("set_id AS b", "n AS q_n", "bits AS q_bits"), "b")
-        .filter(_sizes_fit("q_n", "n", threshold))
-        .select("a", "b", "q_n", "q_bits", "g_bits")
-    )
-    pairs = staged(_allowed(pairs, threshold, ["a", "b"], "a bigint, b bigint"), "pairs")
-    links = links.union(_linked(pairs, docs, sets, words, threshold))
+    dropped(rows, asks)
+    links = _asked(opened, groups, links, facts, docs, sets, words, threshold)
+    dropped(groups)
 
     # components of sets, and of documents
     found = components(links).selectExpr("node AS set_id", "component")
-    rows = sketches.select("doc_id", "set_id", "n").join(found, "set_id", "left")
+    rows = owners.join(found, "set_id", "left")
     rows = rows.selectExpr("doc_id", "n", "coalesce(component, set_id) AS component")
     least = rows.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (
@@ -386,15 +389,67 @@ def similar(
     )
 
 
-def _whole_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(set_id, n, tokens) with every shingle of the ``wanted`` sets."""
+def _asked(
+    opened: DataFrame, groups: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFrame, sets: DataFrame,
+    words: int, threshold: int,
+) -> DataFrame:
+    """Links that join everything that the ``opened`` (set_id, group_id) can join; ``links`` are known.
+
+    Members of a group are numbered by their hash, up to the size of the group. Round k holds the sets against the members from
+    number 2^k - 1 up to 2^(k+1) - 2 of the groups that are still another component; before, each set is held
+    against the first member of one group. A group of m members is through after log2(m) rounds.
+    """
+    members = groups.join(opened.select("group_id").distinct(), "group_id", "left_semi")
+    place = F.expr("CAST(floor(pmod(xxhash64(set_id), 2147483648L) / 2147483648D * members) AS bigint)")
+    members = members.select("group_id", F.col("set_id").alias("other"), place.alias("number"))
+    alone = opened.select("group_id").distinct().join(groups.selectExpr("set_id AS group_id"), "group_id", "left_anti")
+    members = staged(members.union(alone.selectExpr("group_id", "group_id AS other", "0L AS number")), "members")
+    most = members.agg(F.max("number")).first()[0]
+    if most is None:
+        return links
+    rounds = [(0, 1, True)] + [((1 << k) - 1, (1 << k + 1) - 1, False) for k in range((most + 1).bit_length())]
+    for first, end, one in rounds:
+        asking = opened
+        if one:
+            asking = opened.groupBy("set_id").agg(F.min("group_id").alias("group_id"))
+        met = members.filter(f"number >= {first} AND number < {end}")
+        pairs = staged(asking.join(met, "group_id").selectExpr("set_id AS a", "other AS b"), "pairs")
+        near = (
+            pairs.join(facts.selectExpr("set_id AS a", "n", "bits AS g_bits"), "a")
+            .join(facts.selectExpr("set_id AS b", "n AS q_n", "bits AS q_bits"), "b")
+            .filter(_sizes_fit("q_n", "n", threshold))
+            .select("a", "b", "q_n", "q_bits", "g_bits")
+        )
+        near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
+        dropped(pairs)
+        more = _linked(near, docs, sets, words, threshold)
+        dropped(near)
+        if not more.isEmpty():
+            last, links = links, staged(links.union(more), "links")
+            dropped(last, more)
+            # what has come together is not asked again
+            now = staged(components(links), "components")
+            of_set = now.selectExpr("node AS set_id", "component AS x")
+            of_group = now.selectExpr("node AS group_id", "component AS y")
+            apart = opened.join(of_set, "set_id", "left").join(of_group, "group_id", "left").filter(
+                "coalesce(x, set_id) <> coalesce(y, group_id)"
+            )
+            last, opened = opened, staged(apart.select("set_id", "group_id"), "opened")
+            dropped(last, now)
+            if opened.isEmpty():
+                break
+    dropped(members, opened)
+    return links
+
+
+def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(set_id, n, tokens) with every shingle of the ``texts`` (set_id, text)."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [x for _, x in T.shingle_sets(T.bytes_of(batch.column(1)), words)]
         sizes = pa.array([len(x) for x in found], pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0), sizes, _lists(found)], ["set_id", "n", "tokens"])
 
-    texts = _texts(docs, sets, wanted)
     return T.map_batches(texts, work, "set_id bigint, n bigint, tokens array<bigint>")
 
 

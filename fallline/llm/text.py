@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 WORDS = 5
 #: Bytes of text worked on at once; bounds the memory of a task whatever the texts' lengths.
 BLOCK = 1 << 20
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -136,9 +136,9 @@ def bytes_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def batched(spark: SparkSession) -> None:
+def batched(spark: SparkSession, size: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches of this session by bytes, for texts of any length."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def map_batches(
