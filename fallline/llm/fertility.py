@@ -2,8 +2,12 @@
 
 A text is rejected by plain counts (too few words, too much repetition) or because its fertility
 leaves the band of its language: characters per token, the share of tokens that are only part of a
-character, and the entropy of the tokens. Texts with fewer than ``MIN_TOKENS`` tokens say too little
-about these figures and are judged by the plain counts alone.
+character, and the entropy of the tokens. The bounds hang on the number of tokens ``n``: the fewer there
+are, the wider they are, by ``SLACK / sqrt(n)``, and the entropy need not come closer than ``REACH`` to
+the most that n tokens can have, log2(n). No text is too short to be judged.
+
+A run of white space longer than ``RUN`` is tokenized in parts of that length, since the tokenizer's pattern
+cannot match longer ones; nothing else is cut.
 
 Whole texts are read, one row gives one row, and nothing is shuffled. A null text counts as empty;
 an empty text has no words and fails. Repeated rows are judged alike. An unknown or null language
@@ -11,8 +15,10 @@ takes the band of its script.
 """
 
 import base64
+import re
 from dataclasses import dataclass
 from functools import lru_cache
+from math import log2, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +29,11 @@ from . import text as T
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MIN_WORDS, MAX_REPEATED = 10, 20
-MIN_TOKENS = 100
-#: Longest run without white space that is tokenized in one go; longer ones are cut there.
+#: How much wider the bounds of short texts are, and the share of log2(n) that their entropy must reach.
+SLACK, REACH = 2.0, 0.8
+#: Longest run of white space that is tokenized in one go.
 RUN = 1000
+_LONG_SPACE = re.compile(r"\s{%d,}" % (RUN + 1))
 
 
 @dataclass(frozen=True)
@@ -64,18 +72,13 @@ def _encoder(ranks: bytes):
 
 
 def _pieces(text: str) -> list[str]:
-    """The text, cut only where a run without white space is longer than RUN."""
-    if max(map(len, text.split()), default=0) <= RUN:
-        return [text]
-    out, held = [], []
-    for word in text.split(" "):
-        if len(word) > RUN:
-            out.append(" ".join(held))
-            out += [word[k : k + RUN] for k in range(0, len(word), RUN)]
-            held = [""]
-        else:
-            held.append(word)
-    return [x for x in [*out, " ".join(held)] if x]
+    """The text, cut only within runs of white space longer than RUN; the last space stays with its word."""
+    out, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() - (m.end() < len(text))
+        out += [text[at : m.start()], *(text[k : min(k + RUN, end)] for k in range(m.start(), end, RUN))]
+        at = end
+    return [x for x in [*out, text[at:]] if x]
 
 
 def tokens_of(ranks: bytes, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -109,10 +112,13 @@ def band_of(lang: str | None, text: str) -> Band:
 
 def within(band: Band, figures: tuple[int, float, float, float]) -> bool:
     n, chars, fallback, entropy = figures
-    return n < MIN_TOKENS or (
-        band.least_chars <= chars <= band.most_chars
-        and fallback <= band.most_fallback
-        and entropy >= band.least_entropy
+    if not n:
+        return False
+    slack = SLACK / sqrt(n)
+    return (
+        band.least_chars * (1 - slack) <= chars <= band.most_chars * (1 + slack)
+        and fallback <= band.most_fallback + slack / 4
+        and entropy >= min(band.least_entropy, REACH * log2(n))
     )
 
 

@@ -3,7 +3,9 @@
 A page is a sequence of words and tags. Each has a weight for what it is and where it stands: words
 of running text score positive, tags and the words of menus and the like negative. One linear scan finds
 the run of the largest sum, which is the content; words inside it that stand in adverts, forms and
-the like are left out.
+the like are left out. Elements that are menus, footers, asides, comments and the like by their own tag or by a whole
+class name or id are never content, however much they hold; a form is not, unless it holds the article. Elements whose
+names only contain such a word, as wrappers' do, are left out where they hold less than half of the words.
 
 The weights are log odds learned from labelled pages: pages that mark their text with one
 ``article`` or ``main`` element say themselves which tokens are inside. Each such page is counted twice, once
@@ -32,6 +34,7 @@ _TOKEN = re.compile(
     r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attr>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)>",
     re.S | re.I,
 )
+_RAW_END = re.compile(r"</[A-Za-z]+\s*>\Z")
 _INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _MAIN = frozenset(("article", "main"))
@@ -42,6 +45,15 @@ _NAMES = frozenset(
     "newsletter subscribe signup login popup modal alert ad ads advert adverts advertisement sponsor sponsored "
     "promo promotion comment comments reply replies respond disqus copyright skip hidden".split()
 )
+#: Tags, and whole class names or ids, of elements that are never content.
+_NEVER = frozenset("nav footer aside menu dialog".split())
+_NEVER_NAMES = frozenset(
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar related recommended share sharing "
+    "footer cookie cookies consent newsletter ad ads advert adverts advertisement sponsor sponsored comment comments "
+    "reply replies respond disqus copyright".split()
+)
+#: Tags that show that a form is the page's own, around its content.
+_CONTENT = frozenset(("article", "main", "h1"))
 #: Of those, names that an article's own head has as well.
 _HEADS = frozenset("header masthead banner".split())
 _CLASS = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -59,27 +71,45 @@ def _boiler(tag: str, attr: str, in_main: bool) -> bool:
     return any(x in known for x in names) or bool(_HIDDEN.search(attr))
 
 
+def _never(tag: str, attr: str) -> bool:
+    """Whether an element is no content by its tag or a whole class name, id or role."""
+    if tag in _NEVER:
+        return True
+    return any(x in _NEVER_NAMES for m in _CLASS.findall(attr) for x in "".join(m).lower().split())
+
+
 def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
     """(kind, text, inside): words carry their text; ``inside`` tells a marked element's tokens.
 
-    ``blind`` reads a marked element as a plain one, though ``inside`` still tells it.
+    ``blind`` reads a marked element as a plain one, though ``inside`` still tells it. The page is scanned
+    once, and the work for a tag does not grow with the tags that are open.
     """
-    out: list[tuple] = []  # of words: kind, text, inside, boiler elements around, zone without them, whether glued
-    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, boiler element, main, zones before
-    around: list[int] = []  # open boiler elements
-    zones: tuple[int, ...] = ()  # those since the last article or main
-    closed: list[bool] = []  # of each boiler element
+    out: list[tuple] = []  # of words: kind, text, inside, innermost boiler element, zone without it, whether glued
+    stack: list[tuple[str, int, bool, int]] = []  # tag, boiler element, main, boiler element around
+    opened: Counter = Counter()  # open elements by tag
+    blocks: list[str] = []  # open elements that are no inline ones
+    # of each boiler element: the one around it, words before it and in it, whether its own tag closes it
+    above: list[int] = []
+    before: list[int] = []
     held: list[int] = []
+    closed: list[bool] = []
+    never: list[bool] = []
+    forms: list[int] = []  # open forms that have not shown to hold content
     total = main = link = 0
+    zone_at = -1  # innermost boiler element since the last article or main
     block = "none"
     marked = not blind and bool(re.search(r"<(?:article|main)\b", page, re.I))
 
     def pop(own: bool) -> None:
-        nonlocal main, link, zones
-        tag, b, m, zones = stack.pop()
+        nonlocal main, link, zone_at
+        tag, b, m, zone_at = stack.pop()
+        opened[tag] -= 1
+        if tag not in _INLINE:
+            blocks.pop()
         if b >= 0:
-            around.remove(b)
-            closed[b] = own
+            closed[b], held[b] = own, total - before[b]
+            if forms and forms[-1] == b:
+                forms.pop()
         main, link = main - m, link - (tag == "a")
 
     def text(piece: str) -> None:
@@ -88,55 +118,69 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
         glued = not piece[:1].isspace()
         words = html.unescape(piece).split()
         for k, word in enumerate(words):
-            out.append(("a" if link else block, word, main > 0, zones, zone, glued and not k))
+            out.append(("a" if link else block, word, main > 0, zone_at, zone, glued and not k))
         if not link:
             total += len(words)
-            for b in around:
-                held[b] += len(words)
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    last = page.rfind(">") + 1  # nothing behind it is a tag
+    for m in _TOKEN.finditer(page, 0, last):
         if m.start() > at:
             text(page[at : m.start()])
         trailing = m.start() > at and page[m.start() - 1].isspace()
         at = m.end()
+        whole = m[0].endswith("-->") if m[0].startswith("<!--") else not m["raw"] or _RAW_END.search(m[0])
+        if at == last and not whole:
+            at = len(page)  # an open script or comment takes the rest
         if trailing:
             out.append(("space", "", main > 0))
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
         if m["end"]:
-            if any(x[0] == tag for x in stack):
+            if opened[tag]:
                 while stack[-1][0] != tag:
                     pop(False)
                 pop(True)
         else:
             if tag in _CLOSES_P and stack and stack[-1][0] == "p":
                 pop(True)
+            if tag in _CONTENT:
+                for b in forms:
+                    never[b] = False
+                forms.clear()
             if tag not in _VOID and not m["attr"].endswith("/"):
-                b, is_main = -1, tag in _MAIN
-                before = zones
+                b, is_main, around = -1, tag in _MAIN, zone_at
                 if is_main and not blind:
-                    zones = ()
+                    zone_at = -1
                 if _boiler(tag, m["attr"], main > 0):
                     b = len(closed)
-                    closed.append(False)
+                    above.append(zone_at)
+                    before.append(total)
                     held.append(0)
-                    around.append(b)
-                    zones += (b,)
-                stack.append((tag, b, is_main, before))
+                    closed.append(False)
+                    never.append(tag == "form" or _never(tag, m["attr"]))
+                    if tag == "form":
+                        forms.append(b)
+                    zone_at = b
+                stack.append((tag, b, is_main, around))
+                opened[tag] += 1
+                if tag not in _INLINE:
+                    blocks.append(tag)
                 main, link = main + is_main, link + (tag == "a")
         if tag not in _INLINE:
-            block = next((x[0] for x in reversed(stack) if x[0] not in _INLINE), "none")
+            block = blocks[-1] if blocks else "none"
             kind = "main" if tag in _MAIN and not blind else tag
             out.append((f"tag:{kind}", "", main > 0))
     if at < len(page):
         text(page[at:])
-    real = {b for b, own in enumerate(closed) if own and 2 * held[b] < total}
+    cut: list[bool] = []
+    for b, own in enumerate(closed):  # an element stands behind the one around it
+        cut.append((above[b] >= 0 and cut[above[b]]) or own and (never[b] or 2 * held[b] < total))
     for k, token in enumerate(out):
         if len(token) > 3:
-            place, word, inside, about, zone, glued = token
-            zone = "boiler" if not real.isdisjoint(about) else zone
+            place, word, inside, b, zone, glued = token
+            zone = "boiler" if b >= 0 and cut[b] else zone
             out[k] = (f"{'+' * glued}word:{zone}:{place}", word, inside)
     return out
 

@@ -3,7 +3,9 @@
 Kinds with a form of their own (``email``, ``ip``, ``card``, ``phone``) are found by their form and
 their check alone. Kinds whose form is weak need more: an ``iban`` passes mod 97, and a ``local``
 telephone number or a ``national`` number, which are mere groups of digits, need a word near them
-that says what they are. A span of these further kinds is dropped where it overlaps a span of
+that says what they are. A ``secret`` is a key or token: one with a prefix and length that its issuer gives it,
+a private key block, or a long word behind a name such as ``token =`` whose characters have the entropy of a
+random one. A span of these further kinds is dropped where it overlaps a span of
 the first four.
 
 Whole texts are read, one row gives one row, nothing is shuffled. A null text counts as empty; an
@@ -12,6 +14,9 @@ empty text has no spans. Offsets are code points, the end exclusive.
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,7 +24,7 @@ from pyspark.sql import DataFrame
 from . import text as T
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "local", "national")
+KINDS = (*BASE, "iban", "local", "national", "secret")
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 #: Runs are taken whole (``++``), so no text makes the search slower than its length.
@@ -29,6 +34,23 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL = re.compile(r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ ./-]?[0-9]{3,4}(?![0-9A-Za-z.-])")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")
+#: Fixed forms of keys that their issuers document, and of key blocks and signed tokens.
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,128}|gh[pousr]_[A-Za-z0-9]{36,128}"
+    r"|github_pat_[A-Za-z0-9_]{22,128}|xox[abprs]-[A-Za-z0-9-]{10,128}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,64}"
+    r"|sk-[A-Za-z0-9_-]{20,128}|hf_[A-Za-z0-9]{30,64}|eyJ[A-Za-z0-9_-]{8,512}\.[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,1024})"
+    r"(?![A-Za-z0-9_])"
+)
+_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+_FINISH = re.compile(r"-----END (?:[A-Z0-9]{1,16} ){0,3}PRIVATE KEY(?: BLOCK)?-----")
+#: A name that says that what follows is secret, and the value: no white space, 12 characters at least.
+_NAMED = re.compile(
+    r"(?<![A-Za-z])(?:api[_ -]?key|access[_ -]?key|secret|token|passw(?:or)?d|pwd|credentials?|private[_ -]?key|auth)"
+    r"[A-Za-z0-9_-]{0,24}[\"']?\s{0,3}(?:=|:|=>|:=|is)\s{0,3}[\"']?([A-Za-z0-9+/_.=~-]{12,512})",
+    re.IGNORECASE,
+)
+#: Bits per character that a named value has at least, and of those made of hexadecimal digits alone.
+RANDOM, RANDOM_HEX = 3.3, 2.6
 #: Words that say what a number near them is, in the languages of the texts.
 CONTEXT = {
     "iban": ("iban", "account", "konto", "compte", "cuenta"),
@@ -114,21 +136,65 @@ def _scored(text: str, kind: str, start: int, end: int) -> float:
     return min(1.0, SCORES[kind] + CONTEXT_GAIN * any(x in said for x in CONTEXT[kind]))
 
 
+def looks_random(word: str) -> bool:
+    """Whether the characters of ``word`` are as mixed as those of a key, digits among them."""
+    counts = Counter(word.lower())
+    bits = -sum(n / len(word) * log2(n / len(word)) for n in counts.values())
+    mere = all(c in "0123456789abcdef" for c in counts)
+    return any(c.isdigit() for c in counts) and bits >= (RANDOM_HEX if mere else RANDOM)
+
+
+def _secrets(text: str):
+    """(start, end) of keys by their form, key blocks, and random words behind a name."""
+    for m in _KEY.finditer(text):
+        yield m.span()
+    done, ends = 0, True
+    for m in _BEGIN.finditer(text):
+        if m.start() >= done:
+            end = _FINISH.search(text, m.end()) if ends else None
+            ends = end is not None  # without one here there is none further on
+            done = end.end() if end else m.end()
+            yield m.start(), done
+    for m in _NAMED.finditer(text):
+        if looks_random(m[1]):
+            yield m.span(1)
+
+
+class Taken:
+    """Places that are taken. Each kind proposes its spans in order, so adding them is a merge in all."""
+
+    def __init__(self, base: list[tuple[int, int, int]]):
+        self.starts, self.most = [], []  # starts, and the furthest end up to each of them
+        for start, _, end in sorted(base):
+            self.starts.append(start)
+            self.most.append(max(end, self.most[-1] if self.most else 0))
+
+    def add(self, start: int, end: int) -> bool:
+        """Take the span unless it overlaps one that is taken."""
+        k = bisect_left(self.starts, end)
+        if k and self.most[k - 1] > start:
+            return False
+        # nothing that begins before ``end`` reaches beyond ``start``, so the furthest ends stay in order
+        self.starts.insert(k, start)
+        self.most.insert(k, end)
+        return True
+
+
 def further_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the further kinds, clear of ``base`` and of each other."""
+    proposed: list[tuple[str, int, int]] = [("secret", a, b) for a, b in _secrets(text)]
+    if re.search("[0-9]", text):
+        for kind, found in (("iban", _IBAN), ("national", _NATIONAL), ("local", _LOCAL)):
+            for m in found.finditer(text):
+                if kind == "iban" and not mod97(m[0].replace(" ", "")):
+                    continue
+                if _scored(text, kind, *m.span()) >= LEAST_SCORE:
+                    proposed.append((kind, *m.span()))
     out: list[tuple[int, int, int]] = []
-    if not re.search("[0-9]", text):
-        return out
-    taken = [(a, b) for a, _, b in base]
-    for kind, found in (("iban", _IBAN), ("national", _NATIONAL), ("local", _LOCAL)):
-        for m in found.finditer(text):
-            if kind == "iban" and not mod97(m[0].replace(" ", "")):
-                continue
-            if _scored(text, kind, *m.span()) < LEAST_SCORE:
-                continue
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                taken.append(m.span())
-                out.append((m.start(), KINDS.index(kind), m.end()))
+    taken = Taken(base)
+    for kind, start, end in proposed:
+        if taken.add(start, end):
+            out.append((start, KINDS.index(kind), end))
     return sorted(out)
 
 
