@@ -173,7 +173,7 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
             kind = "main" if tag in _MAIN and not blind else tag
             out.append((f"tag:{kind}", "", main > 0))
     if at < len(page):
-        text(page[at:])
+        text(page[at:].partition("<!--")[0])
     cut: list[bool] = []
     for b, own in enumerate(closed):  # an element stands behind the one around it
         cut.append((above[b] >= 0 and cut[above[b]]) or own and (never[b] or 2 * held[b] < total))
