@@ -38,6 +38,8 @@ BANDS, ROWS = 6, 2
 FREQUENT = 64
 #: At most so many frequent shingles go to the tasks; beyond, FREQUENT is doubled.
 MOST_FREQUENT = 250_000
+#: How much more members of a group a round compares than the one before.
+STEP = 8
 #: Bits for a value, and most bits, of the filters that spare rows a shuffle; a full one lets all pass.
 FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
 _MASKS = T.seeds(BANDS * ROWS, 9000)[:, None]
@@ -395,9 +397,10 @@ def _asked(
 ) -> DataFrame:
     """Links that join everything that the ``opened`` (set_id, group_id) can join; ``links`` are known.
 
-    Members of a group are numbered by their hash, up to the size of the group. Round k holds the sets against the members from
-    number 2^k - 1 up to 2^(k+1) - 2 of the groups that are still another component; before, each set is held
-    against the first member of one group. A group of m members is through after log2(m) rounds.
+    Members of a group are numbered by their hash, up to the size of the group. First each set is held against
+    the first member of one group. Each further round holds the sets against ``STEP`` times as many members as
+    before of the groups that are still another component, so a group of m members is through after about
+    log(m) / log(STEP) rounds.
     """
     members = groups.join(opened.select("group_id").distinct(), "group_id", "left_semi")
     place = F.expr("CAST(floor(pmod(xxhash64(set_id), 2147483648L) / 2147483648D * members) AS bigint)")
@@ -408,7 +411,10 @@ def _asked(
     if most is None:
         dropped(members, opened)
         return links
-    rounds = [(0, 1, True)] + [((1 << k) - 1, (1 << k + 1) - 1, False) for k in range((most + 1).bit_length())]
+    rounds, end = [(0, 1, True)], 0
+    while end <= most:
+        rounds.append((end, STEP * (end + 1), False))
+        end = STEP * (end + 1)
     for first, end, one in rounds:
         asking = opened
         if one:
