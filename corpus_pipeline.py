@@ -50,6 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = new_table_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        # small row groups, since a task holds one of every column of whole texts
+        stage(spark, docs, sf_dir).write.option("parquet.block.size", 16 << 20).parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
