@@ -9,7 +9,9 @@ document id that it reaches over links.
 2. The matrix holds, for each shingle, the groups that it occurs in. Only the shingles that can
    decide are looked at: linked sets share one of the first ``n - ceil(t n) + 1`` shingles of
    either in any common order. The order is by hash with frequent shingles last, so a line
-   that many documents share leads nowhere, and a family of near copies is one group.
+   that many documents share leads nowhere. Groups that meet at frequent shingles are merged first, in
+   rounds of a few comparisons a set, so a family of near copies is one group. Where the first shared
+   shingle stands bounds the overlap as well.
 3. A set is held against the union of each group that it meets: the union is kept as a bitmap of
    hashed shingles, and the bits that the set has and the union lacks bound the overlap from
    above. Only groups whose bound allows a link are opened.
@@ -38,6 +40,8 @@ BANDS, ROWS = 6, 2
 FREQUENT = 64
 #: At most so many frequent shingles go to the tasks; beyond, FREQUENT is doubled.
 MOST_FREQUENT = 250_000
+#: Groups at frequent shingles are merged while they make more than so many pairs for a row of the matrix.
+MERGED = 1
 #: How much more members of a group a round compares than the one before.
 STEP = 8
 #: Bits for a value, and most bits, of the filters that spare rows a shuffle; a full one lets all pass.
@@ -50,8 +54,8 @@ def prefix_length(n: int, threshold: int) -> int:
 
 
 def _bits(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap with at least two bits a shingle."""
-    words = 1 << max(0, ceil(np.log2(max(1, len(tokens) / 32))))
+    """A bitmap with at least four bits a shingle."""
+    words = 1 << max(0, ceil(np.log2(max(1, len(tokens) / 16))))
     bits = np.zeros(words, dtype=np.uint64)
     at = tokens & np.uint64(words * 64 - 1)
     np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
@@ -136,9 +140,9 @@ def _first(tokens: np.ndarray, n: int, threshold: int, frequent: np.ndarray):
 
 def _matrix_rows(sets: DataFrame, threshold: int, frequent: np.ndarray, wanted: np.ndarray | None,
                  changed_only: bool = False) -> DataFrame:
-    """(token, set_id, n) of the deciding shingles of ``sets`` that pass the filter ``wanted``.
+    """(token, set_id, n, rest) of the deciding shingles of ``sets`` that pass the filter ``wanted``.
 
-    ``changed_only`` gives only those that the frequent shingles moved up. A set of which too little
+    ``rest`` counts the set's shingles from this one on, in the common order. ``changed_only`` gives only those that the frequent shingles moved up. A set of which too little
     is known gives one row with a null token.
     """
     context = sets.sparkSession.sparkContext
@@ -150,7 +154,7 @@ def _matrix_rows(sets: DataFrame, threshold: int, frequent: np.ndarray, wanted:
         flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         ends = np.concatenate([[0], np.cumsum(np.diff(lists.offsets.to_numpy()))])
         ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        out_tokens, out_rows, unknown = [], [], []
+        out_tokens, out_rows, out_rest, unknown = [], [], [], []
         for row, n in enumerate(sizes):
             if not n:
                 continue
@@ -159,24 +163,29 @@ def _matrix_rows(sets: DataFrame, threshold: int, frequent: np.ndarray, wanted:
             if first is None:
                 unknown.append(row)
                 continue
+            rest = n - np.arange(len(first))
             if changed_only:
-                first = first[first >= prefix_length(n, threshold)]
+                moved = first >= prefix_length(n, threshold)
+                first, rest = first[moved], rest[moved]
             found = tokens[first]
             if bits is not None:
-                found = found[passes(bits, found)]
+                met = passes(bits, found)
+                found, rest = found[met], rest[met]
             if len(found):
                 out_tokens.append(found)
+                out_rest.append(rest)
                 out_rows.append(np.full(len(found), row))
         at = np.concatenate([*out_rows, unknown]).astype(np.int64)
         tokens = np.concatenate([*out_tokens, np.zeros(len(unknown), np.uint64)]).view(np.int64)
+        rest = np.concatenate([*out_rest, np.zeros(len(unknown))]).astype(np.int64)
         missing = np.arange(len(at)) >= len(at) - len(unknown)
         return pa.RecordBatch.from_arrays(
-            [pa.array(tokens, mask=missing), pa.array(ids[at]), pa.array(sizes[at])],
-            ["token", "set_id", "n"],
+            [pa.array(tokens, mask=missing), pa.array(ids[at]), pa.array(sizes[at]), pa.array(rest)],
+            ["token", "set_id", "n", "rest"],
         )
 
     picked = sets.select("set_id", "n", "tokens")
-    return T.map_batches(picked, work, "token bigint, set_id bigint, n bigint")
+    return T.map_batches(picked, work, "token bigint, set_id bigint, n bigint, rest bigint")
 
 
 def _among(df: DataFrame, column: str, wanted: DataFrame, key: str) -> DataFrame:
@@ -231,20 +240,27 @@ def _folded(words: np.ndarray, size: int) -> np.ndarray:
     return np.bitwise_or.reduce(words.reshape(-1, size), axis=0)
 
 
-def _allowed(rows: DataFrame, threshold: int, columns: list[str], schema: str) -> DataFrame:
-    """The rows whose bitmaps ``q_bits`` (of a set of q_n shingles) and ``g_bits`` allow a link."""
+def _allowed(rows: DataFrame, threshold: int, columns: list[str], schema: str, pairs: bool = True) -> DataFrame:
+    """The rows whose bitmaps allow a link: ``q_bits`` of a set of q_n shingles, ``g_bits`` of a set of g_n.
+
+    With ``pairs`` false the latter is the union of a group, and g_n the size of its smallest set.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.zeros(batch.num_rows, dtype=bool)
         names = batch.schema.names
-        left, right, sizes = (batch.column(names.index(x)) for x in ("q_bits", "g_bits", "q_n"))
-        sizes = sizes.to_numpy()
+        left, right = (batch.column(names.index(x)) for x in ("q_bits", "g_bits"))
+        q_n, g_n = (batch.column(names.index(x)).to_numpy() for x in ("q_n", "g_n"))
         for at in range(batch.num_rows):
             q = left[at].values.to_numpy().view(np.uint64)
             g = right[at].values.to_numpy().view(np.uint64)
             size = min(len(q), len(g))
-            lacking = int(np.bitwise_count(_folded(q, size) & ~_folded(g, size)).sum())
-            keep[at] = 100 * (sizes[at] - lacking) >= threshold * sizes[at]
+            q, g = _folded(q, size), _folded(g, size)
+            most = q_n[at] - int(np.bitwise_count(q & ~g).sum())
+            if pairs:
+                most = min(most, g_n[at] - int(np.bitwise_count(g & ~q).sum()))
+            # 100 * both >= threshold * (q_n + g_n - both), with the most that both can be
+            keep[at] = (100 + threshold) * most >= threshold * (q_n[at] + g_n[at])
         return batch.select(columns).filter(pa.array(keep))
 
     return T.map_batches(rows, work, schema)
@@ -274,6 +290,86 @@ def _leaders(sketches: DataFrame, threshold: int) -> DataFrame:
     return pairs.selectExpr("least(set_id, leader) AS a", "greatest(set_id, leader) AS b").distinct()
 
 
+def _verified(
+    pairs: DataFrame, facts: DataFrame, docs: DataFrame, sets: DataFrame, words: int, threshold: int
+) -> DataFrame:
+    """The written ``pairs`` (a, b) that link: bitmaps first, then whole texts. ``pairs`` is deleted."""
+    wanted = pairs.selectExpr("explode(array(a, b)) AS set_id")
+    known = _among(facts, "set_id", wanted, "set_id")
+    near = (
+        pairs.join(known.selectExpr("set_id AS a", "n AS q_n", "bits AS q_bits"), "a")
+        .join(known.selectExpr("set_id AS b", "n AS g_n", "bits AS g_bits"), "b")
+        .select("a", "b", "q_n", "q_bits", "g_n", "g_bits")
+    )
+    near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
+    dropped(pairs)
+    links = _linked(near, docs, sets, words, threshold)
+    dropped(near)
+    return links
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """(set_id, group_id, members) of the components of ``links``; written."""
+    groups = staged(components(links).selectExpr("node AS set_id", "component AS group_id"), "nodes")
+    size = groups.groupBy("group_id").agg(F.count("*").alias("members"))
+    sized = staged(groups.join(size, "group_id").select("set_id", "group_id", "members"), "groups")
+    dropped(groups)
+    return sized
+
+
+def _gathered(
+    rows: DataFrame, groups: DataFrame, links: DataFrame, facts: DataFrame, docs: DataFrame, sets: DataFrame,
+    words: int, threshold: int, frequent: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``groups`` and ``links`` with the groups merged that meet at shingles of more than ``frequent`` sets.
+
+    In a round, each set at such a shingle is held against one set of the shingle's largest group and one
+    of any group, both drawn by a hash that changes with the round, and of all it meets so against the two
+    met most often. A family of near copies comes together this way at a cost that grows with its rows, not with
+    its pairs. Rounds end when the pairs of sets and groups left are few against the rows, or fell by less than a
+    quarter; what is still apart is asked by the matrix, so the rounds decide no non-link.
+    """
+    often = rows.groupBy("token").count().filter(f"count > {frequent}").select("token")
+    crowded = staged(rows.join(often, "token").select("token", "set_id", "n"), "crowded")
+    few, before, number = MERGED * rows.count(), None, 0
+    while True:
+        met = _grown(crowded, groups)
+        per_token = met.groupBy("token", "group_id").count().groupBy("token").agg(F.count("*").alias("g"))
+        cost = per_token.agg(F.sum(F.expr("CAST(g AS double) * (g - 1) / 2"))).first()[0] or 0
+        if cost <= few or (before is not None and cost > 0.75 * before):
+            break
+        before, number = cost, number + 1
+        drawn = F.xxhash64("set_id", F.lit(number))
+        heads = met.groupBy("token").agg(
+            F.max(F.struct("members", drawn.alias("h"), "set_id", "n", "group_id")).alias("x"),
+            F.min(F.struct(drawn.alias("h"), "members", "set_id", "n", "group_id")).alias("y"),
+        )
+        heads = heads.selectExpr(
+            "token",
+            "explode(array(struct(x.set_id, x.n, x.group_id), struct(y.set_id, y.n, y.group_id))) AS head",
+        )
+        held = (
+            met.join(heads, "token")
+            .filter("group_id <> head.group_id AND " + _sizes_fit("n", "head.n", threshold))
+            .groupBy("set_id", F.col("head.set_id").alias("head")).agg(F.count("*").alias("times"))
+        )
+        best = held.groupBy("set_id").agg(
+            F.max(F.struct("times", "head")).alias("x"),
+            F.max(F.struct(F.xxhash64("head", F.lit(number)), "head")).alias("y"),
+        )
+        pairs = best.selectExpr("set_id", "explode(array_distinct(array(x.head, y.head))) AS head")
+        pairs = pairs.selectExpr("least(set_id, head) AS a", "greatest(set_id, head) AS b").distinct()
+        more = _verified(staged(pairs, "heads"), facts, docs, sets, words, threshold)
+        if more.isEmpty():
+            dropped(more)
+            break
+        last, links = links, staged(links.union(more), "links")
+        dropped(last, more, groups)
+        groups = _groups(links)
+    dropped(crowded)
+    return groups, links
+
+
 def _grown(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the group of their set and its size; a set without links is its own group."""
     return rows.join(groups, "set_id", "left").selectExpr(
@@ -334,47 +430,39 @@ def similar(
     pairs = staged(_leaders(sketches, threshold), "leaders")
     dropped(sketches)
     facts = sets.select("set_id", "n", "bits")
-    wanted = pairs.selectExpr("explode(array(a, b)) AS set_id")
-    known = _among(facts, "set_id", wanted, "set_id")
-    near = (
-        pairs.join(known.selectExpr("set_id AS a", "n AS q_n", "bits AS q_bits"), "a")
-        .join(known.selectExpr("set_id AS b", "bits AS g_bits"), "b")
-        .select("a", "b", "q_n", "q_bits", "g_bits")
-    )
-    near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
-    dropped(pairs)
-    links = _linked(near, docs, sets, words, threshold)
-    dropped(near)
-    groups = components(links).selectExpr("node AS set_id", "component AS group_id")
-    size = groups.groupBy("group_id").agg(F.count("*").alias("members"))
-    groups = staged(groups.join(size, "group_id").select("set_id", "group_id", "members"), "groups")
+    links = _verified(pairs, facts, docs, sets, words, threshold)
+    groups, links = _gathered(rows, _groups(links), links, facts, docs, sets, words, threshold, frequent)
 
     # the matrix: shingles by group; sets meet groups, the smaller group's sets ask
     queries = _grown(rows, groups)
     matrix = queries.groupBy("token", "group_id").agg(
-        F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most")
-    )
+        F.first("members").alias("members"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.max("rest").alias("rest"),
+    )
     q, m = queries.alias("q"), matrix.alias("m")
     asks = (
         q.join(m, F.expr(
             "q.token = m.token AND q.group_id <> m.group_id "
             "AND (q.members < m.members OR q.members = m.members AND q.group_id < m.group_id) "
-            f"AND 100 * q.n >= {threshold} * m.least AND 100 * m.most >= {threshold} * q.n"
+            f"AND 100 * q.n >= {threshold} * m.least AND 100 * m.most >= {threshold} * q.n "
+            # no more than the rest of either can be shared from the first shared shingle on
+            f"AND {100 + threshold} * least(q.rest, m.rest) >= {threshold} * (q.n + m.least)"
         ))
         .selectExpr("q.set_id AS set_id", "m.group_id AS group_id").distinct()
     )
     asks = staged(asks, "asks")
     askers = _among(facts, "set_id", asks, "set_id")
     own = _among(facts, "set_id", asks, "group_id").join(groups, "set_id", "left_anti")
-    unions = own.selectExpr("set_id AS group_id", "bits AS g_bits").union(
+    unions = own.selectExpr("set_id AS group_id", "n AS g_n", "bits AS g_bits").union(
         _unions(_among(facts, "set_id", groups, "set_id").join(groups, "set_id"))
     )
     met = (
         asks.join(askers.selectExpr("set_id", "n AS q_n", "bits AS q_bits"), "set_id")
         .join(unions, "group_id")
-        .select("set_id", "group_id", "q_n", "q_bits", "g_bits")
+        .select("set_id", "group_id", "q_n", "q_bits", "g_n", "g_bits")
     )
-    opened = staged(_allowed(met, threshold, ["set_id", "group_id"], "set_id bigint, group_id bigint"), "opened")
+    opened = _allowed(met, threshold, ["set_id", "group_id"], "set_id bigint, group_id bigint", pairs=False)
+    opened = staged(opened, "opened")
     dropped(rows, asks)
     links = _asked(opened, groups, links, facts, docs, sets, words, threshold)
     dropped(groups)
@@ -422,10 +510,10 @@ def _asked(
         met = members.filter(f"number >= {first} AND number < {end}")
         pairs = staged(asking.join(met, "group_id").selectExpr("set_id AS a", "other AS b"), "pairs")
         near = (
-            pairs.join(facts.selectExpr("set_id AS a", "n", "bits AS g_bits"), "a")
+            pairs.join(facts.selectExpr("set_id AS a", "n AS g_n", "bits AS g_bits"), "a")
             .join(facts.selectExpr("set_id AS b", "n AS q_n", "bits AS q_bits"), "b")
-            .filter(_sizes_fit("q_n", "n", threshold))
-            .select("a", "b", "q_n", "q_bits", "g_bits")
+            .filter(_sizes_fit("q_n", "g_n", threshold))
+            .select("a", "b", "q_n", "q_bits", "g_n", "g_bits")
         )
         near = staged(_allowed(near, threshold, ["a", "b"], "a bigint, b bigint"), "near")
         dropped(pairs)
@@ -461,12 +549,12 @@ def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _unions(members: DataFrame) -> DataFrame:
-    """(group_id, g_bits): the bitmaps of a group's sets joined, at the size of its smallest."""
-    size = members.groupBy("group_id").agg(F.min(F.size("bits")).alias("size"))
+    """(group_id, g_n, g_bits): the bitmaps of a group's sets joined, at the size of its smallest set."""
+    size = members.groupBy("group_id").agg(F.min(F.size("bits")).alias("size"), F.min("n").alias("g_n"))
     words = members.select("group_id", F.posexplode("bits").alias("k", "word")).join(size, "group_id")
-    words = words.groupBy("group_id", F.expr("k % size").alias("k")).agg(F.bit_or("word").alias("word"))
-    listed = words.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("k", "word"))).alias("w"))
-    return listed.selectExpr("group_id", "w.word AS g_bits")
+    words = words.groupBy("group_id", "g_n", F.expr("k % size").alias("k")).agg(F.bit_or("word").alias("word"))
+    listed = words.groupBy("group_id", "g_n").agg(F.sort_array(F.collect_list(F.struct("k", "word"))).alias("w"))
+    return listed.selectExpr("group_id", "g_n", "w.word AS g_bits")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
