@@ -533,6 +533,8 @@ def _asked(
             dropped(last, now)
             if opened.isEmpty():
                 break
+        else:
+            dropped(more)
     dropped(members, opened)
     return links
 
