@@ -57,3 +57,32 @@ def test_ecdf_ranks_ties_by_id_and_skips_missing_values(spark):
     assert {k: r.value_cumsum for k, r in got.items()} == {"a": 5, "b": 10, "c": None, "d": 20}
     assert got["b"].value_cdf == 0.5
     assert got["d"].value_rank_pctl == 1
+
+
+def test_running_totals_exchange_the_rows_once(spark):
+    df = spark.range(0, 4000, 1, 6).selectExpr("id % 3 AS g", "id", "id * 1.5D AS v")
+    totals = running_totals(df, ["g"], ["id"], {"cum": F.col("v")}, 5, totals={"cum": "all"})
+    got = totals.collect()
+    plan = totals._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the range exchange is behind the stage; what is left are the border rows and their broadcast
+    below = plan[: plan.index("BroadcastExchange")]
+    assert "Exchange hashpartitioning" not in below and "Bucketed: true" in below
+    assert spark.catalog.listTables() == []
+    assert len(got) == 4000 and {(r.g, r["all"]) for r in got} == {
+        (g, sum(i * 1.5 for i in range(g, 4000, 3))) for g in range(3)
+    }
+
+
+def test_running_totals_of_missing_and_many_groups(spark):
+    rows = [(None if i % 5 == 0 else f"g{i % 60}", i) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, id int").repartition(3)
+    totals = running_totals(df, ["g"], ["id"], {"n": F.lit(1)}, 7, totals={"n": "all"})
+    place, size = {}, {}
+    for g, _ in rows:
+        size[g] = size.get(g, 0) + 1
+    got = {r.id: (r.n, r["all"]) for r in totals.collect()}
+    for g, i in rows:
+        place[g] = place.get(g, 0) + 1
+        assert got[i] == (place[g], size[g])
+    empty = running_totals(df.limit(0), ["g"], ["id"], {"n": F.lit(1)}, 7)
+    assert empty.columns == ["g", "id", "n"] and empty.isEmpty()
