@@ -259,8 +259,14 @@ def runs_of_area(
     runs: DataFrame, ski_area_id: str, coordinates: str = "run_coordinates_clean"
 ) -> DataFrame:
     """Points of one area's runs with their segment metrics, for export."""
-    chosen = runs.filter(F.array_contains("ski_area_ids", ski_area_id))
-    points = chosen.select("run_id", "run_name", "run_difficulty", coordinates)
+    return run_points(runs.filter(F.array_contains("ski_area_ids", ski_area_id)), coordinates)
+
+
+def run_points(
+    runs: DataFrame, coordinates: str = "run_coordinates_clean", keys: Sequence[str] = ()
+) -> DataFrame:
+    """Points of the runs with their segment metrics, for export; ``keys`` names further columns."""
+    points = runs.select(*keys, "run_id", "run_name", "run_difficulty", coordinates)
     element = runs.schema[coordinates].dataType.elementType
     enriched = set(SEGMENT_FIELDS) <= set(element.fieldNames())
     exploded = (explode_coordinates if enriched else explode_segments)(points, coordinates)

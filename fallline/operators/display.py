@@ -7,6 +7,7 @@ from fallline.functions.filters import display_filters
 from fallline.functions.text import bin_key, flag_emoji, prefix_columns, round_doubles
 from fallline.operators.areas import explode_bins
 from fallline.operators.rollups import filtered
+from fallline.operators.tables import first_of_each
 
 #: Shown histogram bins, as resolution and wind.
 CARDINAL_BINS = ((4, "N"), (4, "E"), (4, "S"), (4, "W"), (2, "N"))
@@ -131,6 +132,31 @@ def rose_geometry(
     )
 
 
+def _showable(max_name: int) -> list[Column]:
+    return [
+        F.col("run_count") >= 3,
+        F.col("combined_vertical") >= 50,
+        F.col("ski_area_name") != "",
+        F.length("ski_area_name") < max_name,
+    ]
+
+
+def showcase_countries(
+    areas: DataFrame, order: Column, sample: int = 48, max_name: int = 20, num_bins: int = 32
+) -> DataFrame:
+    """Histograms of a reproducible sample of the areas of every country at once.
+
+    Areas without a country are left out.
+    """
+    shown = filtered(areas, [*_showable(max_name), F.col("country").isNotNull()])
+    keys = ["country", "ski_area_id", "ski_area_name"]
+    return (
+        first_of_each(shown.select(*keys, "bearings"), ["country"], [order, "ski_area_id"], sample)
+        .transform(explode_bins, keys)
+        .filter(F.col("num_bins") == num_bins)
+    )
+
+
 def showcase_areas(
     areas: DataFrame,
     country: str,
@@ -145,13 +171,7 @@ def showcase_areas(
     The sample is the first rows by ``order``, a hash of the id, so it does not depend on how the
     table is partitioned; Spark keeps only the best rows of each task.
     """
-    predicates = [
-        F.col("run_count") >= 3,
-        F.col("combined_vertical") >= 50,
-        F.col("ski_area_name") != "",
-        F.col("country") == country,
-        F.length("ski_area_name") < max_name,
-    ]
+    predicates = [*_showable(max_name), F.col("country") == country]
     sampled = filtered(areas, predicates).orderBy(order, "ski_area_id").limit(sample)
     chosen = areas.filter(F.col("ski_area_name") == always)
     columns = ["ski_area_id", "ski_area_name", "bearings"]

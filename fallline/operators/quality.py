@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,12 +127,53 @@ def validate_areas(areas: DataFrame) -> DataFrame:
         ]
     )
     report = counted.select(F.inline(entries))
-    unique = (
+    return report.unionByName(_uniqueness(areas))
+
+
+def observed(areas: DataFrame) -> tuple[DataFrame, Observation]:
+    """The table with a count of the rows that break each row rule, taken by whatever pass writes it.
+
+    Read the counts with :func:`observed_problems` after one action on the returned table.
+    """
+    observation = Observation()
+    counts = [F.count_if(bad).alias(f"r{i}") for i, bad in enumerate(row_rules(areas.columns).values())]
+    return areas.observe(observation, *counts), observation
+
+
+def observed_problems(areas: DataFrame, observation: Observation) -> list[str]:
+    """:func:`problems` of a table written under :func:`observed`: only the keys are read again."""
+    if found := schema_problems(areas.schema):
+        return found
+    counts = observation.get
+    found = [
+        f"{rule}: {counts[f'r{i}']} rows" for i, rule in enumerate(row_rules(areas.columns)) if counts[f"r{i}"]
+    ]
+    return found + [f"{r.rule}: {r.violations} rows" for r in _uniqueness(areas).collect() if r.violations]
+
+
+def broken_rows(areas: DataFrame, key: str = "ski_area_id") -> DataFrame:
+    """The side table of rows that break a row rule: ``key``, ``rules`` with a bit per rule, and their names.
+
+    Bit i stands for the i-th of :func:`row_rules`. Rows that keep all rules are left out, by a scan of the columns
+    that rules name. Rows with the same key stay apart.
+    """
+    rules = row_rules(areas.columns)
+    if len(rules) > 63:
+        raise ValueError("a bit per rule leaves room for 63 rules")
+    mask = F.lit(0).cast("bigint")
+    for i, bad in enumerate(rules.values()):
+        mask = mask.bitwiseOR(F.when(bad, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
+    names = F.array(*[F.when(F.getbit("rules", F.lit(i)) == 1, F.lit(n)) for i, n in enumerate(rules)])
+    marked = areas.select(key, mask.alias("rules")).filter(F.col("rules") != 0)
+    return marked.withColumn("broken", F.array_compact(names))
+
+
+def _uniqueness(areas: DataFrame) -> DataFrame:
+    return (
         duplicate_keys(areas, ["ski_area_id"])
         .agg(F.coalesce(F.sum("count"), F.lit(0)).alias("violations"))
         .select(F.lit("ski_area_id is unique").alias("rule"), "violations")
     )
-    return report.unionByName(unique)
 
 
 def duplicate_bins(distribution: DataFrame) -> DataFrame:

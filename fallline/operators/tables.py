@@ -1,6 +1,8 @@
 """Small operators on any table."""
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +42,46 @@ def pending_keys(
     return wanted if overwrite else wanted.join(existing.select(key), key, "left_anti")
 
 
+def content_digests(df: DataFrame, key: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """SHA-256 of each row's content: ``key`` and ``digest``, to be kept beside the output made of the row.
+
+    The content is the JSON of ``columns`` (all by default) by name, with NULL fields, so neither the
+    order of columns nor a moved value goes unseen.
+    """
+    content = F.to_json(F.struct(*sorted(columns or df.columns)), {"ignoreNullFields": "false"})
+    return df.select(key, F.sha2(content, 256).alias("digest"))
+
+
+def key_changes(current: DataFrame, kept: DataFrame, key: str) -> DataFrame:
+    """Keys that are new, changed or removed against the digests kept from an earlier time.
+
+    Both tables have ``key``, distinct, and ``digest``. Only those two columns are shuffled. Keys with
+    the same digest are left out; a NULL key equals a NULL key.
+    """
+    now = current.select(F.col(key).alias("_now"), F.col("digest").alias("_digest"), F.lit(True).alias("_is"))
+    was = kept.select(F.col(key).alias("_then"), F.col("digest").alias("_old"), F.lit(True).alias("_was"))
+    change = (
+        F.when(F.col("_was").isNull(), "new")
+        .when(F.col("_is").isNull(), "removed")
+        .when(~F.col("_digest").eqNullSafe(F.col("_old")), "changed")
+    )
+    return (
+        now.join(was, F.col("_now").eqNullSafe(F.col("_then")), "full")
+        .select(F.coalesce("_now", "_then").alias(key), change.alias("change"))
+        .filter("change IS NOT NULL")
+    )
+
+
+def first_of_each(df: DataFrame, group: list[str], order: list[Column | str], count: int) -> DataFrame:
+    """The first ``count`` rows of each group by ``order``.
+
+    Spark cuts each task's rows to ``count`` per group before the shuffle, so a group that holds most of the
+    table sends no more rows than ``count`` per task. The rows of NULL are a group of their own.
+    """
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= count).drop("_place")
+
+
 def resource_counts(areas: DataFrame, country: str = "United States") -> DataFrame:
     """Headline totals of the area table in one row."""
     operating_here = (F.col("osm_status") == "operating") & (F.col("country") == country)

@@ -4,7 +4,7 @@ The text runs on the test tables in another engine. Steps shared by many queries
 expressions, and each query names the ones it needs.
 """
 
-from fallline.plans.registry import COUNTRY, LINE, OFF_TIES
+from fallline.plans.registry import AREAS, COUNTRY, LINE, OFF_TIES
 from fallline.schema import BEARING_STATS, COMPASS_WINDS, INEQUALITY_METRICS
 
 # ---------------------------------------------------------------------------
@@ -592,6 +592,19 @@ def oracle_sql() -> dict[str, str]:
                    SELECT run_no FROM bridge JOIN dim USING (ski_area_id)
                    WHERE osm_status = 'abandoned') USING (run_no)""",
         ),
+        "subset_collection": sql(
+            "home bridge dim",
+            """SELECT form, run_id FROM home SEMI JOIN (
+                   SELECT run_no FROM bridge JOIN dim USING (ski_area_id)
+                   WHERE osm_status = 'abandoned') USING (run_no),
+                   (VALUES ('lines'), ('document')) AS forms(form)""",
+        ),
+        "stored_area_runs": sql(
+            "seg bridge",
+            f"""SELECT ski_area_id, run_id, "index", round(elevation, 6) AS elevation,
+                       round(distance_vertical, 6) AS distance_vertical
+                FROM seg JOIN bridge USING (run_no, run_id) WHERE ski_area_id IN {AREAS}""",
+        ),
         "manifest_read": _MANIFEST,
         "file_manifest": _MANIFEST,
         "validate_faults": sql(
@@ -605,6 +618,15 @@ def oracle_sql() -> dict[str, str]:
                                 CASE WHEN count(*) FILTER (k % 13 = 5) > 1
                                      THEN count(*) FILTER (k % 13 = 5) ELSE 0 END FROM a""",
         ),
+        "broken_rows": sql(
+            "area",
+            """, a AS (SELECT *, CAST(substr(ski_area_id, 2) AS BIGINT) AS k FROM area),
+               b AS (SELECT k, CASE WHEN k % 13 = 5 THEN 'a5' ELSE ski_area_id END AS ski_area_id FROM a)
+               SELECT ski_area_id, 'run_count is in range' AS rule FROM b WHERE k % 7 = 1
+               UNION ALL SELECT ski_area_id, 'latitude is in range' FROM b WHERE k % 5 = 2
+               UNION ALL SELECT ski_area_id, 'bearing_mean is in range' FROM b WHERE k % 9 = 3
+               UNION ALL SELECT ski_area_id, 'osm_status is an allowed value' FROM b WHERE k % 11 = 4""",
+        ),
         "bin_faults": sql(
             "labelled",
             """SELECT ski_area_id, CAST(num_bins AS INTEGER) AS num_bins,
@@ -1088,6 +1110,19 @@ def oracle_sql() -> dict[str, str]:
                       WHERE ski_area_name = 'Supplier#000000001')
                      JOIN labelled USING (ski_area_id) WHERE num_bins = 32""",
         ),
+        "showcase_countries": sql(
+            "area labelled",
+            """SELECT country, ski_area_id, ski_area_name, CAST(num_bins AS INTEGER) AS num_bins,
+                      CAST(bin_index AS INTEGER) AS bin_index, bin_center,
+                      round(bin_count, 4) AS bin_count,
+                      round(bin_proportion, 6) AS bin_proportion, bin_label
+               FROM (SELECT country, ski_area_id, ski_area_name FROM area
+                     WHERE run_count >= 3 AND combined_vertical >= 50 AND ski_area_name <> ''
+                           AND country IS NOT NULL AND length(ski_area_name) < 20
+                     QUALIFY row_number() OVER (PARTITION BY country
+                         ORDER BY (CAST(substr(ski_area_id, 2) AS BIGINT) * 7919) % 10007, ski_area_id) <= 2)
+                    JOIN labelled USING (ski_area_id) WHERE num_bins = 32""",
+        ),
         "resource_counts": sql(
             "area",
             f"""SELECT count(*) AS ski_areas,
@@ -1105,6 +1140,13 @@ def oracle_sql() -> dict[str, str]:
         "pending_keys": sql(
             "area", f"SELECT ski_area_id FROM area WHERE {_SHOWN} AND NOT lift_count >= 10"
         ),
+        "key_changes": sql(
+            "area",
+            """SELECT ski_area_id, CASE WHEN k % 5 = 2 THEN 'removed' WHEN k % 9 = 3 THEN 'new'
+                                   ELSE 'changed' END AS change
+               FROM (SELECT ski_area_id, CAST(substr(ski_area_id, 2) AS BIGINT) AS k FROM area)
+               WHERE (k % 5 = 2 AND k % 9 <> 3) OR (k % 5 <> 2 AND (k % 9 = 3 OR k % 7 = 1))""",
+        ),
         "path_edges": sql(
             "seg",
             """SELECT run_id, "index", round(longitude, 7) AS longitude,

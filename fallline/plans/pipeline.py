@@ -3,12 +3,14 @@
 import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from fallline.operators.areas import area_dimension, area_metrics
 from fallline.operators.display import frontend_table
-from fallline.operators.quality import problems, require_valid, schema_problems
+from fallline.operators.quality import broken_rows, observed, observed_problems, require_valid, schema_problems
 from fallline.operators.rollups import PRESETS, of_preset, rollup_presets
+from fallline.operators.tables import content_digests, key_changes
 from fallline.sources.features import (
     load_lifts,
     load_runs,
@@ -35,6 +37,14 @@ class Layout:
     def areas(self) -> str:
         return f"{self.root}/ski_area_metrics.parquet"
 
+    @property
+    def broken(self) -> str:
+        return f"{self.root}/broken_areas.parquet"
+
+    @property
+    def digests(self) -> str:
+        return f"{self.root}/area_digests.parquet"
+
     @property
     def rollups(self) -> str:
         return f"{self.root}/rollups.parquet"
@@ -58,8 +68,9 @@ def analyze(
 ) -> DataFrame:
     """Source files to the stored run and area tables. Returns the stored area table.
 
-    With ``skip_runs`` the run table of an earlier call is used again. Broken rules of the area table
-    are logged as warnings; :func:`validate` raises for them.
+    With ``skip_runs`` the run table of an earlier call is used again. The row rules of the area table are counted
+    by the pass that writes it. Broken ones are logged as warnings, and their rows written to a side table;
+    :func:`validate` raises for them.
     """
     if not skip_runs:
         export_runs(load_runs(read_features(spark, sources["runs"], "runs", one_per_line)), layout.runs)
@@ -67,13 +78,37 @@ def analyze(
         load_ski_areas(read_features(spark, sources["ski_areas"], "ski_areas", one_per_line)),
         load_lifts(read_features(spark, sources["lifts"], "lifts", one_per_line)),
     )
-    export_table(area_metrics(dimension, scan_runs(spark, layout.runs)), layout.areas)
+    counted, observation = observed(area_metrics(dimension, scan_runs(spark, layout.runs)))
+    export_table(counted, layout.areas)
     areas = filtered_scan(spark, layout.areas)
-    for problem in problems(areas):
+    found = observed_problems(areas, observation)
+    for problem in found:
         logger.warning("%s: %s", layout.areas, problem)
+    # a table without faults is not read again for an empty side table
+    export_table(broken_rows(areas) if found else broken_rows(areas).limit(0), layout.broken)
     return areas
 
 
+def changed_areas(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Areas that are new, changed or removed since :func:`remember_areas`, so their outputs are stale.
+
+    Before the first call of that, all are new.
+    """
+    now = content_digests(filtered_scan(spark, layout.areas), "ski_area_id")
+    try:
+        kept = spark.read.schema(now.schema).parquet(layout.digests)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        kept = spark.createDataFrame([], now.schema)
+    return key_changes(now, kept, "ski_area_id")
+
+
+def remember_areas(spark: SparkSession, layout: Layout) -> None:
+    """Keep the digests of the areas; to be called when all outputs made of them are written."""
+    export_table(content_digests(filtered_scan(spark, layout.areas), "ski_area_id"), layout.digests)
+
+
 def validate(spark: SparkSession, layout: Layout) -> DataFrame:
     """Raise unless the stored area table keeps its rules."""
     return require_valid(filtered_scan(spark, layout.areas))

@@ -31,6 +31,8 @@ GRID = H.Grid()
 #: The country whose regions are rolled up, and the line of ``side_of_line``.
 COUNTRY = "NATION_3"
 LINE = ((-40.0, -12.5), (95.0, 31.0))
+#: The areas whose runs are read from the clustered table; one of them has no runs.
+AREAS = ("a1", "a12", "a9")
 NUMBER_FILTERS = ("15", "-20", "-", "-0", "[10, 20]", "(10, 20)", "(, 5]", "[3,", "about 7")
 
 
@@ -299,6 +301,20 @@ def subset_by_keys(spark, sf):
     )
 
 
+@query
+def subset_collection(spark, sf):
+    """A subset written as one document in numbered parts, read back as lines and as a document."""
+    path = new_table_path(spark, "subset.geojson")
+    chosen = dimension(spark, sf).filter(F.col("osm_status") == "abandoned").select("ski_area_id")
+    P.write_feature_collection(P.subset_by_ids(run_features(spark, sf), chosen, "runs"), path)
+    read = {
+        "lines": G.read_feature_lines(spark, path, "runs"),
+        "document": G.read_feature_collection(spark, path, "runs", parts=True),
+    }
+    forms = [f.select(F.lit(n).alias("form"), F.col("properties.id").alias("run_id")) for n, f in read.items()]
+    return forms[0].unionByName(forms[1])
+
+
 @query
 def geojson_document(spark, sf):
     """A whole collection in one document per file."""
@@ -427,6 +443,15 @@ def runs_of_area(spark, sf):
     return shown(spark.read.parquet(path).select(*columns))
 
 
+@query
+def stored_area_runs(spark, sf):
+    """Points of the runs of three areas, from a table of runs clustered by area."""
+    path = new_table_path(spark, "area-runs")
+    P.export_area_runs(runs(spark, sf), path)
+    points = A.run_points(P.scan_area_runs(spark, path, AREAS), keys=["ski_area_id"])
+    return shown(points.select("ski_area_id", "run_id", "index", "elevation", "distance_vertical"))
+
+
 @query
 def union_all(spark, sf):
     lengths = [
@@ -856,6 +881,12 @@ def showcase_areas(spark, sf):
     )
 
 
+@query
+def showcase_countries(spark, sf):
+    number = F.substring("ski_area_id", 2, 20).cast("bigint")
+    return shown(D.showcase_countries(stored_metrics(spark, sf), order=(number * 7919) % 10007, sample=2))
+
+
 @query
 def resource_counts(spark, sf):
     return B.resource_counts(metrics(spark, sf), COUNTRY)
@@ -874,6 +905,20 @@ def pending_keys(spark, sf):
     return B.pending_keys(wanted, table.filter(F.col("lift_count") >= 10), "ski_area_id")
 
 
+@query
+def key_changes(spark, sf):
+    """The area table against digests of an earlier one, in which some areas differ, or lack, or are more."""
+    table = stored_metrics(spark, sf)
+    number = F.substring("ski_area_id", 2, 20).cast("bigint")
+    changed = F.when(number % 7 == 1, F.col("run_count") + 1).otherwise(F.col("run_count"))
+    earlier = table.filter(number % 9 != 3).withColumn("run_count", changed)
+    return B.key_changes(
+        B.content_digests(table.filter(number % 5 != 2), "ski_area_id"),
+        B.content_digests(earlier, "ski_area_id"),
+        "ski_area_id",
+    )
+
+
 # -- network ----------------------------------------------------------------
 
 
@@ -904,8 +949,20 @@ def validate_metrics(spark, sf):
 @query
 def validate_faults(spark, sf):
     """The area table with faults put into it, which the rules have to find."""
+    names = ("run_count is in range", "latitude is in range", "bearing_mean is in range",
+             "osm_status is an allowed value", "ski_area_id is unique")
+    return Q.validate_areas(_faulty(spark, sf)).filter(F.col("rule").isin(*names))
+
+
+@query
+def broken_rows(spark, sf):
+    """The rows with faults, from the side table."""
+    return Q.broken_rows(_faulty(spark, sf)).select("ski_area_id", F.explode("broken").alias("rule"))
+
+
+def _faulty(spark: SparkSession, sf: str) -> DataFrame:
     number = F.substring("ski_area_id", 2, 20).cast("bigint")
-    faulty = stored_metrics(spark, sf).withColumns(
+    return stored_metrics(spark, sf).withColumns(
         {
             "run_count": F.when(number % 7 == 1, F.lit(-1)).otherwise(F.col("run_count")),
             "latitude": F.when(number % 5 == 2, F.lit(90.5)).otherwise(F.col("latitude")),
@@ -914,9 +971,6 @@ def validate_faults(spark, sf):
             "ski_area_id": F.when(number % 13 == 5, F.lit("a5")).otherwise(F.col("ski_area_id")),
         }
     )
-    names = ("run_count is in range", "latitude is in range", "bearing_mean is in range",
-             "osm_status is an allowed value", "ski_area_id is unique")
-    return Q.validate_areas(faulty).filter(F.col("rule").isin(*names))
 
 
 @query

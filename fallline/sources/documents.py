@@ -25,16 +25,21 @@ from fallline.session import materialize
 #: Splits whose states are sent to all tasks at most; with splits of 128 MB, 128 TB of documents at once.
 MOST_SPLITS = 1_000_000
 
+#: A numbered part of a document is smaller than this, a terabyte.
+PART_BYTES = 1 << 40
+
 _QUOTE, _OPEN, _CLOSE, _LIST, _END = (ord(c) for c in '"{}[]')
 _SUMMARY = "file bigint, split bigint, odd boolean, braces array<bigint>, brackets array<bigint>"
 _PIECES = "file bigint, split bigint, number bigint, role string, text string"
 
 
-def _records(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _records(spark: SparkSession, path: str | list[str], parts: bool) -> DataFrame:
+    file, split = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    if parts:  # the folder is the file, and a part's splits stand behind those of the parts before
+        part = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("bigint")
+        file, split = F.regexp_replace(file, "/[^/]*$", ""), part * PART_BYTES + split
     records = spark.read.option("lineSep", "{").text(path)
-    return records.select(
-        "value", F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split")
-    )
+    return records.select("value", F.xxhash64(file).alias("file"), split.alias("split"))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], bool, bytes]]:
@@ -50,7 +55,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
             key = (int(keys[0, begin]), int(keys[1, begin]))
             text = b"{".join(values[begin:end])
             # every record but the first of a file stands behind a brace
-            yield key, key != before, text if key[1] == 0 and key != before else b"{" + text
+            yield key, key != before, text if key[1] % PART_BYTES == 0 and key != before else b"{" + text
             before = key
 
 
@@ -185,14 +190,15 @@ def _pieces(records: DataFrame, states: dict[tuple[int, int], tuple]) -> DataFra
     return records.mapInArrow(run, _PIECES)
 
 
-def cut_features(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def cut_features(spark: SparkSession, path: str | list[str], parts: bool = False) -> DataFrame:
     """The text of every feature (``line``) of the feature collections at ``path``.
 
     Documents of another type, and documents that end too early, fail the job. Objects in other lists of
     the document's top level count as features. The features are written to the shared folder once, so
-    they may be read again. Documents are cut in any number of places; a feature is held whole.
+    they may be read again. Documents are cut in any number of places; a feature is held whole. With
+    ``parts`` each folder at ``path`` is one document in numbered parts, as Spark names the files it writes.
     """
-    records = _records(spark, path)
+    records = _records(spark, path, parts)
     rows = _states(materialize(records.mapInArrow(_summaries, _SUMMARY))).limit(MOST_SPLITS + 1).collect()
     if len(rows) > MOST_SPLITS:
         raise ValueError(f"more than {MOST_SPLITS} splits; read fewer documents at once, or larger splits")

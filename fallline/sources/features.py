@@ -58,20 +58,23 @@ def _parsed(lines: DataFrame, kind: str, skipped: Column) -> DataFrame:
     return read.select("line", F.inline(features)).drop(_CORRUPT)
 
 
-def read_feature_collection(spark: SparkSession, path: str | list[str], kind: str) -> DataFrame:
+def read_feature_collection(
+    spark: SparkSession, path: str | list[str], kind: str, parts: bool = False
+) -> DataFrame:
     """Features of whole-document feature collections, of any size.
 
     A document is cut into features by as many tasks as it has splits, see :func:`cut_features`. A
-    document of another type, and one that is cut off, fails the job.
+    document of another type, and one that is cut off, fails the job. With ``parts`` a folder of numbered
+    parts, as ``write_feature_collection`` makes it, is one document.
     """
-    return _parsed(cut_features(spark, path), kind, F.lit(False)).drop("line")
+    return _parsed(cut_features(spark, path, parts), kind, F.lit(False)).drop("line")
 
 
 def feature_variants(texts: DataFrame) -> DataFrame:
     """Feature texts (``line``) parsed once to VARIANT values (``feature``), to be stored as Parquet.
 
     Properties that no schema names stay, with the types of all values, and later reads take fields from
-    the binary form without parsing text again.
+    the binary form without parsing text again. Numbers keep their value, not their spelling: 900.0 is 900.
     """
     return texts.select(F.parse_json("line").alias("feature"))
 

@@ -135,3 +135,29 @@ def test_pending_keys(spark):
 def test_flatten_struct(spark):
     df = spark.range(1).selectExpr("named_struct('b', named_struct('c.d', 1), 'e', array(2)) AS a")
     assert B.flatten_struct(df).columns == ["a__b__c.d", "a__e"]
+
+
+def test_first_of_each_is_cut_before_the_shuffle(spark):
+    rows = [("hot" if i % 3 else f"c{i % 7}", i * 7919 % 1009, i) for i in range(900)] + [(None, 1, 900), (None, 1, 901)]
+    df = spark.createDataFrame(rows, "g string, k int, id int").repartition(5)
+    cut = B.first_of_each(df, ["g"], ["k", "id"], 4)
+    plan = cut._jdf.queryExecution().sparkPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+    want = {}
+    for g, k, i in sorted(rows, key=lambda r: (r[1], r[2])):
+        want.setdefault(g, []).append(i)
+    got = {}
+    for r in cut.collect():
+        got.setdefault(r.g, []).append(r.id)
+    assert {g: sorted(v) for g, v in got.items()} == {g: sorted(v[:4]) for g, v in want.items()}
+
+
+def test_key_changes(spark):
+    def digests(rows):
+        return B.content_digests(spark.createDataFrame(rows, "k string, a int, b string"), "k")
+
+    before = digests([("same", 1, None), ("moved", 2, None), ("gone", 3, "x"), (None, 4, "n")])
+    now = digests([("same", 1, None), ("moved", None, "2"), ("fresh", 3, "x"), (None, 4, "n")])
+    got = {r.k: r.change for r in B.key_changes(now, before, "k").collect()}
+    assert got == {"moved": "changed", "gone": "removed", "fresh": "new"}
+    assert B.key_changes(before, before.limit(0), "k").count() == 4

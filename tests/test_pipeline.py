@@ -30,3 +30,9 @@ def test_files_to_published_tables(spark, tmp_path):
     assert rollups["country"].count() > 1
     assert rollups["hemisphere_status"].filter("hemisphere_status LIKE '% in North Hem.'").count() > 0
     assert pipeline.export_frontend(spark, layout).count() > 0
+
+    assert spark.read.parquet(layout.broken).isEmpty()
+    changes = pipeline.changed_areas(spark, layout)
+    assert changes.filter("change = 'new'").count() == changes.count() == want.count()
+    pipeline.remember_areas(spark, layout)
+    assert pipeline.changed_areas(spark, layout).isEmpty()

@@ -62,3 +62,24 @@ def test_schema_problems(spark, table):
     assert Q.schema_problems(changed.schema) == ["run_count is string, not bigint"]
     with pytest.raises(Q.InvalidTable, match="run_count is string"):
         Q.require_valid(changed)
+
+
+def test_rules_are_counted_while_writing(spark, table, tmp_path):
+    faulty = table.withColumn("latitude", F.lit(91.0)).unionByName(table.limit(1))
+    counted, observation = Q.observed(faulty)
+    counted.write.parquet(str(tmp_path / "areas"))
+    areas = spark.read.parquet(str(tmp_path / "areas"))
+    assert sorted(Q.observed_problems(areas, observation)) == sorted(Q.problems(areas))
+    counted, observation = Q.observed(table)
+    counted.write.parquet(str(tmp_path / "good"))
+    assert Q.observed_problems(spark.read.parquet(str(tmp_path / "good")), observation) == []
+
+
+def test_broken_rows_have_a_bit_per_rule(spark, table):
+    assert Q.broken_rows(table).isEmpty()
+    names = list(Q.row_rules(table.columns))
+    broken = table.withColumns({"latitude": F.lit(91.0), "run_count": F.lit(-1)})
+    wanted = {"latitude is in range", "run_count is in range"}
+    for row in Q.broken_rows(broken).collect():
+        assert set(row.broken) == wanted == {n for i, n in enumerate(names) if row.rules >> i & 1}
+    assert Q.broken_rows(broken).count() == table.count()

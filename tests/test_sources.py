@@ -232,5 +232,68 @@ def test_stored_features_keep_everything(spark, layouts):
     want = [r.asDict(True) for r in G.load_runs(texts).orderBy("run_id").collect()]
     assert [r.asDict(True) for r in G.load_runs(stored).orderBy("run_id").collect()] == want
     whole = [json.loads(r.t) for r in stored.selectExpr("to_json(feature) AS t").collect()]
-    plain = lambda f: json.dumps(f, sort_keys=True)
-    assert sorted(map(plain, whole)) == sorted(map(plain, FEATURES))
+    # by value: 900.0 is stored as the number 900
+    assert sorted(whole, key=lambda f: f["properties"]["id"]) == FEATURES
+
+
+def one_document(folder):
+    parts = sorted(folder.glob("part-*"), key=lambda p: int(p.name.split("-")[1]))
+    return json.loads("".join(p.read_text() for p in parts)), len(parts)
+
+
+def test_parts_are_one_document(spark, tmp_path):
+    features = registry.run_features(spark, SMALL).repartition(5)
+    P.write_feature_collection(features, str(tmp_path / "runs"))
+    document, parts = one_document(tmp_path / "runs")
+    ids = sorted(f["properties"]["id"] for f in document["features"])
+    assert document["type"] == "FeatureCollection" and parts > 3 and len(ids) == features.count()
+    for back in (
+        G.read_feature_lines(spark, str(tmp_path / "runs"), "runs"),
+        G.read_feature_collection(spark, str(tmp_path / "runs"), "runs", parts=True),
+    ):
+        assert sorted(r.id for r in back.select("properties.id").collect()) == ids
+
+
+@pytest.mark.parametrize("size", ["97", "1000", "128m"])
+def test_parts_are_cut_anywhere(spark, tmp_path, size):
+    lines = [json.dumps(f, ensure_ascii=False) for f in awkward_document(17, None, False)[0]]
+    texts = spark.createDataFrame([(x,) for x in lines], "line string").repartition(3)
+    P.write_feature_collection(texts, str(tmp_path / "d"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        back = cut_features(spark, str(tmp_path / "d"), parts=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(r.line for r in back) == sorted(lines)
+
+
+@pytest.mark.parametrize("count", [0, 1])
+def test_small_collections(spark, tmp_path, count):
+    features = spark.createDataFrame([(json.dumps(f),) for f in FEATURES], "line string").limit(count)
+    P.write_feature_collection(features, str(tmp_path / "few"))
+    assert one_document(tmp_path / "few")[0]["features"] == FEATURES[:count]
+    assert G.read_feature_lines(spark, str(tmp_path / "few"), "runs").count() == count
+    assert G.read_feature_collection(spark, str(tmp_path / "few"), "runs", parts=True).count() == count
+
+
+def test_one_area_reads_its_own_files(spark, tmp_path):
+    runs = registry.runs(spark, SMALL)
+    path = str(tmp_path / "area-runs")
+    P.export_area_runs(runs, path)
+    every = len(spark.read.parquet(path).inputFiles())
+    chosen = P.scan_area_runs(spark, path, ["a1"])
+    want = runs.filter(F.array_contains("ski_area_ids", "a1")).select("run_id")
+    assert sorted(chosen.select("run_id").collect()) == sorted(want.collect()) != []
+    scan = [n for n in _nodes(chosen._jdf.queryExecution().sparkPlan()) if n.nodeName().startswith("Scan parquet")]
+    chosen.collect()
+    read = len(set(r[0] for r in chosen.select("_metadata.file_path").collect()))
+    selected = scan[0].selectedPartitions().totalNumberOfFiles()
+    assert read <= selected < every / 4
+    assert P.scan_area_runs(spark, path, ["none"]).isEmpty() and P.scan_area_runs(spark, path, []).isEmpty()
+
+
+def _nodes(plan):
+    yield plan
+    children = plan.children()
+    for i in range(children.size()):
+        yield from _nodes(children.apply(i))
