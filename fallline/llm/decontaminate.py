@@ -1,7 +1,8 @@
 """Benchmark decontamination: every passage of every document asks a BM25 index of the test items.
 
-The index holds the items. A document's passages are windows of words, twice as long as the longest
-item and half overlapping, so any item's text lies whole in one of them. A passage's score for an
+The index holds the items, in groups by length: up to ``SHORT`` words, up to twice as many, and so on. For each
+group a document's passages are windows of words, twice as long as its longest item and half overlapping, so any
+item's text lies whole in one of them, and a long item makes no passage wider for short ones. A passage's score for an
 item is the BM25 weight of the item's terms that it has, as a share of the item's own weight; all
 items at or above ``threshold`` are retrieved. Block-max WAND finds them: a passage whose terms'
 maxima add up to less is skipped, then each block of items whose block maxima add up to less, and
@@ -12,7 +13,7 @@ its question and as much of its answer's. The answer is the last line, or the la
 a single line; an item of one sentence is all question.
 
 The items go to the tasks in shards of at most ``SHARD`` items, one pass over the documents for
-each, so what is broadcast has a fixed bound. Documents are not shuffled. Null and empty
+each with all its groups, so what is broadcast has a fixed bound. Documents are not shuffled. Null and empty
 texts, of either side, match nothing; rows that repeat an id are judged each on their own.
 """
 
@@ -29,6 +30,8 @@ from . import text as T
 
 K1, B = 1.2, 0.75
 SHARD, BLOCK_ITEMS = 20_000, 16
+#: Words of the items of the first group by length.
+SHORT = 64
 THRESHOLD, OVERLAP = 0.5, 0.5
 #: Cells of passages by blocks that are added up at once.
 CELLS = 1 << 21
@@ -167,8 +170,19 @@ def leaks(index: Index, words: np.ndarray, threshold: float, overlap: float) ->
     return list(best.values())
 
 
+def by_length(
+    items: list[tuple[int, str]], frequency: dict[int, int], n_items: int, mean: float
+) -> list[Index]:
+    """An index for each group of items of like length, with the statistics of all items."""
+    groups: dict[int, list] = {}
+    for item in items:
+        words = len(T.word_hashes(item[1].encode().lower()))
+        groups.setdefault(max(0, (-(-words // SHORT) - 1).bit_length()), []).append(item)
+    return [build(group, frequency, n_items, mean) for _, group in sorted(groups.items())]
+
+
 def _indexes(items: DataFrame):
-    """The items in shards, each an index with the statistics of all items."""
+    """The items in shards, each a list of indexes by length."""
     spark = items.sparkSession
     counted = items.filter("text IS NOT NULL")
     n = counted.count()
@@ -193,7 +207,7 @@ def _indexes(items: DataFrame):
         wanted = spark.createDataFrame([(int(x),) for x in own], "term bigint")
         frequency = {r.term: r.df for r in rows.join(wanted, "term", "left_semi").collect()}
         found.sort(key=lambda x: (x[0] is None, x))
-        yield build(found, frequency, n, total / max(1, n))
+        yield by_length(found, frequency, n, total / max(1, n))
 
 
 SCHEMA = (
@@ -217,15 +231,15 @@ def find(
     docs = docs.select(T.ids(doc_id), T.ids(text, "text"))
     items = items.select(T.ids(item_id, "item_id").cast("bigint"), T.ids(item_text, "text"))
 
-    def matches(index: Index) -> DataFrame:
-        shared = spark.sparkContext.broadcast(index)
+    def matches(indexes: list[Index]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(indexes)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, rows = batch.column(0).to_pylist(), []
             for at, words in T.texts_words([x.lower() for x in T.bytes_of(batch.column(1))]):
-                for item, passage, score, q, a in leaks(shared.value, words, threshold, overlap):
-                    start = passage * shared.value.width
-                    rows.append((ids[at], shared.value.ids[item], start, score, q, a))
+                for index in shared.value:
+                    for item, passage, score, q, a in leaks(index, words, threshold, overlap):
+                        rows.append((ids[at], index.ids[item], passage * index.width, score, q, a))
             kinds = [pa.int64()] * 3 + [pa.float64()] * 3
             columns = [pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 6, kinds)]
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
@@ -243,13 +257,13 @@ def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
         T.ids(options.get("item_id", "item_id"), "item_id").cast("bigint"),
         T.ids(options.get("item_text", "text"), "text"),
     )
-    for index in _indexes(items):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+    for indexes in _indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(indexes)
 
         def keep(column: pa.Array, shared=shared) -> np.ndarray:
             out = np.ones(len(column), dtype=bool)
             for at, words in T.texts_words([x.lower() for x in T.bytes_of(column)]):
-                out[at] = not leaks(shared.value, words, threshold, overlap)
+                out[at] = not any(leaks(index, words, threshold, overlap) for index in shared.value)
             return out
 
         docs = T.keep_rows(docs, text, keep)

@@ -288,3 +288,22 @@ def test_pipeline(spark):
     for r in rows:
         words[r.doc_id] += r.n_words
     assert all(words[i] == len(registry.pii.redacted(docs[i]).encode().split()) for i in want)
+
+
+def test_a_long_item_makes_no_passage_wider_for_short_ones():
+    rng = np.random.default_rng(5)
+    names = np.array([f"w{i}" for i in range(3000)])
+    text = lambda n: " ".join(rng.choice(names, n))
+    items = [(k, text(30) + "\n" + text(8)) for k in range(500)] + [(500, text(5000)), (501, text(64)), (502, text(65))]
+    hashes = decontaminate.T.word_hashes
+    words = [hashes(x.encode()) for _, x in items]
+    df = Counter(int(x) for w in words for x in np.unique(w).view(np.int64))
+    indexes = decontaminate.by_length(items, df, len(items), float(np.mean([len(w) for w in words])))
+    assert [len(i.ids) for i in indexes] == [501, 1, 1] and [i.width for i in indexes] == [64, 65, 5000]
+    planted = [7, 300, 500, 501, 502]
+    found = hashes(" ".join(f"{text(4000)} {items[k][1]}" for k in planted).encode())
+    retrieved = [decontaminate.retrieve(i, found, decontaminate.THRESHOLD) for i in indexes]
+    leaked = [{i.ids[k[0]] for k in decontaminate.leaks(i, found, 0.5, 0.5)} for i in indexes]
+    assert leaked == [{7, 300, 501}, {502}, {500}]
+    # at most two windows hold a planted item whole; no other item reaches the threshold
+    assert len(retrieved[0]) <= 3 * 3
