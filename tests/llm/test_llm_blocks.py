@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from fallline.llm import graph, ngram_join
+from fallline.llm import graph, ngram_join, paragraphs
 from llm_fixtures import make_docs  # noqa: F401
 
 
@@ -20,7 +20,7 @@ def test_every_pair_of_a_key_is_held_against_each_other(spark, monkeypatch, bloc
         size = rng.choice((6, 50, 60))
         found = np.array(rng.sample(base[:size], size - rng.randint(0, 5)) + [rng.getrandbits(64) for _ in range(rng.randint(0, 4))], np.uint64)
         sets[k] = set(found.tolist())
-        bits = ngram_join._bits(found).view(np.int64).tolist()
+        bits = ngram_join.bits_of(found).view(np.int64).tolist()
         rows += [(token, k, len(found), len(found), k // 2, bits) for token in (1, 2) if token == 1 or k % 3]
     df = spark.createDataFrame(rows, "token bigint, set_id bigint, n bigint, rest bigint, group_id bigint, bits array<bigint>")
     got = [(r.a, r.b) for r in ngram_join.pairs_within(df, ["token"], 80).collect()]
@@ -57,3 +57,25 @@ def test_a_family_that_does_not_link_is_not_paired_row_by_row(make_docs, monkeyp
                 parent = [min(x, y) if p in (x, y) else p for p in parent]
     assert found == dict(enumerate(parent))
     assert max(made, key=lambda x: x[0])[0] < 5000  # of 7140 pairs
+
+
+@pytest.mark.parametrize("following", [0, 4])
+def test_paragraphs_that_are_no_neighbours_in_a_band(make_docs, monkeypatch, following):  # noqa: F811
+    """A family of paragraphs too far from each other, but for twins, which are found wherever they stand."""
+    monkeypatch.setattr(paragraphs, "FOLLOWING", following)
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(100)]
+    docs = []
+    for k in range(30):
+        words = list(base)
+        places = rng.sample(range(100), 4)
+        for at in places[:2]:
+            words[at] = f"x{k}y{at}"
+        docs.append((2 * k, " ".join(words)))
+        # of 96 shingles at least 86 stay: 86 of 106 are common
+        for at in places[2:]:
+            words[at] = f"z{k}y{at}"
+        docs.append((2 * k + 1, " ".join(words)))
+    found = paragraphs.repeated(make_docs(docs)).collect()
+    cluster = {r.doc_id: r.first_doc for r in found}
+    assert {k: cluster.get(2 * k) == cluster.get(2 * k + 1) is not None for k in range(30)} == dict.fromkeys(range(30), True)
