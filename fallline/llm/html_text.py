@@ -4,7 +4,8 @@ A page is a sequence of words and tags. Each has a weight for what it is and whe
 of running text score positive, tags and the words of menus and the like negative. One linear scan finds
 the run of the largest sum, which is the content; words inside it that stand in adverts, forms and
 the like are left out. Elements that are menus, footers, asides, comments and the like by their own tag or by a whole
-class name or id are never content, however much they hold; a form is not, unless it holds the article. Elements whose
+class name or id are never content, however much they hold; a form is not, unless it holds the article, or paragraphs and
+the page has no text outside. Elements whose
 names only contain such a word, as wrappers' do, are left out where they hold less than half of the words.
 
 The weights are log odds learned from labelled pages: pages that mark their text with one
@@ -95,6 +96,7 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
     closed: list[bool] = []
     never: list[bool] = []
     forms: list[int] = []  # open forms that have not shown to hold content
+    wrappers: set[int] = set()  # outermost forms with paragraphs
     total = main = link = 0
     zone_at = -1  # innermost boiler element since the last article or main
     block = "none"
@@ -149,6 +151,8 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
                 for b in forms:
                     never[b] = False
                 forms.clear()
+            if tag == "p":
+                wrappers.update(forms[:1])
             if tag not in _VOID and not m["attr"].endswith("/"):
                 b, is_main, around = -1, tag in _MAIN, zone_at
                 if is_main and not blind:
@@ -174,9 +178,18 @@ def tokens(page: str, blind: bool = False) -> list[tuple[str, str, bool]]:
             out.append((f"tag:{kind}", "", main > 0))
     if at < len(page):
         text(page[at:].partition("<!--")[0])
-    cut: list[bool] = []
-    for b, own in enumerate(closed):  # an element stands behind the one around it
-        cut.append((above[b] >= 0 and cut[above[b]]) or own and (never[b] or 2 * held[b] < total))
+
+    def cuts() -> list[bool]:
+        cut: list[bool] = []
+        for b, own in enumerate(closed):  # an element stands behind the one around it
+            cut.append((above[b] >= 0 and cut[above[b]]) or own and (never[b] or 2 * held[b] < total))
+        return cut
+
+    cut = cuts()
+    if wrappers and not any(len(x) > 3 and x[0] != "a" and (x[3] < 0 or not cut[x[3]]) for x in out):
+        for b in wrappers:  # the page has no other text
+            never[b] = False
+        cut = cuts()
     for k, token in enumerate(out):
         if len(token) > 3:
             place, word, inside, b, zone, glued = token
