@@ -79,3 +79,50 @@ def test_paragraphs_that_are_no_neighbours_in_a_band(make_docs, monkeypatch, fol
     found = paragraphs.repeated(make_docs(docs)).collect()
     cluster = {r.doc_id: r.first_doc for r in found}
     assert {k: cluster.get(2 * k) == cluster.get(2 * k + 1) is not None for k in range(30)} == dict.fromkeys(range(30), True)
+
+
+def _family(rng, n, edits):
+    base = [f"w{k}" for k in range(150)]
+    for k in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), edits):
+            words[at] = f"x{k}y{at}"
+        yield k, " ".join(words)
+
+
+def _clusters(docs):
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in docs)]
+    parent = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if parent[a] != parent[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = parent[a], parent[b]
+                parent = [min(x, y) if p in (x, y) else p for p in parent]
+    return dict(enumerate(parent))
+
+
+def test_sets_with_too_many_pairs_are_compared_as_a_whole_inside_tasks(make_docs, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(ngram_join, "CLOSE", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    docs = list(_family(random.Random(3), 160, 3))
+    found = {r.doc_id: r.component_id for r in ngram_join.similar(make_docs(docs)).collect()}
+    want = _clusters(docs)
+    assert found == want and 20 < len(set(want.values())) < 160
+
+
+def test_a_pair_leaves_at_its_first_key_alone(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [rng.getrandbits(64) for _ in range(60)]
+    rows = []
+    for k in range(12):
+        found = np.array(base + [rng.getrandbits(64) for _ in range(6)], np.uint64)
+        bits = ngram_join.bits_of(found).view(np.int64).tolist()
+        rows += [(token, k, 66, 66 - token, k, bits) for token in range(8)]
+    df = spark.createDataFrame(rows, "token bigint, set_id bigint, n bigint, rest bigint, group_id bigint, bits array<bigint>")
+    monkeypatch.setattr(type(df), "distinct", lambda self: self)
+    assert ngram_join.pairs_within(df, ["token"], 80).count() == 8 * 66
+    df = ngram_join.listed(df, ["token"], "-rest")
+    assert ngram_join.pairs_within(df, ["token"], 80).count() == 66
+    monkeypatch.setattr(ngram_join, "CLOSE", 2)
+    named = [tuple(r) for r in ngram_join.pairs_within(df, ["token"], 80).collect()]
+    assert sorted(named) == [(k, None, 0) for k in range(12)]
