@@ -126,3 +126,16 @@ def test_a_pair_leaves_at_its_first_key_alone(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "CLOSE", 2)
     named = [tuple(r) for r in ngram_join.pairs_within(df, ["token"], 80).collect()]
     assert sorted(named) == [(k, None, 0) for k in range(12)]
+
+
+def test_minhashes_of_many_texts_are_those_of_each(monkeypatch):
+    monkeypatch.setattr(paragraphs, "SHINGLES", 100)
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.choice([1, 4, 5, 6, 40, 300]))).encode() for _ in range(80)]
+    for words in (1, 5, 7):
+        want = [
+            (np.unique(paragraphs.T.windows(paragraphs.T.word_hashes(x), words)) * (paragraphs._MASKS | np.uint64(1)) ^ paragraphs._MASKS).min(axis=1)
+            for x in texts
+        ]
+        assert (paragraphs.minhashes(texts, words) == np.array(want)).all()
+    assert paragraphs.minhashes([], 5).shape == (0, paragraphs.BANDS * paragraphs.ROWS)
