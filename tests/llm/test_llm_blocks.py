@@ -139,3 +139,8 @@ def test_minhashes_of_many_texts_are_those_of_each(monkeypatch):
         ]
         assert (paragraphs.minhashes(texts, words) == np.array(want)).all()
     assert paragraphs.minhashes([], 5).shape == (0, paragraphs.BANDS * paragraphs.ROWS)
+
+
+def test_paragraphs_with_too_many_pairs_are_compared_as_a_whole(make_docs, monkeypatch):  # noqa: F811
+    monkeypatch.setattr(ngram_join, "CLOSE", 0)
+    test_paragraphs_that_are_no_neighbours_in_a_band(make_docs, monkeypatch, 0)
