@@ -99,3 +99,23 @@ def test_components_of_a_long_path(spark):
     found = {r.node: r.component for r in graph.components(links).collect()}
     assert found == {k: 0 for k in range(61)} | {100: 100, 101: 100}
     assert graph.components(links.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("held", "rounds"), [(1 << 20, 3), (8, 12)])
+def test_components_take_few_rounds(spark, monkeypatch, held, rounds):
+    """Links of a task are joined at once, so the rounds do not grow with the path; few links at once give the same."""
+    made = []
+    monkeypatch.setattr(graph, "staged", lambda df, name, staged=graph.staged: made.append(name) or staged(df, name))
+    monkeypatch.setattr(graph, "HELD_LINKS", held)
+    rng = random.Random(2)
+    names = rng.sample(range(-5000, 5000), 300)
+    pairs = [(a, b) for a, b in zip(names, names[1:]) if rng.random() < 0.98] + [(9000, 9001), (9001, 9000), (7, 7)]
+    rng.shuffle(pairs)
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(6)).collect()}
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in pairs:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert found == root
+    assert len(made) <= 1 + rounds
