@@ -90,6 +90,14 @@ def test_pipeline_keeps_one_row_of_each_group(spark, make_docs, awkward):
     assert sorted(str(r.text) for r in kept if r.doc_id is None) == ["None", texts[2]]
 
 
+def test_pairs_that_are_asked_in_rounds_give_the_same_links(make_docs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "ASKED", 0)
+    monkeypatch.setattr(ngram_join, "FEW", 0)
+    docs = corpus(4)
+    found = ngram_join.similar(make_docs(docs), frequent=3).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == plain(docs)
+
+
 def test_empty_table(make_docs):
     assert ngram_join.similar(make_docs([])).count() == 0
 
