@@ -190,10 +190,26 @@ ranked AS (
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= 10"""
 
+_PASSAGES = f"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), {_WORD}) AS w
+    FROM documents),
+places AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS place FROM words),
+windows AS (SELECT doc_id, place, sha256(array_to_string(w[place + 1 : place + 50], ' ')) AS digest FROM places),
+firsts AS (
+    SELECT digest, min((doc_id, place)) AS f FROM windows GROUP BY digest HAVING count(*) > 1),
+marked AS (
+    SELECT doc_id, place, f[1] AS first_doc, (doc_id, place) <> f AS removed FROM windows JOIN firsts USING (digest)),
+runs AS (
+    SELECT *, place - row_number() OVER (PARTITION BY doc_id, first_doc, removed ORDER BY place) AS run FROM marked)
+SELECT doc_id, min(place) AS first_word, count(*) + 49 AS n_words, first_doc, removed
+FROM runs GROUP BY doc_id, first_doc, removed, run"""
+
 ORACLES: dict[str, str] = {
     "op3_ngram_join": _JOIN,
     "op4_licenses": _LICENSES,
     "op5_url_filter": _URLS,
+    "op7_passages": _PASSAGES,
     "op11_merkle_manifest": _MERKLE,
     "op12_exact_dedup": _COPIES,
     "op13_source_divergence": _DIVERGENCE,
