@@ -80,11 +80,16 @@ def pack(
     """Bin and offset of every piece of every row. ``cluster`` is a bigint; by default, equal texts."""
     if cluster is None:
         cluster = F.when(F.col(text) != "", F.xxhash64(text))
-    sized = docs.select(
+    docs = docs.select(
         T.ids(doc_id).cast("bigint"), T.ids(source, "source").cast("string"), cluster.alias("cluster"), T.ids(text, "text")
     )
+    return pack_sized(_sizes(docs), capacity, per_source, shard)
+
+
+def pack_sized(sized: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard: int = SHARD) -> DataFrame:
+    """The same for rows (doc_id, source, cluster, n_words)."""
     # the row's number is written with it, so that dealing a task anew deals the same
-    sized = staged(_sizes(sized).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    sized = staged(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     pieces = sized.selectExpr(
         "*", f"explode(sequence(0L, greatest(0L, (n_words - 1) div {capacity}))) AS piece"
     ).selectExpr(
